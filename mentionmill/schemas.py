@@ -1,31 +1,29 @@
-"""Declared schemas, so that no reader has to infer one."""
-
-from pyspark.sql.types import StructType
+"""Declared schemas (DDL), so that no reader has to infer one."""
 
 # tstamp arrives as epoch digits or as an ISO string; the reader normalises it to seconds.
-ARTICLE_RAW = StructType.fromDDL(
+ARTICLE_RAW = (
     "url STRING, tstamp STRING, title STRING, date STRING, shorttext STRING, fulltext STRING, "
     "sections ARRAY<STRING>"
 )
 
-MENTION_RAW = StructType.fromDDL(
+MENTION_RAW = (
     "url STRING, tstamp STRING, sections ARRAY<STRING>, ner_text STRING, label STRING, "
     "wd_id STRING, wd_url STRING, score DOUBLE"
 )
 
-ARTICLE_SENTIMENT_RAW = StructType.fromDDL(
+ARTICLE_SENTIMENT_RAW = (
     "url STRING, tstamp STRING, sections ARRAY<STRING>, shorttext_sentiment STRING, fulltext_sentiment STRING"
 )
 
-CATALOG = StructType.fromDDL(
+CATALOG = (
     "wd_url STRING, wd_id STRING, wd_redirect STRING, wd_label STRING, wd_description STRING"
 )
 
-ENTITY_DOCUMENT = StructType.fromDDL("wd_id STRING, url STRING, body STRING")
+ENTITY_DOCUMENT = "wd_id STRING, url STRING, body STRING"
 
-PAGE = StructType.fromDDL("url STRING, html STRING")
+PAGE = "url STRING, html STRING"
 
-LEXICON = StructType.fromDDL("word STRING, valence DOUBLE")
-EMOJI = StructType.fromDDL("emoji STRING, description STRING")
-LABELLED_TEXT = StructType.fromDDL("id STRING, label STRING, text STRING")
-SCORED_TEXT = StructType.fromDDL("text STRING, gold STRING, compound DOUBLE, scores STRING")
+LEXICON = "word STRING, valence DOUBLE"
+EMOJI = "emoji STRING, description STRING"
+LABELLED_TEXT = "id STRING, label STRING, text STRING"
+SCORED_TEXT = "text STRING, gold STRING, compound DOUBLE, scores STRING"

@@ -6,24 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # 2**27 + 1 splits a double into two halves whose products are exact.
-_SPLIT = 134217729.0
+_SPLIT = 134217729
 
 
-def round_exact(value: Column, digits: int) -> Column:
-    """Round like a correctly rounded decimal conversion does.
+def round_exact(column: str, digits: int) -> Column:
+    """Round a double column like a correctly rounded decimal conversion does.
 
     ``round`` and ``bround`` look at the shortest decimal form of a double, so 1/80 (slightly above
     0.0125) counts as a tie there. Here the error of ``value * 10**digits`` is computed exactly and
     decides such cases. Meant for moderate magnitudes (scores and shares).
     """
-    scale = float(10**digits)
-    product = value * F.lit(scale)
-    big = value * F.lit(_SPLIT)
-    high = big - (big - value)
-    low = value - high
-    # scale has few bits, so high*scale and low*scale are exact
-    error = (high * F.lit(scale) - product) + low * F.lit(scale)
-    below = F.floor(product).cast("double")
-    side = product - below - F.lit(0.5)
-    up = (side > 0) | ((side == 0) & ((error > 0) | ((error == 0) & (F.pmod(below, F.lit(2.0)) == 1))))
-    return F.when(up, below + 1).otherwise(below) / F.lit(scale)
+    scale = f"{10**digits}D"
+    product = f"({column} * {scale})"
+    high = f"({column} * {_SPLIT}D - ({column} * {_SPLIT}D - {column}))"
+    # scale has few bits, so both partial products are exact
+    error = f"(({high} * {scale} - {product}) + ({column} - {high}) * {scale})"
+    below = f"CAST(floor({product}) AS DOUBLE)"
+    side = f"({product} - {below} - 0.5D)"
+    up = f"{side} > 0 OR ({side} = 0 AND ({error} > 0 OR ({error} = 0 AND pmod({below}, 2D) = 1)))"
+    return F.expr(f"CASE WHEN {up} THEN {below} + 1 ELSE {below} END / {scale}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set for use inside a regular-expression class.
-WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same set as a pattern: Unicode white space and four separators.
+WHITESPACE_PATTERN = r"(?U)[\s\x1c-\x1f]"
+ASCII_PUNCTUATION = string.punctuation
 
 # Named character references and the characters they stand for.
 NAMED_REFERENCES = {
@@ -32,7 +35,12 @@ def strip(value: Column) -> Column:
 
 def words(value: Column) -> Column:
     """Split on runs of white space; an empty first or last item stays for the caller to filter."""
-    return F.split(value, f"[{WS}]+")
+    return F.split(value, f"{WHITESPACE_PATTERN}+")
+
+
+def has_edge(value: Column, chars: str) -> Column:
+    """The first or the last character is one of ``chars``: a cheap test before a pattern is tried."""
+    return F.contains(F.lit(chars), F.substring(value, 1, 1)) | F.contains(F.lit(chars), F.substring(value, -1, 1))
 
 
 def capitalize(value: Column) -> Column:

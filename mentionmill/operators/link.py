@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, words
+from ..functions.text import ASCII_PUNCTUATION, has_edge, words
 from .lookup import fits_broadcast
 
 MAX_NAME_WORDS = 4
@@ -13,7 +13,8 @@ ENTITY_URL = "https://www.wikidata.org/wiki/"
 
 
 def _trim_marks(word: Column) -> Column:
-    return F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")
+    trimmed = F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")
+    return F.when(has_edge(word, ASCII_PUNCTUATION), trimmed).otherwise(word)
 
 
 def name_words(text: Column) -> Column:
@@ -23,10 +24,11 @@ def name_words(text: Column) -> Column:
 
 def _name_table(aliases: DataFrame, max_words: int) -> DataFrame:
     """The best entity per name. A name's score does not depend on the text, so this needs no mentions."""
-    name = F.array_join(name_words(F.col("name")), " ")
+    # bounds on the word list, not on the name: those would be checked again for every run of words
     return (
-        aliases.withColumn("name", name)
-        .filter((F.col("name") != "") & (F.size(F.split("name", " ")) <= max_words))
+        aliases.withColumn("_parts", name_words(F.col("name")))
+        .filter(F.size("_parts").between(1, max_words))
+        .withColumn("name", F.array_join("_parts", " "))
         .groupBy("name")
         # the smallest id settles equal scores
         .agg(F.min(F.struct((-F.col("score")).alias("_order"), "wd_id", "label", "score")).alias("_best"))
@@ -84,9 +86,10 @@ def link_entities(
     names = _name_table(aliases, max_words)
     small = fits_broadcast(aliases)
 
+    # outer: the optimizer would guard a plain explode by making the word list a second time
     spread = articles.select(
         *keep, F.xxhash64(text).alias("_text"), name_words(F.col(text)).alias("_words")
-    ).select("*", F.posexplode("_words").alias("start", "_first"))
+    ).select("*", F.posexplode_outer("_words").alias("start", "_first"))
     if small:
         lengths = names.groupBy(F.substring_index("name", " ", 1).alias("_first")).agg(
             F.collect_set(F.size(F.split("name", " "))).alias("_lengths")
@@ -130,7 +133,7 @@ def link_entities(
     mention = F.col("_m")
     return (
         grouped.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"), "_taken")
-        .select(*keep, F.posexplode("_taken").alias("position", "_m"))
+        .select(*keep, F.posexplode_outer("_taken").alias("position", "_m"))
         .select(
             *keep,
             (F.col("position") + 1).cast("bigint").alias("position"),

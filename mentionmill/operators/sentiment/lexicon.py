@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import capitalize
 from ..lookup import fits_broadcast
+from .tokens import clean_words
 
 
 class Lexicon:
@@ -17,7 +18,7 @@ class Lexicon:
     """
 
     def __init__(self, lexicon: DataFrame):
-        exact = lexicon.groupBy("word").agg(F.max("valence").alias("valence"))
+        exact = lexicon.dropna().groupBy("word").agg(F.max("valence").alias("valence"))
         key = F.lower(F.col("word"))
         folded = exact.groupBy(key.alias("folded")).agg(
             F.max(F.when(F.col("word") == key, F.col("valence"))).alias("lower_valence"),
@@ -43,18 +44,17 @@ class Lexicon:
 
     def add_known(self, words: DataFrame, lowered: str, name: str) -> DataFrame:
         """Flag whether the lower-case word ``lowered`` is a lexicon entry."""
-        entries = self._hint(self._exact.select(F.col("word").alias("_entry")))
+        # the same table as for exact words, so that it is sent out once
+        entries = self._hint(self._exact.select(F.col("word").alias("_entry"), F.col("valence").alias("_v1")))
         return (
             words.join(entries, F.col(lowered) == F.col("_entry"), "left")
-            .withColumn(name, F.col("_entry").isNotNull())
-            .drop("_entry")
+            .withColumn(name, F.col("_v1").isNotNull())
+            .drop("_entry", "_v1")
         )
 
 
 def lexicon_hits(texts: DataFrame, key: list[str], text: str, lexicon: DataFrame) -> DataFrame:
     """Words of the texts that have a lexicon valence."""
-    from .tokens import clean_words
-
-    spread = texts.select(*key, F.posexplode(clean_words(F.col(text))).alias("pos", "token"))
+    spread = texts.select(*key, F.posexplode_outer(clean_words(F.col(text))).alias("pos", "token"))
     hits = Lexicon(lexicon).add_valence(spread, "token").filter(F.col("valence").isNotNull())
     return hits.select(*key, F.col("pos").cast("bigint").alias("pos"), "token", "valence")

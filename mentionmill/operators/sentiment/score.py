@@ -76,56 +76,37 @@ def _add_score(texts: DataFrame, column: str) -> DataFrame:
 
     One step per layer of the formula, so that no expression is spelled out inside another.
     """
-    names = {n: f"_{n}_{column}" for n in (
-        "values", "n", "emphasis", "raw", "up", "down", "neutral", "strength", "positive", "negative", "total", "compound"
-    )}
-    c = {n: F.col(name) for n, name in names.items()}
-
-    def total(of: Column) -> Column:
-        return F.aggregate(of, F.lit(0.0), lambda a, x: a + x)
-
-    def add(df: DataFrame, **new: Column) -> DataFrame:
-        return df.withColumns({names[n]: value for n, value in new.items()})
-
-    def rounded(value: Column, digits: int) -> Column:
-        return F.when(c["n"] > 0, round_exact(value, digits)).otherwise(F.lit(0.0))
-
-    out = add(
-        texts,
-        raw=total(c["values"]),
-        # each word counts one more, to make up for neutral words that count one
-        up=total(F.transform(F.filter(c["values"], lambda v: v > 0), lambda v: v + 1)),
-        down=total(F.transform(F.filter(c["values"], lambda v: v < 0), lambda v: v - 1)),
-        neutral=(c["n"] - F.size(F.filter(c["values"], lambda v: v != 0))).cast("double"),
-    )
-    out = add(
-        out,
-        strength=c["raw"] + F.signum(c["raw"]) * c["emphasis"],
-        positive=F.when(c["up"] > -c["down"], c["up"] + c["emphasis"]).otherwise(c["up"]),
-        negative=F.when(c["up"] < -c["down"], c["emphasis"] - c["down"]).otherwise(-c["down"]),
-    )
-    out = add(
-        out,
+    values, n, emphasis = f"_values_{column}", f"_n_{column}", f"_emphasis_{column}"
+    layers = [
+        {
+            "_raw": f"aggregate({values}, 0D, (a, v) -> a + v)",
+            # each word counts one more, to make up for neutral words that count one
+            "_up": f"aggregate({values}, 0D, (a, v) -> IF(v > 0, a + (v + 1), a))",
+            "_down": f"aggregate({values}, 0D, (a, v) -> IF(v < 0, a + (1 - v), a))",
+            "_neutral": f"CAST({n} - size(filter({values}, v -> v <> 0)) AS DOUBLE)",
+        },
+        {
+            "_strength": f"_raw + signum(_raw) * {emphasis}",
+            "_up": f"IF(_up > _down, _up + {emphasis}, _up)",
+            "_down": f"IF(_up < _down, _down + {emphasis}, _down)",
+        },
         # at least the word count; 1 stands in for a text without words
-        total=F.greatest(c["positive"] + c["negative"] + c["neutral"], F.lit(1.0)),
-        compound=c["strength"] / F.sqrt(c["strength"] * c["strength"] + F.lit(float(ALPHA))),
-    )
-    out = add(
-        out,
-        compound=F.greatest(F.least(c["compound"], F.lit(1.0)), F.lit(-1.0)),
-        positive=c["positive"] / c["total"],
-        negative=c["negative"] / c["total"],
-        neutral=c["neutral"] / c["total"],
-    )
-    return out.withColumn(
-        f"{column}_score",
-        F.struct(
-            rounded(c["negative"], 3).alias("neg"),
-            rounded(c["neutral"], 3).alias("neu"),
-            rounded(c["positive"], 3).alias("pos"),
-            rounded(c["compound"], 4).alias("compound"),
-        ),
-    )
+        {"_total": "greatest(_up + _down + _neutral, 1D)", "_compound": f"_strength / sqrt(_strength * _strength + {ALPHA})"},
+        {
+            "_compound": "greatest(least(_compound, 1D), -1D)",
+            "_pos": "_up / _total",
+            "_neg": "_down / _total",
+            "_neu": "_neutral / _total",
+        },
+    ]
+    out = texts
+    for layer in layers:
+        out = out.withColumns({name: F.expr(formula) for name, formula in layer.items()})
+    parts = [
+        F.when(F.col(n) > 0, round_exact(f"_{part}", digits)).otherwise(F.lit(0.0)).alias(part)
+        for part, digits in (("neg", 3), ("neu", 3), ("pos", 3), ("compound", 4))
+    ]
+    return out.withColumn(f"{column}_score", F.struct(*parts))
 
 
 def score_columns(
@@ -228,7 +209,7 @@ def mean_sentence_score(
     texts: DataFrame, key: list[str], text: str, lexicon: DataFrame, emoji: DataFrame | None = None
 ) -> DataFrame:
     """Mean compound over the sentences of each text, four digits."""
-    sentences = texts.select(*key, F.posexplode(F.split(text, r"(?<=[.!?])\s+")).alias("_sentence", "_text")).filter(
+    sentences = texts.select(*key, F.posexplode_outer(F.split(text, r"(?<=[.!?])\s+")).alias("_sentence", "_text")).filter(
         F.col("_text") != ""
     )
     return _mean(score_columns(sentences, ["_text"], lexicon, emoji), key)
@@ -245,7 +226,8 @@ def mean_tag_score(
 def _mean(scored: DataFrame, key: list[str]) -> DataFrame:
     # compound has four decimals, so whole ten-thousandths add up exactly in any order
     units = F.round(F.col("_text_score.compound") * 10000).cast("bigint")
-    return scored.groupBy(*key).agg(
+    sums = scored.groupBy(*key).agg(
         F.count(F.lit(1)).alias("sentences"),
-        round_exact(F.sum(units) / F.lit(10000.0) / F.count(F.lit(1)), 4).alias("mean_compound"),
+        (F.sum(units) / F.lit(10000.0) / F.count(F.lit(1))).alias("_mean"),
     )
+    return sums.select(*key, "sentences", round_exact("_mean", 4).alias("mean_compound"))

@@ -7,13 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import WS, is_upper, words
+from ...functions.text import has_edge, is_upper, words
 from ...functions.wordlists import EXCLAMATION, MANY_QUESTIONS, PUNCTUATION, QUESTION
 
 _MARK = "(?:" + "|".join(re.escape(p) for p in sorted(PUNCTUATION, key=len, reverse=True)) + ")"
-_WORD = rf"[^{WS}\p{{Punct}}]{{2,}}"
-# a whole white-space-delimited item: word + mark or mark + word
-_ONE_MARK = rf"(?<![^{WS}])(?:({_WORD}){_MARK}|{_MARK}({_WORD}))(?![^{WS}])"
+_MARK_CHARS = "".join(sorted({p[0] for p in PUNCTUATION}))
+_WORD = r"[^\p{Punct}]{2,}"
+_ONE_MARK = f"^(?:({_WORD}){_MARK}|{_MARK}({_WORD}))$"
 
 
 def clean_words(text: Column) -> Column:
@@ -21,7 +21,10 @@ def clean_words(text: Column) -> Column:
 
     The mark goes only when what is left has two characters or more and no other punctuation.
     """
-    return F.filter(words(F.regexp_replace(text, _ONE_MARK, "$1$2")), lambda w: F.length(w) > 1)
+    return F.transform(
+        F.filter(words(text), lambda w: F.length(w) > 1),
+        lambda w: F.when(has_edge(w, _MARK_CHARS), F.regexp_replace(w, _ONE_MARK, "$1$2")).otherwise(w),
+    )
 
 
 def describe_emoji(texts: DataFrame, text: str, emoji: DataFrame) -> DataFrame:
@@ -74,8 +77,11 @@ def punctuation_emphasis(text: Column) -> Column:
 
 def token_context(texts: DataFrame, key: list[str], text: str, before: int = 3, after: int = 2) -> DataFrame:
     """One row per word with its neighbours, taken by index from the row's own word list."""
-    spread = texts.select(*key, clean_words(F.col(text)).alias("_tokens")).select(
-        *key, "_tokens", F.posexplode("_tokens").alias("pos", "token")
+    # outer: the optimizer would guard a plain explode by making the word list a second time
+    spread = (
+        texts.select(*key, clean_words(F.col(text)).alias("_tokens"))
+        .select(*key, "_tokens", F.posexplode_outer("_tokens").alias("pos", "token"))
+        .filter(F.col("pos").isNotNull())
     )
     previous = [F.get("_tokens", F.col("pos") - k).alias(f"prev{k}") for k in range(1, before + 1)]
     following = [F.get("_tokens", F.col("pos") + k).alias(f"next{k}") for k in range(1, after + 1)]

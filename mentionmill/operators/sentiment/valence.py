@@ -1,11 +1,14 @@
-"""Valence of one lexicon word from the three words before and the two after it."""
+"""Valence of one lexicon word from the three words before and the two after it.
+
+Plain SQL expressions over the columns ``w1..w3`` (words before, nearest first), ``p1..p3`` (the same
+in lower case), ``l0`` (the word in lower case) and ``n1``, ``n2`` (words after, in lower case).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import is_upper
 from ...functions.wordlists import (
     BOOST,
     CAPS,
@@ -19,61 +22,52 @@ from ...functions.wordlists import (
 from .lexicon import Lexicon
 
 
-SO_OR_THIS = ["so", "this"]
-
-
-def is_booster(lowered: Column) -> Column:
-    """A degree adverb of either kind."""
-    return lowered.isin([*INTENSIFIERS, *DAMPENERS])
+def _in(column: str, words: list[str]) -> str:
+    return f"{column} IN (" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _degree(lowered: Column) -> Column:
-    return F.when(lowered.isin(INTENSIFIERS), F.lit(BOOST)).when(lowered.isin(DAMPENERS), F.lit(-BOOST)).otherwise(F.lit(0.0))
+def _upper(column: str) -> str:
+    return f"(upper({column}) = {column} AND lower({column}) <> {column})"
 
 
-def _negates(lowered: Column) -> Column:
-    return lowered.isin(NEGATIONS) | lowered.contains("n't")
+# +1 above zero, else -1: the direction in which capitals push
+_SIDE = "IF({0} > 0, 1D, -1D)"
 
 
-def _side(value: Column) -> Column:
-    """+1 above zero, else -1: the direction in which capitals push."""
-    return F.when(value > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+def _degree(k: int) -> str:
+    return f"CASE WHEN {_in(f'p{k}', INTENSIFIERS)} THEN {BOOST}D WHEN {_in(f'p{k}', DAMPENERS)} THEN -{BOOST}D ELSE 0D END"
 
 
-def _factor(distance: int, p1: Column, p2: Column, p3: Column) -> Column:
-    """What the negation rules multiply by for the word at ``distance``."""
-    word = (p1, p2, p3)[distance - 1]
-    negated = F.when(_negates(word), F.lit(NEGATION)).otherwise(F.lit(1.0))
-    if distance == 1:
-        return negated
-    if distance == 2:
-        stronger = (p2 == "never") & p1.isin(SO_OR_THIS)
-        untouched = (p2 == "without") & (p1 == "doubt")
-    else:
+def _factor(k: int) -> str:
+    """What the negation rules multiply by for the word at distance ``k``."""
+    near = _in("p1", ["so", "this"])
+    stronger, untouched = {
+        1: ("false", "false"),
+        2: (f"p2 = 'never' AND {near}", "p2 = 'without' AND p1 = 'doubt'"),
         # fixed behaviour: the word right before counts even without "never"
-        stronger = ((p3 == "never") & p2.isin(SO_OR_THIS)) | p1.isin(SO_OR_THIS)
-        untouched = (p3 == "without") & ((p2 == "doubt") | (p1 == "doubt"))
-    return F.when(stronger, F.lit(1.25)).when(untouched, F.lit(1.0)).otherwise(negated)
+        3: (
+            f"(p3 = 'never' AND {_in('p2', ['so', 'this'])}) OR {near}",
+            "p3 = 'without' AND (p2 = 'doubt' OR p1 = 'doubt')",
+        ),
+    }[k]
+    negated = f"{_in(f'p{k}', NEGATIONS)} OR contains(p{k}, \"n't\")"
+    return f"CASE WHEN {stronger} THEN 1.25D WHEN {untouched} THEN 1D WHEN {negated} THEN {NEGATION}D ELSE 1D END"
 
 
-def _idiom(lower: dict[int, Column]) -> Column:
+def _idiom() -> str:
     """Valence of an idiom around the word, else null.
 
     Phrases that go on to the right win over those to the left; among the latter the first one counts.
     """
-    around = F.array(*[lower[o] for o in range(-3, 3)])
-    # first offset and length of each phrase, the winning ones first
-    spans = [(0, 3), (0, 2), (-1, 2), (-2, 3), (-2, 2), (-3, 3), (-3, 2)]
-    phrases = F.transform(
-        F.array(*[F.struct(F.lit(o + 4).alias("at"), F.lit(n).alias("n")) for o, n in spans]),
-        lambda s: F.array_join(F.slice(around, s["at"], s["n"]), " "),
-    )
-    idioms = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+    # first place in the six words and length of each phrase, the winning ones first
+    spans = [(4, 3), (4, 2), (3, 2), (2, 3), (2, 2), (1, 3), (1, 2)]
+    places = ", ".join(f"struct({at} AS at, {n} AS n)" for at, n in spans)
+    phrases = f"transform(array({places}), s -> array_join(slice(array(p3, p2, p1, l0, n1, n2), s.at, s.n), ' '))"
+    known = f"get(filter({phrases}, phrase -> {_in('phrase', list(IDIOMS))}), 0)"
+    idioms = "map(" + ", ".join(f"'{text}', {value}D" for text, value in IDIOMS.items()) + ")"
     # every phrase holds the word itself or the one two before it
     parts = sorted({part for idiom in IDIOMS for part in idiom.split()})
-    possible = lower[0].isin(parts) | lower[-2].isin(parts)
-    known = F.filter(phrases, lambda phrase: phrase.isin(list(IDIOMS)))
-    return F.when(possible, F.try_element_at(idioms, F.get(known, F.lit(0))))
+    return f"CASE WHEN {_in('l0', parts)} OR {_in('p2', parts)} THEN try_element_at({idioms}, {known}) END"
 
 
 def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -82,50 +76,36 @@ def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
     What each neighbour does is read off first. The value then goes through the three distances in
     turn, as each depends on the sign the one before it left.
     """
-    pos, caps = F.col("pos"), F.col("caps")
-    out = hits.withColumns(
-        {
-            **{f"w{k}": F.get("tokens", pos - k) for k in (1, 2, 3)},
-            "n1": F.lower(F.get("tokens", pos + 1)),
-            "n2": F.lower(F.get("tokens", pos + 2)),
-            "l0": F.lower("token"),
-        }
-    ).withColumns({f"p{k}": F.lower(f"w{k}") for k in (1, 2, 3)})
-    for k in (1, 2, 3):
-        out = lexicon.add_known(out, f"p{k}", f"known{k}")
 
-    p = [F.col(f"p{k}") for k in (1, 2, 3)]
-    effects = {"loud": F.when(is_upper(F.col("token")) & caps, F.lit(CAPS)).otherwise(F.lit(0.0))}
-    for k in (1, 2, 3):
-        # a neighbour that is a lexicon word itself changes nothing
-        applies = (pos >= k) & ~F.col(f"known{k}")
-        effects[f"degree{k}"] = F.when(applies, _degree(p[k - 1])).otherwise(F.lit(0.0))
-        effects[f"factor{k}"] = F.when(applies, _factor(k, *p)).otherwise(F.lit(1.0))
-    lower = {-3: p[2], -2: p[1], -1: p[0], 0: F.col("l0"), 1: F.col("n1"), 2: F.col("n2")}
-    effects["idiom"] = F.when((pos >= 3) & ~F.col("known3"), _idiom(lower))
-    least = (
-        (pos >= 1) & ~F.col("known1") & (p[0] == "least") & ((pos == 1) | ~p[1].isin("at", "very"))
-    )
-    effects["least"] = F.when(least, F.lit(NEGATION)).otherwise(F.lit(1.0))
-    effects["neutral"] = is_booster(F.col("l0")) | F.coalesce(
-        (F.col("l0") == "kind") & (F.col("n1") == "of"), F.lit(False)
-    )
-    out = out.withColumns(effects).withColumns(
-        {
-            f"shout{k}": F.when((F.col(f"degree{k}") != 0) & caps & is_upper(F.col(f"w{k}")), F.lit(CAPS)).otherwise(
-                F.lit(0.0)
-            )
-            for k in (1, 2, 3)
-        }
-    )
+    def add(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
+        return df.withColumns({name: F.expr(formula) for name, formula in formulas.items()})
+
+    distances = (1, 2, 3)
+    words = {f"w{k}": f"get(tokens, pos - {k})" for k in distances}
+    after = {"n1": "lower(get(tokens, pos + 1))", "n2": "lower(get(tokens, pos + 2))", "l0": "lower(token)"}
+    out = add(add(hits, words | after), {f"p{k}": f"lower(w{k})" for k in distances})
+    for k in distances:
+        out = lexicon.add_known(out, f"p{k}", f"known{k}")
 
-    value = F.col("value")
-    out = out.withColumn("value", F.col("valence") + F.col("loud") * _side(F.col("valence")))
-    for k, weight in enumerate(DISTANCE_WEIGHTS, start=1):
-        sign = F.when(value < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        change = (F.col(f"degree{k}") * sign + F.col(f"shout{k}") * _side(value)) * F.lit(weight)
-        out = out.withColumn("value", (value + change) * F.col(f"factor{k}"))
-    return out.withColumn(
-        "value",
-        F.when(F.col("neutral"), F.lit(0.0)).otherwise(F.coalesce(F.col("idiom"), value) * F.col("least")),
+    # a neighbour that is a lexicon word itself changes nothing
+    applies = {k: f"pos >= {k} AND NOT known{k}" for k in distances}
+    least = "pos >= 1 AND NOT known1 AND p1 = 'least' AND (pos = 1 OR p2 NOT IN ('at', 'very'))"
+    effects = {
+        "loud": f"IF(caps AND {_upper('token')}, {CAPS}D, 0D)",
+        "idiom": f"IF({applies[3]}, {_idiom()}, NULL)",
+        "least": f"IF({least}, {NEGATION}D, 1D)",
+        "neutral": f"{_in('l0', [*INTENSIFIERS, *DAMPENERS])} OR (l0 = 'kind' AND coalesce(n1 = 'of', false))",
+    }
+    for k in distances:
+        effects[f"degree{k}"] = f"IF({applies[k]}, {_degree(k)}, 0D)"
+        effects[f"factor{k}"] = f"IF({applies[k]}, {_factor(k)}, 1D)"
+    out = add(out, effects)
+    out = add(
+        out,
+        {f"shout{k}": f"IF(degree{k} <> 0 AND caps AND {_upper(f'w{k}')}, {CAPS}D, 0D)" for k in distances}
+        | {"value": f"valence + loud * {_SIDE.format('valence')}"},
     )
+    for k, weight in zip(distances, DISTANCE_WEIGHTS):
+        change = f"(degree{k} * IF(value < 0, -1D, 1D) + shout{k} * {_SIDE.format('value')}) * {weight}D"
+        out = add(out, {"value": f"(value + {change}) * factor{k}"})
+    return add(out, {"value": "IF(neutral, 0D, coalesce(idiom, value) * least)"})

@@ -1,7 +1,7 @@
 """Epoch seconds, local wall clocks and calendar labels.
 
-Everything goes through TIMESTAMP_NTZ and ``convert_timezone``, so results do not depend on the
-session time zone.
+Local clocks are kept as plain numbers or TIMESTAMP_NTZ, so results do not depend on the session time
+zone.
 """
 
 from __future__ import annotations
@@ -25,26 +25,36 @@ def iso_to_epoch_text(date: Column) -> Column:
     return F.unix_seconds(date.try_cast("timestamp")).cast("string")
 
 
+def _local_seconds(seconds: Column, tz: str) -> Column:
+    """Seconds a wall clock in ``tz`` has counted since 1970, as a plain number."""
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), tz))
+
+
+def _wall_clock(seconds: Column) -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL '1' SECOND") * seconds
+
+
 def local_time(seconds: Column, tz: str = BERLIN) -> Column:
     """Wall-clock time (TIMESTAMP_NTZ) in ``tz`` for epoch seconds."""
-    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")
-    )
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+    return _wall_clock(_local_seconds(seconds, tz))
 
 
 def day_label(seconds: Column, tz: str = BERLIN) -> Column:
     """The local calendar day."""
-    return local_time(seconds, tz).cast("date")
+    local = _local_seconds(seconds, tz)
+    return F.date_from_unix_date(F.floor(local / 86400).cast("int"))
 
 
 def week_label(seconds: Column, tz: str = BERLIN) -> Column:
     """The Sunday that closes the local Monday-to-Sunday week."""
-    day = day_label(seconds, tz)
-    return F.date_add(day, (6 - F.weekday(day)).cast("int"))
+    local = _local_seconds(seconds, tz)
+    # day 3 (4 January 1970) was a Sunday, and so is every seventh day from it
+    days = F.floor(local / 86400)
+    return F.date_from_unix_date((F.ceil((days - 3) / 7) * 7 + 3).cast("int"))
 
 
 def utc_label(day: Column, tz: str = BERLIN) -> Column:
     """Local midnight of ``day`` as an ISO string in UTC, e.g. ``2023-03-25T23:00:00.000Z``."""
-    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), day.cast("timestamp_ntz"))
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    midnight = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400)
+    utc = _wall_clock(F.unix_seconds(F.to_utc_timestamp(midnight, tz)))
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit(".000Z"))

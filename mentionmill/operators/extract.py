@@ -63,9 +63,9 @@ NAV_LAYOUT = TeaserLayout(block=r"<li\b[^>]*>", link=r"<a\b[^>]*>", title=r"<a\b
 
 def extract_teasers(pages: DataFrame, layout: TeaserLayout = ARCHIVE_LAYOUT) -> DataFrame:
     """One row per teaser of a listing page, in page order."""
-    # the part before the first teaser is item 0
+    # the part before the first teaser is item 0; the blank makes sure that there is one
     blocks = pages.select(
-        F.col("url").alias("page_url"), F.posexplode_outer(F.split("html", f"(?={layout.block})"))
+        F.col("url").alias("page_url"), F.posexplode_outer(F.split(F.concat(F.lit(" "), "html"), f"(?={layout.block})"))
     ).filter("pos > 0")
     block = F.col("col")
 
@@ -164,7 +164,7 @@ def section_carry(pages: DataFrame, layout: SectionLayout = SectionLayout()) ->
     # plain text: one text node, be it inside nested tags
     plain = f"^<{layout.header}(?:\\s[^>]*)?>(?:<[a-zA-Z][^>]*>)*([^<]*)(?:</[a-zA-Z][^>]*>)*?</{layout.header}>"
     elements = (
-        pages.select("url", F.posexplode_outer(F.split("html", opening)))
+        pages.select("url", F.posexplode_outer(F.split(F.concat(F.lit(" "), "html"), opening)))
         .filter("pos > 0")
         .select(
             F.col("url").alias("page_url"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import fits_broadcast
-
 BODY = (
     "entities MAP<STRING, STRUCT<"
     "labels: MAP<STRING, STRUCT<value: STRING>>, descriptions: MAP<STRING, STRUCT<value: STRING>>>>"
@@ -43,6 +41,4 @@ def flatten_entities(documents: DataFrame) -> DataFrame:
 def missing_ids(requested: DataFrame, catalog: DataFrame) -> DataFrame:
     """Requested ids the catalog does not hold yet."""
     known = catalog.select("wd_id").filter(F.col("wd_id").isNotNull()).distinct()
-    if fits_broadcast(known):
-        known = F.broadcast(known)
     return requested.select("wd_id").join(known, "wd_id", "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-# A lookup side beyond either bound is joined by shuffle.
+# A dictionary beyond either bound is joined by shuffle.
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 
@@ -21,33 +22,39 @@ def fits_broadcast(
     return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
-def bounded_broadcast(df: DataFrame, **bounds: int) -> DataFrame:
-    """``df`` with a broadcast hint when it was measured to be small, else unchanged."""
-    return F.broadcast(df) if fits_broadcast(df, **bounds) else df
+def _spread_key(left: DataFrame, key: str) -> Column:
+    """The key as text, or for a row without one a stand-in that differs from row to row.
+
+    A few plain columns of the row are enough to tell rows apart, and reading them costs little.
+    """
+    plain = [f.name for f in left.schema.fields if f.name != key and isinstance(f.dataType, AtomicType)][:3]
+    stand_in = F.concat(F.lit("\x00no-key:"), F.xxhash64(*plain).cast("string"))
+    return F.coalesce(F.col(key).cast("string"), stand_in if plain else F.lit("\x00no-key"))
 
 
-def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = False, **bounds: int) -> DataFrame:
+def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = False, measure: bool = False) -> DataFrame:
     """Left join on ``key``, keeping every row of ``left``.
 
-    A measured-small ``right`` is broadcast. Otherwise both sides are shuffled; rows without a key get
-    a spread-out stand-in first, so that they do not all land in one task, and adaptive execution
-    splits hot keys (only the left side of a left join is ever split).
+    The strategy is Spark's: it broadcasts a side whose size, as estimated from the files or as
+    measured at run time, is below its threshold, and shuffles otherwise. ``right`` is not run in
+    advance, as it may be the result of a long job; ``measure`` asks for that, to broadcast up to the
+    larger bounds here.
+
+    In a shuffle, rows without a key would all meet in one task, so they get a spread-out stand-in.
+    Hot keys are split by adaptive execution (of a left join only the left side ever is).
     """
     extra = [c for c in right.columns if c != key]
+    right = right.withColumnRenamed(key, "_right_key")
     if null_safe:
-        other = right.withColumnRenamed(key, "_right_key")
-        if fits_broadcast(right, **bounds):
-            other = F.broadcast(other)
-        return left.join(other, left[key].eqNullSafe(other["_right_key"]), "left").drop("_right_key")
-    right = right.filter(F.col(key).isNotNull())
-    if fits_broadcast(right, **bounds):
-        return left.join(F.broadcast(right), key, "left").select(*left.columns, *extra)
-    spread = F.concat(F.lit("\x00no-key:"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))
-    return (
-        left.withColumn("_key", F.coalesce(F.col(key).cast("string"), spread))
-        .join(right.withColumn("_key", F.col(key).cast("string")).drop(key), "_key", "left")
-        .select(*left.columns, *extra)
-    )
+        condition = left[key].eqNullSafe(F.col("_right_key"))
+        joined = left
+    else:
+        right = right.filter(F.col("_right_key").isNotNull()).withColumn("_right_key", F.col("_right_key").cast("string"))
+        condition = F.col("_left_key") == F.col("_right_key")
+        joined = left.withColumn("_left_key", _spread_key(left, key))
+    if measure and fits_broadcast(right):
+        right = F.broadcast(right)
+    return joined.join(right, condition, "left").select(*left.columns, *extra)
 
 
 def require_unique(df: DataFrame, key: str) -> DataFrame:

@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import fits_broadcast, left_lookup, require_unique
+from .lookup import left_lookup, require_unique
 
 FACTS = ["wd_id", "wd_label", "wd_description"]
 SENTIMENTS = ["url", "shorttext_sentiment", "fulltext_sentiment"]
 
 
-def merge_facts(table: DataFrame, catalog: DataFrame, null_safe: bool = False, **bounds: int) -> DataFrame:
+def merge_facts(table: DataFrame, catalog: DataFrame, null_safe: bool = False, measure: bool = False) -> DataFrame:
     """Add label and description to mentions or to any count table with a ``wd_id``."""
-    return left_lookup(table, catalog.select(*FACTS), "wd_id", null_safe=null_safe, **bounds)
+    return left_lookup(table, catalog.select(*FACTS), "wd_id", null_safe=null_safe, measure=measure)
 
 
-def merge_sentiment(mentions: DataFrame, sentiment: DataFrame, **bounds: int) -> DataFrame:
+def merge_sentiment(mentions: DataFrame, sentiment: DataFrame, measure: bool = False) -> DataFrame:
     """Add the article's sentiment; an article scored twice doubles its mentions."""
-    return left_lookup(mentions, sentiment.select(*SENTIMENTS), "url", **bounds)
+    return left_lookup(mentions, sentiment.select(*SENTIMENTS), "url", measure=measure)
 
 
-def join_many_to_one(left: DataFrame, right: DataFrame, key: str, **bounds: int) -> DataFrame:
+def join_many_to_one(left: DataFrame, right: DataFrame, key: str, measure: bool = False) -> DataFrame:
     """Left join that refuses a right side with repeated keys."""
-    return left_lookup(left, require_unique(right, key), key, **bounds)
+    return left_lookup(left, require_unique(right, key), key, measure=measure)
 
 
-def attach_by_text(articles: DataFrame, scored: DataFrame, text: str = "shorttext", **bounds: int) -> DataFrame:
+def attach_by_text(articles: DataFrame, scored: DataFrame, text: str = "shorttext", measure: bool = False) -> DataFrame:
     """Add ``sentiment`` by equal text; texts scored more than once count once."""
     one_each = scored.groupBy(text).agg(F.min("sentiment").alias("sentiment"))
-    return left_lookup(articles, one_each, text, **bounds)
+    return left_lookup(articles, one_each, text, measure=measure)
 
 
 def membership_count(left: DataFrame, right: DataFrame, text: str = "shorttext") -> DataFrame:
     """How many rows of ``left`` have a text that occurs in ``right``."""
     known = right.select(text).filter(F.col(text).isNotNull()).distinct()
-    if fits_broadcast(known):
-        known = F.broadcast(known)
     return left.join(known, text, "left_semi").agg(F.count(F.lit(1)).alias("matching"))

@@ -12,7 +12,7 @@ from mentionmill.functions.time import epoch_seconds, local_time, utc_label, wee
 from mentionmill.operators import clean, counts, evaluate, merge, spines
 from mentionmill.operators.entities import flatten_entities, missing_ids
 from mentionmill.operators.link import link_entities, name_words
-from mentionmill.operators.lookup import fits_broadcast, left_lookup
+from mentionmill.operators.lookup import _spread_key, fits_broadcast, left_lookup
 from mentionmill.operators.model import batch_score
 from mentionmill.operators.rowids import dense_row_ids
 from mentionmill.plans.products import count_products, linked_mentions
@@ -130,8 +130,18 @@ def test_dedupe_takes_the_first(spark):
 # joins
 
 
-@pytest.mark.parametrize("bounds", [{}, {"max_rows": 0}])
+@pytest.mark.parametrize("bounds", [{}, {"measure": True}, "shuffle"])
 def test_merges(spark, bounds):
+    if bounds == "shuffle":
+        bounds = {}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_merges(spark, bounds)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_merges(spark, bounds):
     mentions = spark.createDataFrame([("/a", "Q1"), ("/a", "Q2"), ("/b", None)], "url string, wd_id string")
     catalog = spark.createDataFrame([("Q1", "eins", "one"), (None, "x", "y")], "wd_id string, wd_label string, wd_description string")
     got = merge.merge_facts(mentions, catalog, **bounds).collect()
@@ -144,12 +154,24 @@ def test_merges(spark, bounds):
     assert len(doubled) == 5
 
 
-def test_beyond_the_bound_nothing_is_broadcast_by_hint(spark):
-    left = spark.range(100).select((F.col("id") % 3).cast("string").alias("k"))
-    right = spark.range(3).select(F.col("id").cast("string").alias("k"), "id")
+def test_lookup_hints_only_what_was_measured(spark):
+    left = spark.range(100).select((F.col("id") % 3).cast("string").alias("k"), "id")
+    right = spark.range(3).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n"))
     assert fits_broadcast(right) and not fits_broadcast(right, max_rows=2) and not fits_broadcast(right, max_bytes=10)
-    plan = left_lookup(left, right, "k", max_rows=2)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" not in plan
+
+    def hinted(df):
+        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(left_lookup(left, right, "k", measure=True)) and not hinted(left_lookup(left, right, "k"))
+
+
+def test_rows_without_key_are_spread(spark):
+    left = spark.range(10_000).select(F.lit(None).cast("string").alias("k"), "id")
+    right = spark.createDataFrame([("a", 1)], "k string, n int")
+    joined = left_lookup(left, right, "k")
+    assert joined.filter("n IS NULL AND k IS NULL").count() == 10_000
+    keys = left.select(_spread_key(left, "k").alias("s")).distinct().count()
+    assert keys == 10_000
 
 
 def test_many_to_one_refuses_repeats(spark):

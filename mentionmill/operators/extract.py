@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sections import sections_from_url
@@ -157,56 +157,57 @@ class SectionLayout:
 def section_carry(pages: DataFrame, layout: SectionLayout = SectionLayout()) -> DataFrame:
     """Items of a page in order, each filed under the last header before it.
 
-    A header without plain text resets the section. Only tag, text and link of each element are
-    shuffled by page, not the page itself.
+    A header without plain text resets the section. The walk over a page's elements stays inside its
+    row, so nothing is shuffled and copies of a page do not mix.
     """
     opening = f"(?=<(?:{layout.header}|{layout.item})[\\s>])"
     # plain text: one text node, be it inside nested tags
     plain = f"^<{layout.header}(?:\\s[^>]*)?>(?:<[a-zA-Z][^>]*>)*([^<]*)(?:</[a-zA-Z][^>]*>)*?</{layout.header}>"
-    elements = (
-        pages.select("url", F.posexplode_outer(F.split(F.concat(F.lit(" "), "html"), opening)))
-        .filter("pos > 0")
-        .select(
-            F.col("url").alias("page_url"),
-            "pos",
-            F.col("col").rlike(f"^<{layout.header}[\\s>]").alias("is_header"),
-            blank_to_null(unescape_html(F.regexp_extract("col", plain, 1))).alias("text"),
-            attribute(F.substring_index("col", f"</{layout.item}>", 1), r"<a\b[^>]*>", "href").alias("href"),
-            F.col("col").contains(f"</{layout.item}>").alias("closes"),
+
+    def element(piece: Column) -> Column:
+        return F.struct(
+            piece.rlike(f"^<{layout.header}[\\s>]").alias("is_header"),
+            blank_to_null(unescape_html(F.regexp_extract(piece, plain, 1))).alias("text"),
+            attribute(F.substring_index(piece, f"</{layout.item}>", 1), r"<a\b[^>]*>", "href").alias("href"),
+            piece.contains(f"</{layout.item}>").alias("closes"),
         )
-    )
-    page = Window.partitionBy("page_url").orderBy("pos")
-    # the struct keeps a header without text apart from no header at all
-    header = F.last(F.when(F.col("is_header"), F.struct("text")), ignorenulls=True).over(
-        page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # an item may contain headers of its own, so its link can lie in a later piece
-    item_no = F.sum(F.when(F.col("is_header"), 0).otherwise(1)).over(page)
-    marked = elements.withColumn("section", header.getField("text")).withColumn("item_no", item_no)
-    closed_before = F.coalesce(
-        F.max(F.when(F.col("closes"), True).otherwise(False)).over(
-            Window.partitionBy("page_url", "item_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(False),
-    )
-    items = (
-        marked.withColumn("inside", ~closed_before)
-        .filter("item_no > 0")
-        .groupBy("page_url", "item_no")
-        .agg(
-            F.min(F.when(~F.col("is_header"), F.col("pos"))).alias("pos"),
-            F.min_by(F.struct("section"), F.when(~F.col("is_header"), F.col("pos")))["section"].alias("section"),
-            F.min_by("href", F.when(F.col("inside") & F.col("href").isNotNull(), F.col("pos"))).alias("url"),
+
+    def walk(state: Column, e: Column) -> Column:
+        out = state["out"]
+        last = F.try_element_at(out, F.lit(-1))
+        # an item may contain headers of its own, so its link can lie behind one
+        linked = F.concat(
+            F.slice(out, F.lit(1), F.size(out) - 1),
+            F.array(F.struct(last["section"].alias("section"), e["href"].alias("url"))),
+        )
+        late_link = state["inside"] & last["url"].isNull() & e["href"].isNotNull()
+        item = F.struct(state["section"].alias("section"), e["href"].alias("url"))
+        return F.struct(
+            F.when(e["is_header"], e["text"]).otherwise(state["section"]).alias("section"),
+            ((~e["is_header"] | state["inside"]) & ~e["closes"]).alias("inside"),
+            F.when(~e["is_header"], F.concat(out, F.array(item))).when(late_link, linked).otherwise(out).alias("out"),
         )
+
+    start = F.struct(
+        F.lit(None).cast("string").alias("section"),
+        F.lit(False).alias("inside"),
+        F.array().cast("array<struct<section:string,url:string>>").alias("out"),
     )
-    kept = items
+    # the blank makes sure that the part before the first element is item 0
+    pieces = F.filter(F.split(F.concat(F.lit(" "), "html"), opening), lambda _, i: i > 0)
+    items = pages.select(
+        F.col("url").alias("page_url"),
+        F.aggregate(F.transform(pieces, element), start, walk, lambda state: state["out"]).alias("_items"),
+    ).select("page_url", F.posexplode_outer("_items").alias("position", "_item"))
+    kept = items.filter(F.col("position").isNotNull())
     for name in layout.dropped:
-        kept = kept.filter(~F.col("section").eqNullSafe(F.lit(name)))
+        kept = kept.filter(~F.col("_item.section").eqNullSafe(F.lit(name)))
+    section = F.col("_item.section")
     return kept.select(
         "page_url",
-        F.col("item_no").cast("bigint").alias("position"),
-        "url",
-        F.when(F.coalesce(F.col("section"), F.lit("")) != "", F.array("section")).alias("sections"),
+        (F.col("position") + 1).cast("bigint").alias("position"),
+        F.col("_item.url").alias("url"),
+        F.when(F.coalesce(section, F.lit("")) != "", F.array(section)).alias("sections"),
     )
 
 
@@ -222,26 +223,31 @@ def full_view_url(html: Column, links: tuple[str, ...] = FULL_VIEW_LINKS) -> Col
 def resolve_full_view(pages: DataFrame, rounds: int = 2, links: tuple[str, ...] = FULL_VIEW_LINKS) -> DataFrame:
     """Replace url and body of a page by those of its one-page view, ``rounds`` times at most.
 
-    A view that was not fetched leaves the page as it is. Pages without a link take no part in the
-    shuffle's hot spot: their join key is made of their own url.
+    A view that was not fetched leaves the page as it is. Pages without a link pass straight through;
+    only linking pages and the pages they name are shuffled.
     """
+    marked = pages.select("url", "html", full_view_url(F.col("html"), links).alias("full_url"))
+    linking = marked.filter(F.col("full_url").isNotNull())
+    named = linking.select(F.col("full_url").alias("url")).distinct()
+    # of several copies of a view one is taken, by its fingerprint
     targets = (
-        pages.groupBy(F.col("url").alias("full_url"))
+        pages.select("url", "html")
+        .join(named, "url", "left_semi")
+        .groupBy(F.col("url").alias("full_url"))
         .agg(F.min_by("html", F.xxhash64("html")).alias("full_html"))
     )
-    current = pages.select(F.col("url").alias("page_url"), "url", "html")
+    current = linking.select(F.col("url").alias("page_url"), "url", "html", "full_url")
     for _ in range(rounds):
-        link = full_view_url(F.col("html"), links)
-        current = (
-            current.withColumn("full_url", F.coalesce(link, F.concat(F.lit("\x00none:"), "page_url")))
-            .join(targets, "full_url", "left")
-            .select(
-                "page_url",
-                F.when(F.col("full_html").isNotNull(), F.col("full_url")).otherwise(F.col("url")).alias("url"),
-                F.coalesce("full_html", "html").alias("html"),
-            )
+        current = current.join(targets, "full_url", "left").select(
+            "page_url",
+            F.when(F.col("full_html").isNotNull(), F.col("full_url")).otherwise(F.col("url")).alias("url"),
+            F.coalesce("full_html", "html").alias("html"),
+        ).withColumn(
+            "full_url",
+            F.coalesce(full_view_url(F.col("html"), links), F.concat(F.lit("\x00none:"), "page_url")),
         )
-    return current
+    straight = marked.filter(F.col("full_url").isNull()).select(F.col("url").alias("page_url"), "url", "html")
+    return straight.unionByName(current.select("page_url", "url", "html"))
 
 
 def shape_listing_articles(teasers: DataFrame) -> DataFrame:

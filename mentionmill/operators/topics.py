@@ -2,70 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA
+from dataclasses import dataclass
+
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
+
+@dataclass(frozen=True)
+class Topics:
+    """A fitted model, its words, and the weighted word counts of the articles it was fitted to."""
+
+    model: LDAModel
+    vocabulary: list[str]
+    weights: DataFrame
+
 
 def fit_topics(
     articles: DataFrame,
     text: str = "fulltext",
+    key: str = "url",
     k: int = 10,
     vocabulary: int = 20_000,
     min_articles: float = 2.0,
     iterations: int = 20,
     seed: int = 17,
     languages: tuple[str, ...] = ("german",),
-) -> PipelineModel:
+) -> Topics:
     """Fit word counts, weights and topics.
 
-    The vocabulary bound is a model parameter; online training works on samples of the articles, and
-    the model it keeps has ``k`` times ``vocabulary`` numbers whatever the number of articles.
+    Texts are read twice: for the vocabulary and for the counts, which are checkpointed, as every
+    training step reads them. The model holds ``k`` times ``vocabulary`` numbers, whatever the number
+    of articles.
     """
     stop = [w for language in languages for w in StopWordsRemover.loadDefaultStopWords(language)]
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}]+", minTokenLength=3),
-        StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop),
-        CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=min_articles),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        LDA(
-            k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="_weights", topicDistributionCol="_topics",
-        ),
-    ]
-    return Pipeline(stages=steps).fit(articles.fillna("", subset=[text]))
-
-
-def article_topics(articles: DataFrame, model: PipelineModel, text: str = "fulltext", key: str = "url") -> DataFrame:
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}]+", minTokenLength=3).transform(
+        articles.select(key, F.coalesce(text, F.lit("")).alias(text))
+    )
+    words = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop).transform(tokens).select(key, "_words")
+    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=min_articles).fit(words)
+    counts = checkpointed(counter.transform(words).select(key, "_counts"))
+    weights = IDF(inputCol="_counts", outputCol="_weights").fit(counts).transform(counts).select(key, "_weights")
+    model = LDA(
+        k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="_weights", topicDistributionCol="_topics"
+    ).fit(weights)
+    return Topics(model, counter.vocabulary, weights)
+
+
+def article_topics(topics: Topics, key: str = "url") -> DataFrame:
     """One row per article and topic with its weight."""
-    scored = model.transform(articles.fillna("", subset=[text]))
-    return scored.select(key, F.posexplode(vector_to_array("_topics")).alias("topic", "weight"))
+    scored = topics.model.transform(topics.weights).select(key, vector_to_array("_topics").alias("_topics"))
+    # outer: the optimizer would guard a plain explode by inferring the topics a second time
+    return scored.select(key, F.posexplode_outer("_topics").alias("topic", "weight"))
 
 
-def topic_terms(model: PipelineModel, terms: int = 10) -> DataFrame:
+def topic_terms(topics: Topics, terms: int = 10) -> DataFrame:
     """The strongest terms per topic, in order."""
-    vocabulary = model.stages[2].vocabulary
-    described = model.stages[-1].describeTopics(terms)
-    spark = described.sparkSession
-    words = spark.createDataFrame(list(enumerate(vocabulary)), "term_index int, term string")
-    return (
-        described.select("topic", F.posexplode("termIndices").alias("rank", "term_index"))
-        .join(words, "term_index")
-        .groupBy("topic")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_terms"))
-        .select("topic", F.transform("_terms", lambda t: t["term"]).alias("top_terms"))
+    words = F.lit(topics.vocabulary)
+    return topics.model.describeTopics(terms).select(
+        "topic", F.transform("termIndices", lambda i: F.get(words, i)).alias("top_terms")
     )
 
 
-def topic_summary(topics: DataFrame, model: PipelineModel, key: str = "url", terms: int = 10) -> DataFrame:
+def topic_summary(topics: Topics, key: str = "url", terms: int = 10) -> DataFrame:
     """Per topic: the number of articles it is strongest in, its mean weight and its terms."""
-    strongest = topics.groupBy(key).agg(F.max_by("topic", "weight").alias("topic"))
+    table = article_topics(topics, key)
+    strongest = table.groupBy(key).agg(F.max_by("topic", "weight").alias("topic"))
     counts = strongest.groupBy("topic").agg(F.count(F.lit(1)).alias("n_articles"))
-    means = topics.groupBy("topic").agg(F.avg("weight").alias("mean_weight"))
+    means = table.groupBy("topic").agg(F.avg("weight").alias("mean_weight"))
     return (
         means.join(counts, "topic", "left")
-        .join(topic_terms(model, terms), "topic", "left")
+        .join(topic_terms(topics, terms), "topic", "left")
         .select("topic", F.coalesce("n_articles", F.lit(0)).alias("n_articles"), "mean_weight", "top_terms")
     )

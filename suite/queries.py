@@ -409,18 +409,16 @@ def scoring_input_(spark, sf_dir):
     return scoring_input(inputs.articles(spark, sf_dir).select("doc_id", "shorttext"), "doc_id")
 
 
-def _topics(spark, sf_dir):
+def _fitted(spark, sf_dir):
     articles = inputs.articles(spark, sf_dir).select("url", "fulltext")
-    model = fit_topics(articles, k=6, vocabulary=3000, iterations=8, languages=("german", "english", "french", "spanish"))
-    return article_topics(articles, model), model
+    return fit_topics(articles, k=6, vocabulary=3000, iterations=8, languages=("german", "english", "french", "spanish"))
 
 
 @query
 def topics(spark, sf_dir):
-    return _topics(spark, sf_dir)[0]
+    return article_topics(_fitted(spark, sf_dir))
 
 
 @query
 def topic_summary_(spark, sf_dir):
-    table, model = _topics(spark, sf_dir)
-    return topic_summary(table, model)
+    return topic_summary(_fitted(spark, sf_dir))

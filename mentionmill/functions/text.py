@@ -25,7 +25,12 @@ NAMED_REFERENCES = {
     "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·", "bull": "•", "shy": "\xad",
     "bdquo": "„", "ldquo": "“", "rdquo": "”", "sbquo": "‚", "lsquo": "‘", "rsquo": "’",
     "laquo": "«", "raquo": "»", "sect": "§", "deg": "°", "euro": "€", "copy": "©", "reg": "®",
+    # last, as what it gives must not be read as the start of another reference
+    "amp": "&",
 }
+_REFERENCE_ARRAY = "array(" + ", ".join(
+    f"struct('&{name};' AS name, '\\u{ord(char):04x}' AS char)" for name, char in NAMED_REFERENCES.items()
+) + ")"
 
 
 def strip(value: Column) -> Column:
@@ -75,10 +80,8 @@ def unescape_html(value: Column) -> Column:
             F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decode_code_point), ""),
         ),
     ).otherwise(value)
-    named = numeric
-    for name, char in NAMED_REFERENCES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    named = F.replace(named, F.lit("&amp;"), F.lit("&"))
+    references = F.expr(_REFERENCE_ARRAY)
+    named = F.aggregate(references, numeric, lambda text, r: F.replace(text, r["name"], r["char"]))
     return F.when(value.contains("&"), named).otherwise(value)
 
 

@@ -1,0 +1,34 @@
+"""Growing an array inside ``aggregate`` without copying all of it for every item."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+CHUNK = 256
+
+
+def grow_start(item_type: str) -> Column:
+    """An empty array that can grow: full chunks, and the chunk that is being filled."""
+    return F.struct(
+        F.array().cast(f"array<array<{item_type}>>").alias("full"), F.array().cast(f"array<{item_type}>").alias("last")
+    )
+
+
+def grow_add(grown: Column, item: Column, item_type: str) -> Column:
+    """One item more.
+
+    The item is given exactly the declared type, nullable as all its fields: any difference in
+    nullability would make the analyzer cast, and so copy, the whole array at every step.
+    """
+    exact = F.array(F.when(F.lit(True), item.cast(item_type)))
+    turn = F.size(grown["last"]) >= CHUNK
+    return F.struct(
+        F.when(turn, F.concat(grown["full"], F.array(grown["last"]))).otherwise(grown["full"]).alias("full"),
+        F.when(turn, exact).otherwise(F.concat(grown["last"], exact)).alias("last"),
+    )
+
+
+def grow_end(grown: Column) -> Column:
+    """All items as one array."""
+    return F.concat(F.flatten(grown["full"]), grown["last"])

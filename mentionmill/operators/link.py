@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import grow_add, grow_end, grow_start
 from ..functions.text import ASCII_PUNCTUATION, has_edge, words
 from .lookup import fits_broadcast
 
@@ -36,17 +37,20 @@ def _name_table(aliases: DataFrame, max_words: int) -> DataFrame:
     )
 
 
+CANDIDATE = "struct<start:int,_order:int,n_words:int,name:string,label:string,wd_id:string,score:double>"
+
+
 def _pick(candidates: Column) -> Column:
     """Left to right, the longest candidate that starts after the last one taken."""
-    start = F.struct(F.lit(0).alias("free"), F.slice(candidates, 1, 0).alias("taken"))
+    start = F.struct(F.lit(0).alias("free"), grow_start(CANDIDATE).alias("taken"))
 
     def take(state: Column, c: Column) -> Column:
         return F.when(
             c["start"] >= state["free"],
-            F.struct((c["start"] + c["n_words"]).alias("free"), F.concat(state["taken"], F.array(c)).alias("taken")),
+            F.struct((c["start"] + c["n_words"]).alias("free"), grow_add(state["taken"], c, CANDIDATE).alias("taken")),
         ).otherwise(state)
 
-    return F.aggregate(candidates, start, take, lambda state: state["taken"])
+    return F.aggregate(candidates, start, take, lambda state: grow_end(state["taken"]))
 
 
 def _join_runs(taken: Column) -> Column:
@@ -120,12 +124,14 @@ def link_entities(
     else:
         found = runs.join(table, "name")
     # rows alike in every kept column and in text fold together; _rows tells how many there were
-    candidate = F.struct("start", (-F.col("_length")).alias("_order"), "n_words", "name", "label", "wd_id", "score")
+    candidate = F.struct(
+        "start", (-F.col("_length")).alias("_order"), "n_words", "name", "label", "wd_id", F.col("score").cast("double")
+    ).cast(CANDIDATE)
     grouped = (
         found.groupBy(*keep, "_text")
         .agg(F.collect_set(candidate).alias("_found"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_copies", (F.col("_rows") / F.size("_found")).cast("int"))
-        .withColumn("_sorted", F.array_sort("_found"))
+        .withColumn("_sorted", F.sort_array("_found"))
         .withColumn("_taken", _pick(F.col("_sorted")))
     )
     if include_unlinked:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.arrays import grow_add, grow_end, grow_start
 from ...functions.rounding import round_exact
 from ...functions.wordlists import ALPHA
 from ..clean import CLASS_THRESHOLD, sentiment_class
@@ -15,12 +16,15 @@ from .valence import add_word_valence
 SENTIMENT_COLUMNS = ["shorttext", "fulltext"]
 
 
+PLACED = "struct<pos:int,value:double>"
+
+
 def _values_in_order(hits: Column) -> Column:
     """Position and value of each hit in text order; a repeated word has the value of its first use."""
     start = F.struct(
         F.lit(None).cast("string").alias("token"),
         F.lit(None).cast("double").alias("value"),
-        F.array().cast("array<struct<pos:int,value:double>>").alias("out"),
+        grow_start(PLACED).alias("out"),
     )
 
     def take(state: Column, hit: Column) -> Column:
@@ -30,10 +34,10 @@ def _values_in_order(hits: Column) -> Column:
         return F.struct(
             hit["token"].alias("token"),
             value.alias("value"),
-            F.concat(state["out"], F.array(placed)).alias("out"),
+            grow_add(state["out"], placed, PLACED).alias("out"),
         )
 
-    return F.array_sort(F.aggregate(F.array_sort(hits), start, take, lambda state: state["out"]))
+    return F.sort_array(F.aggregate(F.sort_array(hits), start, take, lambda state: grow_end(state["out"])))
 
 
 def _after_contrast(values: Column, but_at: Column) -> Column:

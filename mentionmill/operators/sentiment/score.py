@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.arrays import grow_add, grow_end, grow_start
 from ...functions.rounding import round_exact
 from ...functions.wordlists import ALPHA
 from ..clean import CLASS_THRESHOLD, sentiment_class
@@ -16,28 +15,30 @@ from .valence import add_word_valence
 SENTIMENT_COLUMNS = ["shorttext", "fulltext"]
 
 
-PLACED = "struct<pos:int,value:double>"
+def _add_ordered(texts: DataFrame, hits: str) -> DataFrame:
+    """Turn the set of hits into position and value in text order.
 
-
-def _values_in_order(hits: Column) -> Column:
-    """Position and value of each hit in text order; a repeated word has the value of its first use."""
-    start = F.struct(
-        F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("double").alias("value"),
-        grow_start(PLACED).alias("out"),
-    )
-
-    def take(state: Column, hit: Column) -> Column:
-        # sorted by word, then position: the first hit of a run sets the value
-        value = F.when(state["token"] == hit["token"], state["value"]).otherwise(hit["value"])
-        placed = F.struct(hit["pos"].alias("pos"), value.alias("value"))
-        return F.struct(
-            hit["token"].alias("token"),
-            value.alias("value"),
-            grow_add(state["out"], placed, PLACED).alias("out"),
+    A repeated word has the value of its first use. Each step is a column of its own and used more than
+    once, so the optimizer leaves it to be computed once and not for every item of a lambda.
+    """
+    return (
+        texts.withColumn(hits, F.sort_array(hits))
+        .withColumn(
+            "_first_value",
+            F.expr(
+                f"map_from_entries(transform(filter({hits}, (h, j) -> j = 0 OR get({hits}, j - 1).token <> h.token), "
+                "h -> struct(h.token, h.value)))"
+            ),
         )
-
-    return F.sort_array(F.aggregate(F.sort_array(hits), start, take, lambda state: grow_end(state["out"])))
+        .withColumn(
+            hits,
+            F.expr(
+                f"IF(size(_first_value) = 0, array(), sort_array(transform({hits}, "
+                "h -> struct(h.pos AS pos, element_at(_first_value, h.token) AS value))))"
+            ),
+        )
+        .drop("_first_value")
+    )
 
 
 def _after_contrast(values: Column, but_at: Column) -> Column:
@@ -174,7 +175,7 @@ def score_columns(
 
     for c in columns:
         but = F.when(F.col(f"_but_{c}") >= 0, F.col(f"_but_{c}"))
-        out = out.withColumn(f"_hits_{c}", _values_in_order(F.col(f"_hits_{c}"))).withColumn(
+        out = _add_ordered(out, f"_hits_{c}").withColumn(
             f"_values_{c}",
             F.when(but.isNotNull(), _after_contrast(F.col(f"_hits_{c}"), but)).otherwise(
                 F.transform(f"_hits_{c}", lambda h: h["value"])

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mentionmill.llm.packing import pack
 from mentionmill.llm.sharding import histogram_shards
+from mentionmill.llm.tokens import token_count
 from mentionmill.llm.url_filters import Rule, judge_urls, page_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,26 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        token_count(F.col("text"), tokenizer_path()).alias("n_tokens"),
+    ).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op8_pack(spark, sf_dir):
+    """All documents in sequences of 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())

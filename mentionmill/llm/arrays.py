@@ -28,7 +28,8 @@ LETTERED[0x30:0x3A] = LETTERED[0x61:0x7B] = LETTERED[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD_A, _ODD_B, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+_A, _B = np.uint64(_ODD_A), np.uint64(_ODD_B)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -81,7 +82,7 @@ def chunks8(data: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span's bytes and length."""
     lengths = ends - starts
-    out = mix(lengths.astype(np.uint64) * _A + np.uint64(seed) * _B + _B)
+    out = mix(lengths.astype(np.uint64) * _A + np.uint64((seed + 1) * _ODD_B & _ALL))
     if not len(starts):
         return out
     eight = chunks8(data)
@@ -104,7 +105,7 @@ def run_hashes(symbols: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     n = len(symbols) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    salt = np.uint64(2 * seed + 1) * _A
+    salt = np.uint64((2 * seed + 1) * _ODD_A & _ALL)
     power, level, done, out = 1, symbols, 0, None
     while True:
         if length & power:

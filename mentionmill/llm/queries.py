@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mentionmill.llm.decontaminate import contamination
 from mentionmill.llm.packing import pack
+from mentionmill.llm.quality import line_rules
 from mentionmill.llm.sharding import histogram_shards
 from mentionmill.llm.tokens import token_count
 from mentionmill.llm.url_filters import Rule, judge_urls, page_edges
@@ -99,3 +101,24 @@ def op4_token_counts(spark, sf_dir):
 def op8_pack(spark, sf_dir):
     """All documents in sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
+
+
+@query
+def op2_contamination(spark, sf_dir):
+    """Every document's words that lie in windows of benchmark items."""
+    found = contamination(
+        table(spark, sf_dir, "documents"), "text", ["doc_id"], table(spark, sf_dir, "benchmark"), "item_id", "text"
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op5_line_rules(spark, sf_dir):
+    """Every document's counts and the verdict of the line frequency rules."""
+    judged = line_rules(table(spark, sf_dir, "documents"), "text", "source", ["doc_id"])
+    return judged.drop("n_frequent_words", "depleted")

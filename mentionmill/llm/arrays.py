@@ -100,23 +100,36 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         at += 8
 
 
-def run_hashes(symbols: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """A hash of every run of ``length`` symbols, by doubling; one entry per start, none if there are too few."""
+def _joined(left: np.ndarray, right: np.ndarray, salt: np.uint64) -> np.ndarray:
+    x = left * _B
+    x += right
+    x += salt
+    x ^= x >> np.uint64(32)
+    x *= _A
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def run_hashes(symbols: np.ndarray, length: int, seed: int = 0, unit: int = 1) -> np.ndarray:
+    """A hash of every run of ``length`` places, by doubling; one entry per start, none if there are too few.
+
+    ``symbols`` holds a number for the ``unit`` places from each place on, so ``length`` must be a multiple of it.
+    """
     n = len(symbols) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     salt = np.uint64((2 * seed + 1) * _ODD_A & _ALL)
-    power, level, done, out = 1, symbols, 0, None
+    power, level, done, out = unit, symbols, 0, None
     while True:
         if length & power:
             part = level[done : done + n]
-            out = part.copy() if out is None else mix(out * _A + part + salt)
+            out = mix(part) if out is None else _joined(out, part, salt)
             done += power
         power *= 2
         if power > length:
             return out
         half = power // 2
-        level = mix(level[:-half] * _B + level[half:] + salt)
+        level = _joined(level[:-half], level[half:], salt)
 
 
 def least_positions(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -11,6 +11,8 @@ from mentionmill.llm.decontaminate import contamination
 from mentionmill.llm.packing import pack
 from mentionmill.llm.quality import line_rules
 from mentionmill.llm.sharding import histogram_shards
+from mentionmill.llm.substrings import without_repeats
+from mentionmill.llm.suffix_index import without_repeated_bytes
 from mentionmill.llm.tokens import token_count
 from mentionmill.llm.url_filters import Rule, judge_urls, page_edges
 
@@ -122,3 +124,15 @@ def op5_line_rules(spark, sf_dir):
     """Every document's counts and the verdict of the line frequency rules."""
     judged = line_rules(table(spark, sf_dir, "documents"), "text", "source", ["doc_id"])
     return judged.drop("n_frequent_words", "depleted")
+
+
+@query
+def op6_substrings(spark, sf_dir):
+    """Every document without the words of windows of 35 words that occur again."""
+    return without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op10_suffix_index(spark, sf_dir):
+    """Every document without the bytes of strings of 200 bytes that occur again."""
+    return without_repeated_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")

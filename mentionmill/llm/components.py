@@ -14,7 +14,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hangs its larger neighbours on its least one."""
-    both = _both_ways(edges)
+    both = _both_ways(edges.filter("u <> v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -38,11 +38,9 @@ def components(edges: DataFrame) -> Table:
     chain. Hot nodes are pre-aggregated (least neighbour) and joined, never gathered. Edges to null and loops are
     passed over.
     """
-    given = Table(edges.select("u", "v"))
-    now = Table(given.df.filter("u <> v").distinct())
-    given.drop()
-    seen = _digest(now.df)
-    while seen[0]:
+    now = Table(edges.select("u", "v"))
+    seen = None
+    while seen is None or seen[0]:
         after = Table(_small_star(_large_star(now.df)))
         found = _digest(after.df)
         now.drop()

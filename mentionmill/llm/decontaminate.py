@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionmill.llm.arrays import LETTERED, LOWER, run_hashes, span_hashes, text_slices, word_spans
+from mentionmill.llm.arrays import LETTERED, LOWER, ranges, run_hashes, span_hashes, text_slices, word_spans
 from mentionmill.llm.tables import Table
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
 #: Bits of the bitmap that is sent to all tasks: 1 MB, whatever the benchmark's size.
 BITMAP_BITS = 23
+#: Bytes of text scanned at once: the words around each place take many times the room of the text.
+SLICE = 500_000
 
 _WINDOW = "item string, words array<string>, shingles array<bigint>"
 
@@ -66,38 +68,56 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _met(known: np.ndarray, hashes: np.ndarray, lengths: list[int], first: np.ndarray, last: np.ndarray):
+    """Places whose shingle is in the bitmap, by document: their word, document and shingle."""
+    mask, parts = np.uint64((1 << BITMAP_BITS) - 1), []
+    for length in lengths:
+        found = _shingles(hashes, length).view(np.uint64)
+        slot = found & mask
+        at = np.flatnonzero((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+        at = at[at + length <= last[at]]
+        parts.append((at, found[at]))
+    at = np.concatenate([p[0] for p in parts] or [np.zeros(0, dtype=np.int64)])
+    grams = np.concatenate([p[1] for p in parts] or [np.zeros(0, dtype=np.uint64)])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    return at, np.searchsorted(first, at, side="right") - 1, grams[order]
+
+
 _PLACE = "struct<at:bigint,h:bigint,start:bigint,words:array<string>>"
 
 
 def _scan(lengths: list[int], bits):
     """Counts words and finds the places of shingles in the bitmap, with the words around each."""
-    mask = np.uint64((1 << BITMAP_BITS) - 1)
     kind = pa.struct([("at", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value
         for batch in batches:
-            for row, data, offsets in text_slices(batch.column(0)):
+            for row, data, offsets in text_slices(batch.column(0), SLICE):
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets, LETTERED)
                 hashes, raw = span_hashes(data, starts, ends), data.tobytes()
                 last = np.repeat(first[1:], np.diff(first))  # the end of each word's document
-                places: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-                for length in lengths:
-                    found = _shingles(hashes, length)
-                    slot = found.view(np.uint64) & mask
-                    hit = (known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
-                    at = np.flatnonzero(hit)
-                    at = at[at + length <= last[at]]
-                    for i, doc in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist(), strict=True):
-                        lo = max(int(first[doc]), i - WINDOW_WORDS + length)
-                        hi = min(int(first[doc + 1]), i + WINDOW_WORDS)
-                        words = [raw[s:e].decode("utf-8") for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True)]
-                        base = int(first[doc])
-                        places[doc].append({"at": i - base, "h": int(found[i]), "start": lo - base, "words": words})
-                kept = [batch.column(c).slice(row, len(places)) for c in range(1, batch.num_columns)]
+                at, doc, grams = _met(known, hashes, lengths, first, last)
+                base = first[doc]
+                lo = np.maximum(base, at - WINDOW_WORDS + 1)
+                count = np.minimum(first[doc + 1], at + WINDOW_WORDS) - lo
+                around = ranges(lo, count)
+                words = pa.array([raw[s:e] for s, e in zip(starts[around], ends[around], strict=True)], pa.binary())
+                places = pa.StructArray.from_arrays(
+                    [
+                        pa.array(at - base),
+                        pa.array(grams.view(np.int64)),
+                        pa.array(lo - base),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), words.cast(pa.string())),
+                    ],
+                    fields=list(kind),
+                )
+                bounds = np.searchsorted(doc, np.arange(len(offsets)))
+                kept = [batch.column(c).slice(row, len(offsets) - 1) for c in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.diff(first), pa.int64()), pa.array(places, pa.list_(kind)), *kept],
+                    [pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), places), *kept],
                     names=["n_words", "places", *batch.schema.names[1:]],
                 )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionmill.llm.decontaminate import contamination
+from mentionmill.llm.near_duplicates import near_duplicate_classes
 from mentionmill.llm.packing import pack
 from mentionmill.llm.quality import line_rules
 from mentionmill.llm.sharding import histogram_shards
@@ -136,3 +137,10 @@ def op6_substrings(spark, sf_dir):
 def op10_suffix_index(spark, sf_dir):
     """Every document without the bytes of strings of 200 bytes that occur again."""
     return without_repeated_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op3_near_duplicates(spark, sf_dir):
+    """Every document with the class of its near duplicates; one of each class is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicate_classes(docs, "doc_id", "text").select(F.col("doc").alias("doc_id"), "class_id", "kept")

@@ -56,14 +56,23 @@ class Alphabet:
         starts, ends, first = word_spans(data, offsets, SPACED)
         return span_hashes(data, starts, ends), first, 1
 
-    def hashes(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        symbols, bounds, unit = self.symbols(data, offsets)
-        return run_hashes(symbols, length, seed, unit), bounds
+    def cut(
+        self, data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Where the places ``start`` to ``end`` of rows lie in bytes."""
+        if self.kind == "byte":
+            return offsets[row] + start, offsets[row] + end
+        starts, ends, first = word_spans(data, offsets, SPACED)
+        return starts[first[row] + start], ends[first[row] + end - 1]
 
 
 WORDS_35 = Alphabet("word", 35, 8)
 BYTES_200 = Alphabet("byte", 200, 64)
 
+#: Classes of one seed that are compared in one task, and bytes of stretches in such a task.
+CLASSES_AT_ONCE = 1000
+BUCKET_BYTES = 8_000_000
+
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -108,35 +117,105 @@ def anchors(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     return docs.mapInArrow(scan, f"{fields}, start bigint, more smallint, seed bigint, reach bigint")
 
 
-def _window_rows(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(doc, fp, start, seed, window): every window of the listed stretches (column ``stretches``)."""
-    length = alphabet.window
+def _stretches(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """(doc, fp, start, more, seed, classes, body): the listed stretches with their own part of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            lists = batch.column(2)
             for row, data, offsets in text_slices(batch.column(3), alphabet.slice_bytes):
-                hashes, bounds = alphabet.hashes(data, offsets, length, 3)
                 part = lists.slice(row, len(offsets) - 1)
                 owner = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 flat = part.flatten()
-                start, more, seed = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "more", "seed"))
-                count = more.astype(np.int64) + 1
-                place = ranges(start, count)
-                rows = np.repeat(owner, count)
+                start, more, seed, classes = (
+                    flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "more", "seed", "classes")
+                )
+                begin, end = alphabet.cut(data, offsets, owner, start, start + more + alphabet.window)
+                raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(rows + row)),
-                        batch.column(1).take(pa.array(rows + row)),
-                        pa.array(place),
-                        pa.array(np.repeat(seed, count)),
-                        pa.array(hashes[place + bounds[rows]].view(np.int64)),
+                        batch.column(0).take(pa.array(owner + row)),
+                        batch.column(1).take(pa.array(owner + row)),
+                        *(pa.array(x) for x in (start, more, seed, classes)),
+                        pa.array([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
                     ],
-                    names=["doc", "fp", "start", "seed", "window"],
+                    names=["doc", "fp", "start", "more", "seed", "classes", "body"],
                 )
 
     kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(scan, f"doc {kind}, fp bigint, start bigint, seed bigint, window bigint")
+    return docs.mapInArrow(
+        scan, f"doc {kind}, fp bigint, start bigint, more smallint, seed bigint, classes bigint, body binary"
+    )
+
+
+def _windows_of(bodies: pa.Array, alphabet: Alphabet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of stretches: the stretch of each window, its place there and its hash."""
+    for row, data, offsets in text_slices(bodies, alphabet.slice_bytes):
+        symbols, bounds, unit = alphabet.symbols(data, offsets)
+        hashes = run_hashes(symbols, alphabet.window, 3, unit)
+        count = np.maximum(np.diff(bounds) - alphabet.window + 1, 0)
+        at = ranges(bounds[:-1], count)
+        owner = np.repeat(np.arange(len(count)), count)
+        yield owner + row, at - bounds[owner], hashes[at]
+
+
+def _window_rows(stretches: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """(doc, fp, start, seed, window): every window of the stretches."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = batch.column(2).to_numpy(zero_copy_only=False)
+            for owner, place, window in _windows_of(batch.column(4), alphabet):
+                index = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(index),
+                        batch.column(1).take(index),
+                        pa.array(start[owner] + place),
+                        batch.column(3).take(index),
+                        pa.array(window.view(np.int64)),
+                    ],
+                    names=["doc", "fp", "start", "seed", "window"],
+                )
+
+    kind = dict(stretches.dtypes)["doc"]
+    rows = stretches.select("doc", "fp", "start", "seed", "body")
+    return rows.mapInArrow(scan, f"doc {kind}, fp bigint, start bigint, seed bigint, window bigint")
+
+
+def _met_in_bucket(alphabet: Alphabet):
+    """Repeated windows among the stretches of whole seeds, as spans."""
+
+    def compare(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.combine_chunks()
+        body, seed, start = (bucket.column(c).combine_chunks() for c in ("body", "seed", "start"))
+        parts = [*_windows_of(body, alphabet)]
+        owner, place, window = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        seeds = seed.to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.lexsort((window, seeds[owner]))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (window[order[1:]] == window[order[:-1]]) & (seeds[owner[order[1:]]] == seeds[owner[order[:-1]]])
+        twice = np.zeros(len(order), dtype=bool)
+        twice[order[same]] = True
+        twice[order[np.flatnonzero(same) - 1]] = True
+        owner, place = owner[twice], place[twice]
+        new = np.ones(len(owner), dtype=bool)  # neighbouring windows of a stretch make one span
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(owner))[: len(first)] - 1
+        index = pa.array(owner[first])
+        begin = start.to_numpy(zero_copy_only=False)[owner]
+        return pa.table(
+            [
+                bucket.column("doc").take(index),
+                bucket.column("fp").take(index),
+                pa.array(begin[first] + place[first]),
+                pa.array(begin[last] + place[last] + alphabet.window),
+            ],
+            names=["doc", "fp", "start", "end"],
+        )
+
+    return compare
 
 
 def same_document(a: str, b: str):
@@ -156,19 +235,31 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
         candidates.join(classes.filter("n > 1").select("seed", "reach"), ["seed", "reach"], "left_semi")
         .select("doc", "fp", "start", (F.col("start") + F.col("more") + length).alias("end"))
     )
-    several = classes.groupBy("seed").agg(F.count("*").alias("c")).filter("c > 1").select("seed")
+    several = classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")
     open_stretches = (
-        classes.join(several, "seed", "left_semi").select("one.*", "seed")
-        .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
+        classes.join(several, "seed").select("one.*", "seed", "classes")
+        .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed", "classes")).alias("stretches"))
+    )
+    listed = docs.alias("d").join(open_stretches.alias("o"), same_document("d", "o")).select("d.doc", "d.fp", "o.stretches", "d.text")
+    # A repeated row gives its stretches twice. That is right: its windows do occur again, in the repetition.
+    stretches = Table(_stretches(listed, alphabet)).df
+    # Seeds with few classes are compared whole, many to a task. One with more goes window by window through a
+    # shuffle, counted before it is dealt out, so no task ever holds it.
+    few = F.col("classes") <= CLASSES_AT_ONCE
+    size = stretches.filter(few).agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
+    kind = dict(docs.dtypes)["doc"]
+    near = (
+        stretches.filter(few).withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets)))
+        .groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
     )
-    bodies = docs.alias("d").join(open_stretches.alias("o"), same_document("d", "o")).select("d.doc", "d.fp", "o.stretches", "d.text")
-    # A repeated row stands for itself once more: its classes already count it, so its windows need not.
-    windows = Table(_window_rows(bodies, alphabet).distinct()).df
+    windows = Table(_window_rows(stretches.filter(~few), alphabet)).df
     twice = windows.groupBy("seed", "window").agg(F.count("*").alias("n")).filter("n > 1").select("seed", "window")
     single = windows.join(twice, ["seed", "window"], "left_semi").select(
         "doc", "fp", "start", (F.col("start") + length).alias("end")
     )
-    return whole.union(single).groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = whole.union(near).union(single)
+    return spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

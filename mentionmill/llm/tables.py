@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,7 +23,13 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.parquet(self.path)
+        # The job's shuffle files are of no use once the rows are written, and go with it.
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
 
     @property
     def df(self) -> DataFrame:

@@ -280,8 +280,11 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 def deduplicated(df: DataFrame, doc: str, text: str) -> DataFrame:
     """``df`` with one row of each class of near duplicates."""
-    kept = near_duplicate_classes(df, doc, text).filter("kept").select("doc", "fp", "copies")
-    marked = df.withColumn("_fp", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    met = marked.join(kept, marked[doc].eqNullSafe(kept["doc"]) & (F.col("_fp") == kept["fp"]))
-    once, repeated = met.filter("copies = 1"), met.filter("copies > 1").dropDuplicates(["_fp", "doc"])
+    kept = near_duplicate_classes(df.select(doc, text), doc, text).filter("kept").select(
+        F.col("doc").alias("_kept_doc"), F.col("fp").alias("_kept_fp"), F.col("copies").alias("_kept_copies")
+    )
+    marked = df.withColumn("_text_fp", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    met = marked.join(kept, marked[doc].eqNullSafe(kept["_kept_doc"]) & (F.col("_text_fp") == F.col("_kept_fp")))
+    once = met.filter("_kept_copies = 1")
+    repeated = met.filter("_kept_copies > 1").dropDuplicates(["_kept_doc", "_kept_fp"])
     return once.union(repeated).select(*(F.col(f"`{c}`") for c in df.columns))

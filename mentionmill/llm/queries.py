@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionmill.llm.decontaminate import contamination
+from mentionmill.llm.html_text import extracted_text
 from mentionmill.llm.near_duplicates import near_duplicate_classes
 from mentionmill.llm.packing import pack
 from mentionmill.llm.quality import line_rules
@@ -144,3 +145,10 @@ def op3_near_duplicates(spark, sf_dir):
     """Every document with the class of its near duplicates; one of each class is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicate_classes(docs, "doc_id", "text").select(F.col("doc").alias("doc_id"), "class_id", "kept")
+
+
+@query
+def op9_main_text(spark, sf_dir):
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extracted_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))

@@ -40,7 +40,7 @@ def _kept_words(with_text: bool, others: int):
                 removed.append(total - len(words))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
-                    texts.append(kept.decode())
+                    texts.append(kept.decode() if n else value.as_py())
             columns = [batch.column(i) for i in range(1 + others)]
             columns += [pa.array(words_out, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             names = [*batch.schema.names[: 1 + others], "n_words", "n_removed", "kept_sha256"]
@@ -58,7 +58,7 @@ def without_repeats(
     """doc and the columns ``keep`` with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Removed is each word covered by a window whose words also start anywhere else, in the same document too. A null
-    text has no words; texts with fewer words than a window lose none; repeated rows and rows with one id are
+    text has no words; kept_text is the text itself where nothing is removed; texts with fewer words than a window lose none; repeated rows and rows with one id are
     documents of their own and repeat each other. An empty table gives no rows.
     """
     renamed = {c: f"_k{i}" for i, c in enumerate(keep)}

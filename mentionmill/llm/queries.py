@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mentionmill.llm.decontaminate import contamination
 from mentionmill.llm.html_text import extracted_text
 from mentionmill.llm.near_duplicates import near_duplicate_classes
+from mentionmill.llm.oracles import ORACLES
 from mentionmill.llm.packing import pack
 from mentionmill.llm.quality import line_rules
 from mentionmill.llm.sharding import histogram_shards
@@ -18,8 +19,9 @@ from mentionmill.llm.suffix_index import without_repeated_bytes
 from mentionmill.llm.tokens import token_count
 from mentionmill.llm.url_filters import Rule, judge_urls, page_edges
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 SHARDS = 24
 URL_RULES = [
@@ -64,26 +66,6 @@ def op7_url_verdicts(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-ORACLES["op7_url_verdicts"] = """
-WITH parts AS (
-  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-), split AS (
-  SELECT page_id,
-         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM parts
-), ruled AS (
-  SELECT *, CASE
-    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM split
-)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
-"""
-
-
 def tokenizer_path() -> str:
     import public_tokenizers
 

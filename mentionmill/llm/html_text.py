@@ -235,8 +235,10 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     has_main = any(b.in_main for b in blocks)
+    if has_main:  # lists of links inside an article go, but say nothing about the blocks beside them
+        blocks = [b for b in blocks if b.in_main and b.links <= LINK_SHARE * len(b.text)]
     labels = second_pass([first_pass(b, has_main) for b in blocks], has_main)
-    return "\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good and (b.in_main or not has_main))
+    return "\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good)
 
 
 def extracted_text(html: Column) -> Column:

@@ -5,6 +5,8 @@ Rows with a null key are dropped first, and only groups that occur are given.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from ..functions.time import BERLIN, day_label, utc_label, week_label
 
 def _count(mentions: DataFrame, label: str, period: Column, keys: list[str]) -> DataFrame:
     return (
-        mentions.withColumn(label, period)
-        .dropna("any", subset=[label, *keys])
+        # one test per key: each goes below the joins on its own, down to the scan
+        reduce(lambda t, k: t.filter(F.col(k).isNotNull()), ["tstamp", *keys], mentions)
+        .withColumn(label, period)
         .groupBy(label, *keys)
         .agg(F.count(F.lit(1)).alias("count"))
     )

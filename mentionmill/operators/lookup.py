@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
+from pyspark.sql.types import StringType
 
 # A dictionary beyond either bound is joined by shuffle.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -22,14 +22,12 @@ def fits_broadcast(
     return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
-def _spread_key(left: DataFrame, key: str) -> Column:
-    """The key as text, or for a row without one a stand-in that differs from row to row.
-
-    A few plain columns of the row are enough to tell rows apart, and reading them costs little.
-    """
-    plain = [f.name for f in left.schema.fields if f.name != key and isinstance(f.dataType, AtomicType)][:3]
-    stand_in = F.concat(F.lit("\x00no-key:"), F.xxhash64(*plain).cast("string"))
-    return F.coalesce(F.col(key).cast("string"), stand_in if plain else F.lit("\x00no-key"))
+def _compared(left: DataFrame, right: DataFrame, key: str) -> tuple[Column, Column]:
+    """Both keys in their common type: numbers as numbers, a text and anything else as texts."""
+    a, b = left.schema[key].dataType, right.schema["_right_key"].dataType
+    if a != b and StringType() in (a, b):
+        return F.col(key).cast("string"), F.col("_right_key").cast("string")
+    return F.col(key), F.col("_right_key")
 
 
 def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = False, measure: bool = False) -> DataFrame:
@@ -40,21 +38,22 @@ def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = F
     advance, as it may be the result of a long job; ``measure`` asks for that, to broadcast up to the
     larger bounds here.
 
-    In a shuffle, rows without a key would all meet in one task, so they get a spread-out stand-in.
-    Hot keys are split by adaptive execution (of a left join only the left side ever is).
+    Rows without a key would all meet in one task of a shuffle, so they pass by the join in a union of
+    their own, which the optimizer drops where a later filter asks for something of ``right``. Hot keys
+    are split by adaptive execution (of a left join only the left side ever is).
     """
     extra = [c for c in right.columns if c != key]
     right = right.withColumnRenamed(key, "_right_key")
-    if null_safe:
-        condition = left[key].eqNullSafe(F.col("_right_key"))
-        joined = left
-    else:
-        right = right.filter(F.col("_right_key").isNotNull()).withColumn("_right_key", F.col("_right_key").cast("string"))
-        condition = F.col("_left_key") == F.col("_right_key")
-        joined = left.withColumn("_left_key", _spread_key(left, key))
+    a, b = _compared(left, right, key)
+    if not null_safe:
+        right = right.filter(F.col("_right_key").isNotNull())
     if measure and fits_broadcast(right):
         right = F.broadcast(right)
-    return joined.join(right, condition, "left").select(*left.columns, *extra)
+    if null_safe:
+        return left.join(right, a.eqNullSafe(b), "left").select(*left.columns, *extra)
+    met = left.filter(F.col(key).isNotNull()).join(right, a == b, "left").select(*left.columns, *extra)
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra]
+    return met.union(left.filter(F.col(key).isNull()).select(*left.columns, *nothing))
 
 
 def require_unique(df: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import left_lookup, require_unique
@@ -26,13 +26,21 @@ def join_many_to_one(left: DataFrame, right: DataFrame, key: str, measure: bool
     return left_lookup(left, require_unique(right, key), key, measure=measure)
 
 
-def attach_by_text(articles: DataFrame, scored: DataFrame, text: str = "shorttext", measure: bool = False) -> DataFrame:
-    """Add ``sentiment`` by equal text; texts scored more than once count once."""
-    one_each = scored.groupBy(text).agg(F.min("sentiment").alias("sentiment"))
-    return left_lookup(articles, one_each, text, measure=measure)
+def _digest(text: str) -> Column:
+    """What stands for a whole text as a key in a shuffle; null for null."""
+    return F.sha2(F.col(text), 256)
+
+
+def attach_by_text(
+    articles: DataFrame, scored: DataFrame, order: str, text: str = "shorttext", measure: bool = False
+) -> DataFrame:
+    """Add ``sentiment`` by equal text; of a text scored more than once the first by ``order`` counts."""
+    one_each = scored.groupBy(_digest(text).alias("_text_key")).agg(F.min_by("sentiment", order).alias("sentiment"))
+    keyed = articles.withColumn("_text_key", _digest(text))
+    return left_lookup(keyed, one_each, "_text_key", measure=measure).drop("_text_key")
 
 
 def membership_count(left: DataFrame, right: DataFrame, text: str = "shorttext") -> DataFrame:
     """How many rows of ``left`` have a text that occurs in ``right``."""
-    known = right.select(text).filter(F.col(text).isNotNull()).distinct()
-    return left.join(known, text, "left_semi").agg(F.count(F.lit(1)).alias("matching"))
+    known = right.filter(F.col(text).isNotNull()).select(_digest(text).alias("_text_key")).distinct()
+    return left.select(_digest(text).alias("_text_key")).join(known, "_text_key", "left_semi").agg(F.count(F.lit(1)).alias("matching"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def dense_row_ids(df: DataFrame, order: str, name: str = "row_id", buckets: int | None = None) -> DataFrame:
-    """Number rows from 1 in the order of a unique numeric column.
+    """Number rows from 1 in the order of a unique numeric column, rows without a value last.
 
     The value range is cut at approximate quantiles, which fixes a bucket per row by its value alone.
     Rows are numbered inside their bucket and shifted by the counts of the buckets before it.
@@ -18,9 +18,11 @@ def dense_row_ids(df: DataFrame, order: str, name: str = "row_id", buckets: int
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(order, shares, 1.0 / (8 * buckets)))) if shares else []
     splits = [float("-inf"), *cuts, float("inf")]
-    marked = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(
+    marked = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep").transform(
         df.withColumn("_order", F.col(order).cast("double"))
     )
+    # rows without a value have a bucket of their own behind all others
+    marked = marked.withColumn("_bucket", F.coalesce("_bucket", F.lit(float("inf"))))
     # one row per bucket: the list of cuts bounds both the window and the broadcast below
     before = (
         marked.groupBy("_bucket")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -35,7 +34,14 @@ def count_products(
     mentions: DataFrame, sentiment: DataFrame, catalog: DataFrame | None = None
 ) -> Products:
     """The three weekly tables from linked mentions and article sentiment, with facts if asked."""
-    finish: Callable[[DataFrame], DataFrame] = (lambda t: merge_facts(t, catalog)) if catalog is not None else (lambda t: t)
+
+    def finish(counts: DataFrame) -> DataFrame:
+        """Facts first, then the order: a join does not keep one."""
+        if catalog is None:
+            return counts
+        keys = [c for c in counts.columns if c != "count"]
+        return merge_facts(counts, catalog).orderBy(*keys)
+
     return Products(
         finish(mentions_per_week(mentions)),
         finish(mentions_per_section_per_week(mentions)),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.rowids import dense_row_ids
 
-SCORED_CSV_COLUMNS = ["shorttext", "gold", "compound", "scores", "sentiment"]
+SCORED_CSV = "shorttext STRING, gold STRING, compound DOUBLE, scores STRING, sentiment STRING"
+# Fields as pandas writes and reads them: quotes doubled, line breaks inside quotes.
+PANDAS_FORMAT = {"quote": '"', "escape": '"'}
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +39,7 @@ def _last_line(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Labelled texts ``id, label, text`` from a headerless TSV."""
-    return spark.read.schema(schemas.LABELLED_TEXT).option("sep", "\t").csv(path)
+    return spark.read.schema(schemas.LABELLED_TEXT).options(sep="\t", **PANDAS_FORMAT, multiLine=True).csv(path)
 
 
 def read_scored_dir(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +50,7 @@ def read_scored_dir(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         spark.read.schema(schemas.SCORED_TEXT)
-        .option("sep", "\t")
+        .options(sep="\t", **PANDAS_FORMAT, multiLine=True)
         .option("pathGlobFilter", "*.tsv")
         .csv(folder)
         .select("*", sentiment.alias("sentiment"))
@@ -57,12 +59,12 @@ def read_scored_dir(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_scored_csv(spark: SparkSession, path: str) -> DataFrame:
     """A scored table with header, columns renamed by position."""
-    return spark.read.option("header", True).csv(path).toDF(*SCORED_CSV_COLUMNS)
+    return spark.read.schema(SCORED_CSV).options(header=True, enforceSchema=True, **PANDAS_FORMAT, multiLine=True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header in every part."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **PANDAS_FORMAT).csv(path)
 
 
 def scoring_input(articles: DataFrame, order: str, text: str = "shorttext") -> DataFrame:
@@ -73,4 +75,4 @@ def scoring_input(articles: DataFrame, order: str, text: str = "shorttext") -> D
 
 def write_scoring_input(articles: DataFrame, path: str, order: str, text: str = "shorttext") -> None:
     """Headerless TSV for a scorer."""
-    scoring_input(articles, order, text).write.mode("overwrite").option("sep", "\t").csv(path)
+    scoring_input(articles, order, text).write.mode("overwrite").options(sep="\t", **PANDAS_FORMAT).csv(path)

@@ -32,20 +32,9 @@ ISSUE_TAGS = [
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as it lies on disk."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of texts, spread over the cores when it lies in fewer files than there are cores.
-
-    A large table has files enough and is read as it lies.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions from events: a few articles draw most of them, some lack an entity or sections."""
     value = F.col("value")
@@ -97,7 +86,7 @@ def marked_text(text: str = "text"):
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles from documents, whole texts."""
-    return text_table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"),
         (F.col("doc_id") * 3600 + 1704067200).alias("tstamp"),
@@ -148,7 +137,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages as given."""
-    return text_table(spark, sf_dir, "pages", "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

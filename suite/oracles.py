@@ -349,7 +349,7 @@ FROM mentions LEFT JOIN doubled ON url = '/doc/' || CAST(doc_id AS VARCHAR)""",
     + """SELECT ingest_id, mentions.url, n_chars FROM mentions
 LEFT JOIN documents ON mentions.url = '/doc/' || CAST(doc_id AS VARCHAR)""",
     "attach_by_text": _with(
-        GOLD, "scored AS (SELECT text, min(gold) AS sentiment FROM documents JOIN gold USING (doc_id) GROUP BY text)"
+        GOLD, "scored AS (SELECT text, arg_min(gold, doc_id) AS sentiment FROM documents JOIN gold USING (doc_id) GROUP BY text)"
     )
     + "SELECT doc_id, sentiment FROM documents LEFT JOIN scored USING (text)",
     "membership_count": _with(GOLD)
@@ -440,15 +440,15 @@ FROM scores""",
        count(*) FILTER (gold = 'neutral' AND predicted = 'positive') AS wrong_positive,
        count(*) FILTER (gold = 'neutral' AND predicted = 'negative') AS wrong_negative
 FROM evaluated WHERE gold IS NOT NULL GROUP BY gold""",
-    "evaluation_splits": _with(*ARTICLE_SCORES, GOLD, EVALUATED, "judged AS (SELECT * FROM evaluated WHERE gold IS NOT NULL)")
-    + f"""SELECT doc_id, gold, compound, 'all' AS split, CASE WHEN gold = predicted THEN 'right' ELSE 'wrong' END ||
-       CASE WHEN gold = 'neutral' THEN '_neutral' ELSE '' END AS outcome FROM judged
-UNION ALL SELECT doc_id, gold, compound, 'polar', CASE WHEN gold = predicted THEN 'right' ELSE 'wrong' END FROM judged WHERE gold <> 'neutral'
-UNION ALL SELECT doc_id, gold, compound, 'polar_wide', CASE WHEN gold = {_class("compound", 0.1)} THEN 'right' ELSE 'wrong' END
-FROM judged WHERE gold <> 'neutral'
-UNION ALL SELECT doc_id, gold, compound, unnest(CASE WHEN gold = 'negative' THEN ['no_neutral', 'negative_only'] ELSE ['no_neutral'] END),
-       CASE WHEN gold = predicted THEN 'right' WHEN predicted = 'neutral' THEN 'wrong_neutral' ELSE 'wrong' END
-FROM judged WHERE gold <> 'neutral'""",
+    "evaluation_splits": _with(*ARTICLE_SCORES, GOLD, EVALUATED, "judged AS (SELECT *, coalesce(gold, '') AS g FROM evaluated)")
+    + f"""SELECT doc_id, gold, compound, 'all' AS split, CASE WHEN g = predicted THEN 'right' ELSE 'wrong' END ||
+       CASE WHEN g = 'neutral' THEN '_neutral' ELSE '' END AS outcome FROM judged
+UNION ALL SELECT doc_id, gold, compound, 'polar', CASE WHEN g = predicted THEN 'right' ELSE 'wrong' END FROM judged WHERE g <> 'neutral'
+UNION ALL SELECT doc_id, gold, compound, 'polar_wide', CASE WHEN g = {_class("compound", 0.1)} THEN 'right' ELSE 'wrong' END
+FROM judged WHERE g <> 'neutral'
+UNION ALL SELECT doc_id, gold, compound, unnest(CASE WHEN g = 'positive' THEN ['no_neutral'] ELSE ['no_neutral', 'negative_only'] END),
+       CASE WHEN g = predicted THEN 'right' WHEN predicted = 'neutral' THEN 'wrong_neutral' ELSE 'wrong' END
+FROM judged WHERE g <> 'neutral'""",
     "mean_sentence_score": _with(
         ARTICLES,
         LEXICON,

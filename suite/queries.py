@@ -212,13 +212,13 @@ def many_to_one(spark, sf_dir):
 
 def _scored_texts(spark, sf_dir):
     documents = inputs.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("shorttext"))
-    return documents.join(inputs.gold(spark, sf_dir), "doc_id").select("shorttext", F.col("gold").alias("sentiment"))
+    return documents.join(inputs.gold(spark, sf_dir), "doc_id").select("doc_id", "shorttext", F.col("gold").alias("sentiment"))
 
 
 @query
 def attach_by_text(spark, sf_dir):
     documents = inputs.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("shorttext"))
-    return merge.attach_by_text(documents, _scored_texts(spark, sf_dir)).select("doc_id", "sentiment")
+    return merge.attach_by_text(documents, _scored_texts(spark, sf_dir), "doc_id").select("doc_id", "sentiment")
 
 
 @query
@@ -347,8 +347,13 @@ def sentiment_class(spark, sf_dir):
     return _sentiment(spark, sf_dir)
 
 
-def _evaluated(spark, sf_dir):
-    return _scores(spark, sf_dir).join(inputs.gold(spark, sf_dir), "doc_id", "left").select("doc_id", "gold", "compound")
+def _evaluated(spark, sf_dir, labelled_only=False):
+    """Labels first, so that only the texts an evaluation asks for are scored."""
+    texts = inputs.articles(spark, sf_dir).select("doc_id", "shorttext").join(
+        inputs.gold(spark, sf_dir), "doc_id", "inner" if labelled_only else "left"
+    )
+    scored = score_columns(texts, ["shorttext"], inputs.lexicon(spark, sf_dir))
+    return scored.select("doc_id", "gold", F.col("shorttext_score.compound").alias("compound"))
 
 
 @query
@@ -358,13 +363,12 @@ def class_tallies(spark, sf_dir):
 
 @query
 def evaluation(spark, sf_dir):
-    return evaluate.evaluation(_evaluated(spark, sf_dir))
+    return evaluate.evaluation(_evaluated(spark, sf_dir, labelled_only=True))
 
 
 @query
 def evaluation_splits(spark, sf_dir):
-    rows = _evaluated(spark, sf_dir).filter(F.col("gold").isNotNull())
-    return evaluate.evaluation_splits(rows).select("doc_id", "gold", "compound", "split", "outcome")
+    return evaluate.evaluation_splits(_evaluated(spark, sf_dir)).select("doc_id", "gold", "compound", "split", "outcome")
 
 
 @query

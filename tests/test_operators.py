@@ -12,7 +12,7 @@ from mentionmill.functions.time import epoch_seconds, local_time, utc_label, wee
 from mentionmill.operators import clean, counts, evaluate, merge, spines
 from mentionmill.operators.entities import flatten_entities, missing_ids
 from mentionmill.operators.link import link_entities, name_words
-from mentionmill.operators.lookup import _spread_key, fits_broadcast, left_lookup
+from mentionmill.operators.lookup import fits_broadcast, left_lookup
 from mentionmill.operators.model import batch_score
 from mentionmill.operators.rowids import dense_row_ids
 from mentionmill.plans.products import count_products, linked_mentions
@@ -170,8 +170,25 @@ def test_rows_without_key_are_spread(spark):
     right = spark.createDataFrame([("a", 1)], "k string, n int")
     joined = left_lookup(left, right, "k")
     assert joined.filter("n IS NULL AND k IS NULL").count() == 10_000
-    keys = left.select(_spread_key(left, "k").alias("s")).distinct().count()
-    assert keys == 10_000
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "Union" in plan and "isnull(k" in plan
+
+
+def test_keys_meet_in_their_common_type(spark):
+    left = spark.createDataFrame([(1.0,), (2.5,), (None,)], "k double")
+    right = spark.createDataFrame([(1, "one"), (2, "two")], "k int, v string")
+    assert sorted((str(r["k"]), r["v"]) for r in left_lookup(left, right, "k").collect()) == [("1.0", "one"), ("2.5", None), ("None", None)]
+    texts = spark.createDataFrame([("1",), ("x",)], "k string")
+    assert sorted((r["k"], r["v"]) for r in left_lookup(texts, right, "k").collect()) == [("1", "one"), ("x", None)]
+
+
+def test_null_filters_reach_below_the_sentiment_join(spark, tmp_path):
+    rows = [("/a", 1_700_000_000, ["s"], "l", "Q1", 0.9)]
+    spark.createDataFrame(rows, MENTION).write.parquet(str(tmp_path / "m"))
+    sentiment = spark.createDataFrame([("/a", "p", "n")], "url string, shorttext_sentiment string, fulltext_sentiment string")
+    merged = merge.merge_sentiment(spark.read.parquet(str(tmp_path / "m")), sentiment)
+    plan = counts.mentions_per_section_per_sentiment_per_week(merged)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan and "IsNotNull(wd_id)" in plan and "IsNotNull(tstamp)" in plan
 
 
 def test_many_to_one_refuses_repeats(spark):
@@ -183,8 +200,9 @@ def test_many_to_one_refuses_repeats(spark):
 
 def test_attach_and_membership(spark):
     articles = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, shorttext string")
-    scored = spark.createDataFrame([("a", "positive"), ("a", "positive"), (None, "neutral")], "shorttext string, sentiment string")
-    assert sorted((r["id"], r["sentiment"]) for r in merge.attach_by_text(articles, scored).collect()) == [(1, "positive"), (2, None), (3, None)]
+    rows = [("a", "positive", 1), ("a", "negative", 2), (None, "neutral", 3)]
+    scored = spark.createDataFrame(rows, "shorttext string, sentiment string, at int")
+    assert sorted((r["id"], r["sentiment"]) for r in merge.attach_by_text(articles, scored, "at").collect()) == [(1, "positive"), (2, None), (3, None)]
     assert merge.membership_count(articles, scored).first()[0] == 1
 
 
@@ -232,6 +250,9 @@ def test_row_ids(spark):
     table = spark.createDataFrame([(n, str(n)) for n in order], "n long, s string").repartition(5)
     got = {r["n"]: r["row_id"] for r in dense_row_ids(table, "n", buckets=7).collect()}
     assert got == {n: i for i, n in enumerate(sorted(order), start=1)}
+    nulls = spark.createDataFrame([(None, "a"), (5, "b"), (3, "c"), (None, "d")], "n long, s string")
+    numbered = {r["s"]: r["row_id"] for r in dense_row_ids(nulls, "n", buckets=3).collect()}
+    assert (numbered["c"], numbered["b"]) == (1, 2) and {numbered["a"], numbered["d"]} == {3, 4}
 
 
 # linking

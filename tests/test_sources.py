@@ -107,3 +107,22 @@ def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([("Q1", 0.5)], "wd_id string, score double")
     b = spark.createDataFrame([("Q2",)], "wd_id string")
     assert sorted(map(tuple, union_sources(a, b).collect())) == [("Q1", 0.5), ("Q2", None)]
+
+
+def test_tables_as_pandas_writes_them(spark, tmp_path):
+    import pandas as pd
+
+    texts = ['He said "hi", ok', "two\nlines", "tab\there", "plain", 'back\\slash "quoted"']
+    rows = pd.DataFrame({"text": texts, "gold": "unknown", "compound": [0.5, -0.25, 0.0, 1.0, 0.125], "scores": "{'neg': 0.0}", "sentiment": "neutral"})
+    rows.to_csv(tmp_path / "scored.csv", index=False)
+    got = delimited.read_scored_csv(spark, str(tmp_path / "scored.csv"))
+    assert dict(got.dtypes)["compound"] == "double"
+    assert sorted((r["shorttext"], r["gold"], r["compound"]) for r in got.collect()) == sorted(zip(texts, rows["gold"], rows["compound"]))
+    delimited.write_csv(got.coalesce(1), str(tmp_path / "out"))
+    back = pd.read_csv(next((tmp_path / "out").glob("part-*.csv")))
+    assert sorted(back["shorttext"]) == sorted(texts) and sorted(back["compound"]) == sorted(rows["compound"])
+    numbered = spark.createDataFrame(list(enumerate(texts)), "n long, shorttext string")
+    delimited.write_scoring_input(numbered.coalesce(1), str(tmp_path / "in"), "n")
+    parts = [pd.read_csv(p, sep="\t", header=None) for p in (tmp_path / "in").glob("part-*.csv")]
+    assert sorted(pd.concat(parts)[2]) == sorted(texts)
+    assert sorted(r["text"] for r in delimited.read_labelled(spark, str(tmp_path / "in")).collect()) == sorted(texts)

@@ -1,81 +1,119 @@
-"""Topics of articles and the summary over all articles."""
+"""Topics of articles and the summary over all articles, by class-based term weights.
+
+Every article starts in a topic given by a digest of its key. Then, a fixed number of times, each article moves to
+the topic whose articles use its words most above the average, not counting its own words. All sums are whole
+numbers and ties go to the lower topic, so the result depends neither on partitions nor on the order of rows. The
+vocabulary is a table like any other; nothing of it is held by the driver.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import checkpointed
+from ..functions.text import WHITESPACE
+from ..tables import Table
+
+PASSES = 3
+#: Scale of a word's pull to a topic and of a topic's share of an article.
+PULL, SHARE = 1000.0, 1e9
 
 
 @dataclass(frozen=True)
 class Topics:
-    """A fitted model, its words, and the weighted word counts of the articles it was fitted to."""
-
-    model: LDAModel
-    vocabulary: list[str]
-    weights: DataFrame
-
-
-def fit_topics(
-    articles: DataFrame,
-    text: str = "fulltext",
-    key: str = "url",
-    k: int = 10,
-    vocabulary: int = 20_000,
-    min_articles: float = 2.0,
-    iterations: int = 20,
-    seed: int = 17,
-    languages: tuple[str, ...] = ("german",),
-) -> Topics:
-    """Fit word counts, weights and topics.
-
-    Texts are read twice: for the vocabulary and for the counts, which are checkpointed, as every
-    training step reads them. The model holds ``k`` times ``vocabulary`` numbers, whatever the number
-    of articles.
+    """Words per article, scores per article and topic, and the topic of each article (null without words)."""
+
+    k: int
+    words: DataFrame
+    scores: DataFrame
+    assigned: DataFrame
+
+
+def fit_topics(articles: DataFrame, text: str = "fulltext", key: str = "url", k: int = 10, passes: int = PASSES) -> Topics:
+    """Assign all articles to ``k`` topics.
+
+    A word is a run of letters, in lower case. Rows that share a key are one article. An article without words keeps
+    its row with a null topic; a null key is an article like any other.
     """
-    stop = [w for language in languages for w in StopWordsRemover.loadDefaultStopWords(language)]
-    tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}]+", minTokenLength=3).transform(
-        articles.select(key, F.coalesce(text, F.lit("")).alias(text))
+    letters = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), 1)
+    source = articles.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit(WHITESPACE)).alias("id"), letters.alias("w"))
+    words = Table(source.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))).df
+    keys = source.select("key", "id").distinct()
+    per_word = Table(words.groupBy("word").agg(F.sum("n").alias("word_n"))).df
+    start = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(k))
+    assigned = Table(words.select("id").distinct().select("id", start.cast("int").alias("topic")))
+    scores = None
+    for _ in range(passes):
+        scores = Table(_scores(words, per_word, assigned.df))
+        # without a word that another article has, an article stays where it is
+        best = scores.df.groupBy("id").agg(F.max(F.struct("score", (-F.col("topic")).alias("t"))).alias("best"))
+        topic = F.when(F.col("best.score") > 0, -F.col("best.t")).otherwise(F.col("topic"))
+        assigned = Table(assigned.df.join(best, "id", "left").select("id", topic.alias("topic")))
+    named = keys.join(assigned.df, "id", "left")
+    return Topics(k, words, scores.df, named)
+
+
+def _scores(words: DataFrame, per_word: DataFrame, assigned: DataFrame) -> DataFrame:
+    """How strongly each topic pulls each article: its words' pulls times their counts."""
+    placed = words.join(assigned, "id")
+    used = placed.groupBy("word", "topic").agg(F.sum("n").alias("used"))
+    sizes = used.groupBy("topic").agg(F.sum("used").alias("size"))
+    everything = sizes.agg(F.sum("size").alias("all")).scalar()
+    lift = used.join(per_word, "word").join(sizes, "topic").select(
+        "word", F.col("topic").alias("t"), "used", "word_n", (everything * F.lit(1.0) / F.col("size")).alias("rarity")
     )
-    words = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop).transform(tokens).select(key, "_words")
-    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=min_articles).fit(words)
-    counts = checkpointed(counter.transform(words).select(key, "_counts"))
-    weights = IDF(inputCol="_counts", outputCol="_weights").fit(counts).transform(counts).select(key, "_weights")
-    model = LDA(
-        k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="_weights", topicDistributionCol="_topics"
-    ).fit(weights)
-    return Topics(model, counter.vocabulary, weights)
+    met = placed.join(lift, "word")
+    others = F.col("used") - F.when(F.col("topic") == F.col("t"), F.col("n")).otherwise(0)
+    elsewhere = F.col("word_n") - F.col("n")
+    pull = F.when(elsewhere > 0, F.floor(others * PULL / elsewhere * F.col("rarity"))).otherwise(0)
+    return met.groupBy("id", F.col("t").alias("topic")).agg(F.sum(F.col("n") * pull).alias("score"))
 
 
 def article_topics(topics: Topics, key: str = "url") -> DataFrame:
-    """One row per article and topic with its weight."""
-    scored = topics.model.transform(topics.weights).select(key, vector_to_array("_topics").alias("_topics"))
-    # outer: the optimizer would guard a plain explode by inferring the topics a second time
-    return scored.select(key, F.posexplode_outer("_topics").alias("topic", "weight"))
+    """One row per article and topic with its weight; one with neither for an article without words."""
+    total = topics.scores.groupBy("id").agg(F.sum("score").alias("total"))
+    each = topics.assigned.withColumnRenamed("topic", "own").withColumn(
+        "topic", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(topics.k - 1))))
+    )
+    met = each.join(topics.scores, ["id", "topic"], "left").join(total, "id", "left")
+    share = F.floor(F.coalesce("score", F.lit(0)) * SHARE / F.col("total")) / SHARE
+    alone = F.when(F.col("own") == F.col("topic"), 1.0).otherwise(0.0)
+    return met.select(
+        F.col("key").alias(key),
+        "topic",
+        F.when(F.col("topic").isNull(), F.lit(None)).when(F.coalesce("total", F.lit(0)) > 0, share).otherwise(alone).alias("weight"),
+    )
 
 
 def topic_terms(topics: Topics, terms: int = 10) -> DataFrame:
-    """The strongest terms per topic, in order."""
-    words = F.lit(topics.vocabulary)
-    return topics.model.describeTopics(terms).select(
-        "topic", F.transform("termIndices", lambda i: F.get(words, i)).alias("top_terms")
-    )
+    """The words each topic uses most above the average, in order; equal ones from the end of the alphabet."""
+    placed = topics.words.join(topics.assigned.select("id", "topic"), "id")
+    used = placed.groupBy("word", "topic").agg(F.sum("n").alias("used"))
+    sizes = used.groupBy("topic").agg(F.sum("used").alias("size"))
+    per_word = used.groupBy("word").agg(F.sum("used").alias("word_n"))
+    everything = sizes.agg(F.sum("size").alias("all")).scalar()
+    excess = F.col("used") - F.floor(F.col("word_n") * F.lit(1.0) * F.col("size") / everything)
+    ranked = used.join(per_word, "word").join(sizes, "topic").select("topic", "word", excess.alias("excess"))
+    # the optimizer turns the limit into one per task before the rows of a topic meet
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("excess"), F.desc("word")))
+    best = ranked.withColumn("place", place).filter(F.col("place") <= terms)
+    in_order = F.array_sort(F.collect_list(F.struct("place", "word")))
+    return best.groupBy("topic").agg(F.transform(in_order, lambda x: x["word"]).alias("top_terms"))
 
 
 def topic_summary(topics: Topics, key: str = "url", terms: int = 10) -> DataFrame:
-    """Per topic: the number of articles it is strongest in, its mean weight and its terms."""
+    """Per topic the number of its articles, its mean weight over all articles with words, and its terms.
+
+    Articles without words are counted in a row with a null topic; there is none if all have words.
+    """
     table = article_topics(topics, key)
-    strongest = table.groupBy(key).agg(F.max_by("topic", "weight").alias("topic"))
-    counts = strongest.groupBy("topic").agg(F.count(F.lit(1)).alias("n_articles"))
-    means = table.groupBy("topic").agg(F.avg("weight").alias("mean_weight"))
+    counts = topics.assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n_articles"))
+    mean = F.sum(F.round(F.col("weight") * SHARE).cast("long")) / F.count("weight") / SHARE
+    means = table.groupBy("topic").agg(mean.alias("mean_weight"))
     return (
-        means.join(counts, "topic", "left")
-        .join(topic_terms(topics, terms), "topic", "left")
-        .select("topic", F.coalesce("n_articles", F.lit(0)).alias("n_articles"), "mean_weight", "top_terms")
+        means.join(counts, means["topic"].eqNullSafe(counts["topic"]), "left")
+        .join(topic_terms(topics, terms).withColumnRenamed("topic", "_t"), means["topic"] == F.col("_t"), "left")
+        .select(means["topic"], F.coalesce("n_articles", F.lit(0)).alias("n_articles"), "mean_weight", "top_terms")
     )

@@ -479,3 +479,57 @@ GROUP BY ALL""",
     "scoring_input": _with(ARTICLES)
     + """SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS row_id, 'unknown' AS label, shorttext FROM articles""",
 }
+
+
+TOPIC_ARTICLES = "articles AS (SELECT '/doc/' || CAST(doc_id AS VARCHAR) AS url, text AS fulltext FROM documents)"
+
+
+def _topic_passes(passes: int = 3, k: int = 6) -> list[str]:
+    ctes = [
+        """tw AS (SELECT url AS id, word, count(*) AS n
+         FROM (SELECT url, unnest(regexp_extract_all(lower(fulltext), '\\p{L}+')) AS word FROM articles) AS x GROUP BY ALL)""",
+        "tn AS (SELECT word, sum(n) AS word_n FROM tw GROUP BY word)",
+        f"""a0 AS (SELECT id, CAST(('0x' || substr(md5(id), 1, 8)) AS BIGINT) % {k} AS topic
+         FROM (SELECT DISTINCT id FROM tw) AS ids)""",
+    ]
+    for i in range(passes):
+        ctes += [
+            f"u{i} AS (SELECT word, topic, sum(n) AS used FROM tw JOIN a{i} USING (id) GROUP BY ALL)",
+            f"z{i} AS (SELECT topic, sum(used) AS size FROM u{i} GROUP BY topic)",
+            f"""l{i} AS (SELECT word, u{i}.topic AS t, used, word_n, (SELECT sum(size) FROM z{i}) * CAST(1.0 AS DOUBLE) / size AS rarity
+             FROM u{i} JOIN tn USING (word) JOIN z{i} ON z{i}.topic = u{i}.topic)""",
+            f"""s{i} AS (SELECT id, t AS topic, CAST(sum(n * CASE WHEN word_n > n THEN CAST(floor(
+             (used - CASE WHEN a{i}.topic = t THEN n ELSE 0 END) * CAST(1000.0 AS DOUBLE) / (word_n - n) * rarity) AS BIGINT) ELSE 0 END) AS BIGINT) AS score
+             FROM tw JOIN a{i} USING (id) JOIN l{i} USING (word) GROUP BY id, t)""",
+            f"""b{i} AS (SELECT id, topic, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS r FROM s{i}) AS y WHERE r = 1)""",
+            f"""a{i + 1} AS (SELECT a{i}.id, CASE WHEN b{i}.score > 0 THEN b{i}.topic ELSE a{i}.topic END AS topic
+             FROM a{i} LEFT JOIN b{i} ON a{i}.id = b{i}.id)""",
+        ]
+    last = f"s{passes - 1}"
+    ctes += [
+        f"named AS (SELECT DISTINCT url, a{passes}.topic AS own FROM articles LEFT JOIN a{passes} ON a{passes}.id = url)",
+        f"totals AS (SELECT id, sum(score) AS total FROM {last} GROUP BY id)",
+        f"""each AS (SELECT url, own, unnest(CASE WHEN own IS NULL THEN [CAST(NULL AS BIGINT)] ELSE range(0, {k}) END) AS topic FROM named)""",
+        f"""weights AS (SELECT url, own, CAST(each.topic AS INTEGER) AS topic, CASE WHEN each.topic IS NULL THEN NULL
+         WHEN coalesce(total, 0) > 0 THEN floor(coalesce(score, 0) * CAST(1e9 AS DOUBLE) / total) / CAST(1e9 AS DOUBLE)
+         WHEN own = each.topic THEN 1.0 ELSE 0.0 END AS weight
+         FROM each LEFT JOIN {last} ON {last}.id = url AND {last}.topic = each.topic LEFT JOIN totals ON totals.id = url)""",
+        f"fu AS (SELECT word, topic, sum(n) AS used FROM tw JOIN a{passes} USING (id) GROUP BY ALL)",
+        "fz AS (SELECT topic, sum(used) AS size FROM fu GROUP BY topic)",
+        """excess AS (SELECT fu.topic, word, used - CAST(floor(word_n * CAST(1.0 AS DOUBLE) * size / (SELECT sum(size) FROM fz)) AS BIGINT) AS e
+         FROM fu JOIN tn USING (word) JOIN fz ON fz.topic = fu.topic)""",
+        """terms AS (SELECT topic, string_agg(word, ' ' ORDER BY r) AS top_terms FROM (
+         SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY e DESC, encode(word) DESC) AS r FROM excess) AS t WHERE r <= 10 GROUP BY topic)""",
+    ]
+    return ctes
+
+
+ORACLES["topics"] = _with(TOPIC_ARTICLES, *_topic_passes()) + "SELECT url, topic, weight FROM weights"
+ORACLES["topic_summary"] = (
+    _with(TOPIC_ARTICLES, *_topic_passes())
+    + """SELECT m.topic, coalesce(n_articles, 0) AS n_articles, mean_weight, top_terms
+FROM (SELECT topic, CAST(sum(CAST(round(weight * 1e9) AS BIGINT)) AS DOUBLE) / count(weight) / CAST(1e9 AS DOUBLE) AS mean_weight
+      FROM weights GROUP BY topic) AS m
+LEFT JOIN (SELECT own AS topic, count(*) AS n_articles FROM named GROUP BY own) AS c ON c.topic IS NOT DISTINCT FROM m.topic
+LEFT JOIN terms ON terms.topic = m.topic"""
+)

@@ -414,8 +414,7 @@ def scoring_input_(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    articles = inputs.articles(spark, sf_dir).select("url", "fulltext")
-    return fit_topics(articles, k=6, vocabulary=3000, iterations=8, languages=("german", "english", "french", "spanish"))
+    return fit_topics(inputs.articles(spark, sf_dir).select("url", "fulltext"), k=6)
 
 
 @query
@@ -425,4 +424,4 @@ def topics(spark, sf_dir):
 
 @query
 def topic_summary_(spark, sf_dir):
-    return topic_summary(_fitted(spark, sf_dir))
+    return topic_summary(_fitted(spark, sf_dir)).withColumn("top_terms", F.array_join("top_terms", " "))

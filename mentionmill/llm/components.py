@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mentionmill.llm.tables import Table
@@ -27,8 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[Table, tuple]:
+    """The edges as a table, and their number and sum of hashes, seen in passing."""
+    seen = Observation()
+    table = Table(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> Table:
@@ -38,16 +41,14 @@ def components(edges: DataFrame) -> Table:
     chain. Hot nodes are pre-aggregated (least neighbour) and joined, never gathered. Edges to null and loops are
     passed over.
     """
-    now = Table(edges.select("u", "v"))
-    seen = None
-    while seen is None or seen[0]:
-        after = Table(_small_star(_large_star(now.df)))
-        found = _digest(after.df)
+    now, before = Table(edges.select("u", "v")), None
+    while True:
+        after, found = _written(_small_star(_large_star(now.df)))
         now.drop()
         now = after
-        if found == seen:
+        if found == before or not found[0]:
             break
-        seen = found
+        before = found
     out = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = out.select(F.col("component").alias("node"), "component").distinct()
     result = Table(out.union(roots))

@@ -6,9 +6,9 @@ weight, and each register keeps the earliest point dealt to it. Two registers ag
 weighted Jaccard similarity, and a large weight costs its logarithm.
 
 Documents with one bag are one node from the start. Nodes that agree in a whole band meet in a bucket, where all are
-checked against a centre (bucket after bucket the node that meets most others, then others), so a bucket of n costs
-n checks; only where a bucket still holds several components are the rest of its pairs checked, between different
-components alone. Every check that counts is exact: the overlap of both multisets.
+checked against two centres (the node that meets most others, and one by hash), so a bucket of n costs 2n checks.
+Where a bucket still holds several components, pairs of different components that agree in one of many narrower draws
+of registers are checked as well. Every check that counts is exact: the overlap of both multisets.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ BANDS, ROWS_PER_BAND = 25, 5
 REGISTERS = BANDS * ROWS_PER_BAND
 #: Pairs whose signatures agree in fewer registers (four deviations below 0.8) are not worth an exact check.
 LEAST_AGREEING = 81
-#: Rounds of checks against centres before what is left of a bucket is paired.
-STAR_ROUNDS = 2
+#: What is left is paired where 12 registers agree, in any of 100 fixed draws: a pair of similarity 0.8 meets but for
+#: one in a thousand, one of 0.5 in two of a hundred.
+DRAWS, REGISTERS_PER_DRAW = 100, 12
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MARK = {1: np.uint64(0xA0761D6478BD642F), 2: np.uint64(0xE7037ED1A0B428DB)}
@@ -142,6 +143,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node's keys: one for each draw of registers."""
+    rng = np.random.default_rng(20)
+    draws = np.array([rng.permutation(REGISTERS)[:REGISTERS_PER_DRAW] for _ in range(DRAWS)])
+    for batch in batches:
+        octets = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS).astype(np.uint64)
+        keys = np.broadcast_to(np.arange(DRAWS, dtype=np.uint64), (len(octets), DRAWS)).copy()
+        for i in range(REGISTERS_PER_DRAW):
+            keys = mix(keys * _A + octets[:, draws[:, i]])
+        listed = pa.ListArray.from_arrays(
+            pa.array(np.arange(len(octets) + 1) * DRAWS, pa.int32()), pa.array(keys.ravel().view(np.int64))
+        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed], names=["node", "size", "component", "keys"])
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose signatures agree often enough."""
     for batch in batches:
@@ -244,34 +260,35 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     meets = members.df.groupBy("node").agg(F.sum("n").alias("meets"))
     fits = F.least("size", "s") >= SIMILARITY * F.greatest("size", "s")
     links = Links(nodes, docs)
-    # A bucket's members, its open ones alone after the first round; first against the node that meets most others,
-    # then against one by hash.
-    now = Table(members.df.drop("n").join(meets, "node"))
+    met = Table(members.df.drop("n").join(meets, "node"))
     members.drop()
-    for turn in range(STAR_ROUNDS):
-        order = [F.struct(-F.col("meets"), "one"), F.struct(F.xxhash64("node", "band"), "one")][turn]
-        centres = now.df.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "size")).alias("c"))
-        pairs = (
-            now.df.join(centres.select("band", F.col("c.node").alias("centre"), F.col("c.size").alias("s")), "band")
-            .filter((F.col("node") != F.col("centre")) & fits)
-            .select(*_pair(F.col("node"), F.col("centre"))).distinct()
-        )
-        links.check(pairs)
-        links.connect()
-        after = Table(links.with_component(now.df.drop("component")))
-        now.drop()
-        now = after
-        if now.df.isEmpty():
-            break
-    else:
-        other = now.df.select("band", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"))
+    centre = F.struct("node", "size")
+    centres = met.df.groupBy("band").agg(
+        F.min_by(centre, F.struct(-F.col("meets"), "one")).alias("a"), F.min_by(centre, F.xxhash64("node", "band")).alias("b")
+    ).select("band", F.explode(F.array("a", "b")).alias("c"))
+    pairs = (
+        met.df.join(centres.select("band", F.col("c.node").alias("centre"), F.col("c.size").alias("s")), "band")
+        .filter((F.col("node") != F.col("centre")) & fits)
+        .select(*_pair(F.col("node"), F.col("centre"))).distinct()
+    )
+    links.check(pairs)
+    links.connect()
+    mixed = Table(links.with_component(met.df).select("node", "component").distinct())
+    if not mixed.df.isEmpty():
+        rows_left = mixed.df.join(nodes, "node").select("node", "size", "component", "octets")
+        drawn = rows_left.mapInArrow(_drawn, "node string, size bigint, component string, keys array<bigint>")
+        keyed = Table(drawn.select("node", "size", "component", F.explode("keys").alias("key")))
+        other = keyed.df.select("key", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"))
         rest = (
-            now.df.join(other, "band")
+            keyed.df.join(other, "key")
             .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")) & fits)
             .select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
         )
         links.check(rest)
         links.connect()
+        keyed.drop()
+    met.drop()
+    mixed.drop()
     named = ids.join(links.component.df, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min(first).alias("best"))
     is_best = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("fp") == F.col("best.fp"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sections import sections_from_url
 from ..functions.text import blank_to_null, strip, unescape_html
 from ..functions.time import iso_to_epoch_text
+from ..tables import Table
 
 # Fixed value: the header of the overview block, whose links are no articles.
 OVERVIEW_SECTION = "Ressorts"
@@ -220,34 +221,54 @@ def full_view_url(html: Column, links: tuple[str, ...] = FULL_VIEW_LINKS) -> Col
     return F.coalesce(*[attribute(html, link, "href") for link in links])
 
 
-def resolve_full_view(pages: DataFrame, rounds: int = 2, links: tuple[str, ...] = FULL_VIEW_LINKS) -> DataFrame:
-    """Replace url and body of a page by those of its one-page view, ``rounds`` times at most.
+def _chain_ends(steps: DataFrame) -> DataFrame:
+    """(url, end) for every url of ``steps`` (url, next) whose chain ends; next is null at an end.
 
-    A view that was not fetched leaves the page as it is. Pages without a link pass straight through;
-    only linking pages and the pages they name are shuffled.
+    The stride doubles with each round, so a chain of n steps takes log2(n) rounds. What has not ended once the
+    stride exceeds the number of urls runs in a circle.
+    """
+    ended = F.col("next").isNull()
+    now = Table(steps.select("url", F.coalesce("next", "url").alias("at"), ended.alias("ended")))
+    for _ in range(now.df.count().bit_length() + 1):
+        if now.df.filter(~F.col("ended")).isEmpty():
+            break
+        far = now.df.select(F.col("url").alias("at"), F.col("at").alias("far"), F.col("ended").alias("far_ended"))
+        after = Table(
+            now.df.join(far, "at").select("url", F.col("far").alias("at"), F.col("far_ended").alias("ended"))
+        )
+        now.drop()
+        now = after
+    return now.df.filter("ended").select("url", F.col("at").alias("end"))
+
+
+def resolve_full_view(pages: DataFrame, links: tuple[str, ...] = FULL_VIEW_LINKS) -> DataFrame:
+    """Replace url and body of a page by those of its one-page view, and of the view of that, to the end.
+
+    A view that was not fetched ends the chain, so the last page that was stands for it. A chain that runs
+    in a circle has no end, and its pages stay as they are. Links alone are followed; bodies are joined
+    once, at the end. Pages without a link pass straight through.
     """
     marked = pages.select("url", "html", full_view_url(F.col("html"), links).alias("full_url"))
     linking = marked.filter(F.col("full_url").isNotNull())
     named = linking.select(F.col("full_url").alias("url")).distinct()
     # of several copies of a view one is taken, by its fingerprint
-    targets = (
-        pages.select("url", "html")
-        .join(named, "url", "left_semi")
-        .groupBy(F.col("url").alias("full_url"))
-        .agg(F.min_by("html", F.xxhash64("html")).alias("full_html"))
+    views = Table(
+        marked.join(named, "url", "left_semi")
+        .groupBy("url").agg(F.min_by(F.struct("html", "full_url"), F.xxhash64("html")).alias("v"))
+        .select("url", "v.html", "v.full_url")
+    ).df
+    known = views.select(F.col("url").alias("next"))
+    steps = views.select("url", F.col("full_url").alias("named")).join(known, F.col("named") == F.col("next"), "left")
+    ends = _chain_ends(steps.select("url", "next")).select(F.col("url").alias("full_url"), "end")
+    bodies = views.select(F.col("url").alias("end"), F.col("html").alias("full_html"))
+    resolved = (
+        linking.select(F.col("url").alias("page_url"), "html", "full_url")
+        .join(ends, "full_url", "left")
+        .join(bodies, "end", "left")
+        .select("page_url", F.coalesce("end", "page_url").alias("url"), F.coalesce("full_html", "html").alias("html"))
     )
-    current = linking.select(F.col("url").alias("page_url"), "url", "html", "full_url")
-    for _ in range(rounds):
-        current = current.join(targets, "full_url", "left").select(
-            "page_url",
-            F.when(F.col("full_html").isNotNull(), F.col("full_url")).otherwise(F.col("url")).alias("url"),
-            F.coalesce("full_html", "html").alias("html"),
-        ).withColumn(
-            "full_url",
-            F.coalesce(full_view_url(F.col("html"), links), F.concat(F.lit("\x00none:"), "page_url")),
-        )
     straight = marked.filter(F.col("full_url").isNull()).select(F.col("url").alias("page_url"), "url", "html")
-    return straight.unionByName(current.select("page_url", "url", "html"))
+    return straight.unionByName(resolved)
 
 
 def shape_listing_articles(teasers: DataFrame) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_PUNCTUATION, has_edge, words
-from .lookup import fits_broadcast
 
-MAX_NAME_WORDS = 4
 ENTITY_URL = "https://www.wikidata.org/wiki/"
 
 
@@ -22,12 +20,12 @@ def name_words(text: Column) -> Column:
     return F.filter(F.transform(words(text), _trim_marks), lambda w: w != "")
 
 
-def _name_table(aliases: DataFrame, max_words: int) -> DataFrame:
+def _name_table(aliases: DataFrame) -> DataFrame:
     """The best entity per name. A name's score does not depend on the text, so this needs no mentions."""
     # bounds on the word list, not on the name: those would be checked again for every run of words
     return (
         aliases.withColumn("_parts", name_words(F.col("name")))
-        .filter(F.size("_parts").between(1, max_words))
+        .filter(F.size("_parts") > 0)
         .withColumn("name", F.array_join("_parts", " "))
         .groupBy("name")
         # the smallest id settles equal scores
@@ -70,55 +68,52 @@ def link_entities(
     aliases: DataFrame,
     text: str = "fulltext",
     keep: list[str] | None = None,
-    max_words: int = MAX_NAME_WORDS,
     include_unlinked: bool = False,
     entity_url: str = ENTITY_URL,
 ) -> DataFrame:
     """One row per mention, numbered in text order.
 
-    Every run of up to ``max_words`` words is looked up, by broadcast when the name table is small
-    (only run lengths that some name with that first word has are built). Of each text only the runs
-    that are names are shuffled. Overlaps go to the leftmost and then the longest name.
+    Words that begin no name are dropped first. The others are followed by as many words as the longest
+    name has, and the run lengths that some name with that first word has are looked up. Whether the two
+    name tables are broadcast is left to Spark's size checks; a text's whole word list is in no shuffle
+    either way. Overlaps go to the leftmost and then the longest name.
 
     ``include_unlinked`` also gives runs of capitalised words outside any name, with a null entity.
     """
     keep = ["url", "tstamp", "sections"] if keep is None else keep
-    names = _name_table(aliases, max_words)
-    small = fits_broadcast(aliases)
+    names = _name_table(aliases)
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1)).alias("n")).scalar()
 
     # outer: the optimizer would guard a plain explode by making the word list a second time
     spread = articles.select(
         *keep, F.xxhash64(text).alias("_text"), name_words(F.col(text)).alias("_words")
     ).select("*", F.posexplode_outer("_words").alias("start", "_first"))
-    if small:
-        lengths = names.groupBy(F.substring_index("name", " ", 1).alias("_first")).agg(
-            F.collect_set(F.size(F.split("name", " "))).alias("_lengths")
-        )
-        spread = spread.join(F.broadcast(lengths), "_first", "left" if include_unlinked else "inner")
-    else:
-        spread = spread.withColumn("_lengths", F.sequence(F.lit(1), F.lit(max_words)))
+    spread = spread.withColumn("_run", F.slice("_words", F.col("start") + 1, longest)).drop("_words")
+    lengths = names.groupBy(F.substring_index("name", " ", 1).alias("_first")).agg(
+        F.collect_set(F.size(F.split("name", " "))).alias("_lengths")
+    )
+    spread = spread.join(lengths, "_first", "left" if include_unlinked else "inner")
     if include_unlinked:
         # length 0 stands for the word itself, without an entity
         bare = F.when(F.substring("_first", 1, 1) != F.lower(F.substring("_first", 1, 1)), F.array(F.lit(0)))
         none = F.array().cast("array<int>")
         spread = spread.withColumn("_lengths", F.concat(F.coalesce("_lengths", none), F.coalesce(bare, none)))
     runs = (
-        spread.select(*keep, "_text", "_words", "start", F.explode("_lengths").alias("_length"))
-        .filter(F.col("start") + F.col("_length") <= F.size("_words"))
+        spread.select(*keep, "_text", "_run", "start", F.explode("_lengths").alias("_length"))
+        .filter(F.col("_length") <= F.size("_run"))
         .withColumn("n_words", F.greatest("_length", F.lit(1)))
-        .withColumn("name", F.array_join(F.slice("_words", F.col("start") + 1, F.col("n_words")), " "))
-        .drop("_words")
+        .withColumn("name", F.array_join(F.slice("_run", F.lit(1), F.col("n_words")), " "))
+        .drop("_run")
     )
-    table = F.broadcast(names) if small else names
     if include_unlinked:
         linked = F.col("_length") > 0
         found = (
-            runs.join(table, "name", "left")
+            runs.join(names, "name", "left")
             .filter(~linked | F.col("wd_id").isNotNull())
             .withColumns({c: F.when(linked, F.col(c)) for c in ("label", "wd_id", "score")})
         )
     else:
-        found = runs.join(table, "name")
+        found = runs.join(names, "name")
     # rows alike in every kept column and in text fold together; _rows tells how many there were
     candidate = F.struct("start", (-F.col("_length")).alias("_order"), "n_words", "name", "label", "wd_id", "score")
     grouped = (

@@ -10,7 +10,7 @@ from ...functions.wordlists import ALPHA
 from ..clean import CLASS_THRESHOLD, sentiment_class
 from .lexicon import Lexicon
 from .tokens import caps_differential, clean_words, describe_emoji, punctuation_emphasis
-from .valence import add_word_valence
+from .valence import add_word_valence, with_neighbours
 
 SENTIMENT_COLUMNS = ["shorttext", "fulltext"]
 
@@ -157,6 +157,8 @@ def score_columns(
     spread = measured.select(
         "*", F.posexplode(F.concat(tokens, F.array(F.lit(None).cast("string")))).alias("pos", "token")
     )
+    # each word takes its neighbours along, so that no join carries a text's whole word list
+    spread = with_neighbours(spread).drop("tokens")
     found = table.add_valence(spread, "token").filter(F.col("valence").isNotNull() | F.col("token").isNull())
     valued = add_word_valence(found, table)
 

@@ -70,8 +70,14 @@ def _idiom() -> str:
     return f"CASE WHEN {_in('l0', parts)} OR {_in('p2', parts)} THEN try_element_at({idioms}, {known}) END"
 
 
+def with_neighbours(words: DataFrame) -> DataFrame:
+    """Add the three words before (w1 to w3) and the two after (n1, n2) to rows ``(tokens, pos)``; null past the ends."""
+    before = {f"w{k}": F.expr(f"get(tokens, pos - {k})") for k in (1, 2, 3)}
+    return words.withColumns(before | {f"n{k}": F.expr(f"lower(get(tokens, pos + {k}))") for k in (1, 2)})
+
+
 def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Fill ``value`` for rows ``(tokens, pos, token, valence, caps)``; rows without a valence get null.
+    """Fill ``value`` for rows ``(w1, w2, w3, n1, n2, pos, token, valence, caps)``; rows without a valence get null.
 
     What each neighbour does is read off first. The value then goes through the three distances in
     turn, as each depends on the sign the one before it left.
@@ -81,9 +87,7 @@ def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
         return df.withColumns({name: F.expr(formula) for name, formula in formulas.items()})
 
     distances = (1, 2, 3)
-    words = {f"w{k}": f"get(tokens, pos - {k})" for k in distances}
-    after = {"n1": "lower(get(tokens, pos + 1))", "n2": "lower(get(tokens, pos + 2))", "l0": "lower(token)"}
-    out = add(add(hits, words | after), {f"p{k}": f"lower(w{k})" for k in distances})
+    out = add(hits, {"l0": "lower(token)"} | {f"p{k}": f"lower(w{k})" for k in distances})
     for k in distances:
         out = lexicon.add_known(out, f"p{k}", f"known{k}")
 

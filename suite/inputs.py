@@ -5,7 +5,7 @@ Each input is stated twice: as a DataFrame here and as SQL in ``oracles``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mentionmill.operators.link import name_words
@@ -120,13 +120,13 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names from the benchmark texts: their long words, and the first two to four words of each."""
+    """Names from the benchmark texts: their long words, and the first two to eight words of each."""
     items = table(spark, sf_dir, "benchmark").select("item_id", name_words(F.col("text")).alias("words"))
     entity = F.concat(F.lit("B"), F.col("item_id").cast("string"))
     single = items.select(
         F.explode("words").alias("name"), F.lit("WORD").alias("label"), entity.alias("wd_id"), F.lit(0.3).alias("score")
     ).filter(F.length("name") >= 8)
-    phrases = items.select("words", entity.alias("wd_id"), F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("n")).select(
+    phrases = items.select("words", entity.alias("wd_id"), F.explode(F.array(*map(F.lit, (2, 3, 4, 5, 8)))).alias("n")).select(
         F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("name"),
         F.concat(F.lit("PHRASE"), F.col("n").cast("string")).alias("label"),
         "wd_id",
@@ -149,18 +149,15 @@ def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that link a full view: each the first page of its host, those the first of their language."""
-    base = pages(spark, sf_dir).select(
-        "url", "html", F.split("url", "/")[2].alias("host"), F.split("url", "/")[3].alias("lang")
-    )
-    hosts = base.groupBy("host").agg(F.min("url").alias("host_first"))
-    languages = base.groupBy("lang").agg(F.min("url").alias("lang_first"))
-    target = (
-        F.when(F.col("url") != F.col("host_first"), F.col("host_first"))
-        .when(F.col("url") != F.col("lang_first"), F.col("lang_first"))
-    )
+    """Pages that link a full view: chains of up to ten pages of a host, some of them closed to a circle."""
+    by_host = Window.partitionBy("host").orderBy("url", "page_id")
+    base = pages(spark, sf_dir).withColumn("host", F.split("url", "/")[2])
+    placed = base.withColumn("chain", F.floor((F.row_number().over(by_host) - 1) / 10))
+    in_chain = Window.partitionBy("host", "chain").orderBy("url", "page_id")
+    circle = F.when(F.pmod(F.length("host") + F.col("chain"), F.lit(3)) == 0, F.first("url").over(in_chain))
+    target = F.coalesce(F.lead("url").over(in_chain), circle)
     link = F.when(target.isNotNull(), F.concat(F.lit('<a data-ct-label="all" href="'), target, F.lit('">all</a>'))).otherwise("")
-    return base.join(hosts, "host").join(languages, "lang").select("url", F.concat("html", link).alias("html"))
+    return placed.select("url", F.concat("html", link).alias("html"))
 
 
 def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,10 +65,10 @@ aliases AS (
   SELECT unnest(words) AS name, 'WORD' AS label, wd_id, CAST(0.3 AS DOUBLE) AS score FROM alias_words
   UNION ALL
   SELECT array_to_string(words[1:n], ' '), 'PHRASE' || CAST(n AS VARCHAR), wd_id, CAST(1 AS DOUBLE) / n
-  FROM alias_words, (VALUES (2), (3), (4)) AS sizes(n)),
+  FROM alias_words, (VALUES (2), (3), (4), (5), (8)) AS sizes(n)),
 names AS (
   SELECT name, label, wd_id, score FROM aliases
-  WHERE name <> '' AND len(string_split(name, ' ')) <= 4 AND (label <> 'WORD' OR length(name) >= 8)
+  WHERE name <> '' AND (label <> 'WORD' OR length(name) >= 8)
   QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, wd_id, label) = 1)"""
 
 BERLIN = "timezone('Europe/Berlin', to_timestamp(tstamp))"
@@ -264,12 +264,9 @@ words AS (
   SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w
   FROM (SELECT doc_id, {WORDS_OF_NAMES.format("fulltext")} AS ws FROM articles)),
 runs AS (
-  SELECT doc_id, pos, 1 AS n, w AS name FROM words
-  UNION ALL SELECT doc_id, pos, 2, w || ' ' || lead(w) OVER p FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
-  UNION ALL SELECT doc_id, pos, 3, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p FROM words
-            WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
-  UNION ALL SELECT doc_id, pos, 4, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p FROM words
-            WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT doc_id, pos, n, array_to_string(ws[pos + 1:pos + n], ' ') AS name
+  FROM (SELECT doc_id, pos, ws, unnest(range(1, least(9, len(ws) - pos + 1))) AS n
+        FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, {WORDS_OF_NAMES.format("fulltext")} AS ws FROM articles)))),
 longest AS (
   SELECT doc_id, pos, n, name, label, wd_id, score, pos + n AS free
   FROM runs JOIN names USING (name) QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC) = 1),
@@ -382,17 +379,19 @@ FROM paragraphs""",
     + f"""SELECT page_url, CAST(position AS BIGINT) AS position, {_href("string_split(body, '</article>')[1]")} AS url,
        {_unescaped("nullif(section, chr(2))")} AS section
 FROM bodies WHERE section IS NULL OR section <> 'Ressorts'""",
-    "full_view": _with(
-        "hosts AS (SELECT *, string_split(url, '/')[3] AS host, string_split(url, '/')[4] AS lang FROM pages)",
-        """firsts AS (SELECT url, html, min(url) OVER (PARTITION BY host) AS host_first, min(url) OVER (PARTITION BY lang) AS lang_first
-         FROM hosts)""",
-        """linked AS (SELECT url, html, CASE WHEN url <> host_first THEN host_first WHEN url <> lang_first THEN lang_first END AS target
-         FROM firsts)""",
-        """bodies AS (SELECT url, target, html || coalesce('<a data-ct-label="all" href="' || target || '">all</a>', '') AS html
+    "full_view": _recursive(
+        """placed AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1) // 10 AS chain
+         FROM (SELECT *, string_split(url, '/')[3] AS host FROM pages))""",
+        """linked AS (SELECT page_id, url, html, coalesce(lead(url) OVER w,
+         CASE WHEN (length(host) + chain) % 3 = 0 THEN first_value(url) OVER w END) AS target
+         FROM placed WINDOW w AS (PARTITION BY host, chain ORDER BY url, page_id))""",
+        """bodies AS (SELECT page_id, url, target, html || coalesce('<a data-ct-label="all" href="' || target || '">all</a>', '') AS html
          FROM linked)""",
+        """walk AS (SELECT page_id, url AS page_url, url, html, target, 0 AS hops FROM bodies
+         UNION ALL SELECT w.page_id, w.page_url, b.url, b.html, b.target, hops + 1 FROM walk w JOIN bodies b ON b.url = w.target WHERE hops < 12)""",
     )
-    + """SELECT a.url AS page_url, coalesce(c.url, b.url, a.url) AS url, md5(coalesce(c.html, b.html, a.html)) AS body
-FROM bodies a LEFT JOIN bodies b ON b.url = a.target LEFT JOIN bodies c ON c.url = b.target""",
+    + """SELECT b.url AS page_url, coalesce(w.url, b.url) AS url, md5(coalesce(w.html, b.html)) AS body
+FROM bodies b LEFT JOIN (SELECT * FROM walk WHERE target IS NULL) AS w ON w.page_id = b.page_id""",
     "article_shape": _with(PARAGRAPHS)
     + f"""SELECT CASE WHEN strpos(url, '?') = 0 THEN url END AS url, CAST(page_id AS VARCHAR) AS tstamp,
        nullif({_stripped(_unescaped("regexp_extract(html, '<h1>([^<]*)', 1)"))}, '') AS title,

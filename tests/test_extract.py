@@ -82,8 +82,17 @@ def test_full_view(spark):
     got = {r["page_url"]: (r["url"], r["html"][-4:]) for r in extract.resolve_full_view(table).collect()}
     assert got["/a"] == ("/a/whole", "hree") and got["/a/all"] == ("/a/whole", "hree")
     assert got["/a/whole"] == ("/a/whole", "hree") and got["/b"] == ("/b", "four")
-    once = {r["page_url"]: r["url"] for r in extract.resolve_full_view(table, rounds=1).collect()}
-    assert once["/a"] == "/a/all"
+
+
+def test_full_view_chains_and_circles(spark):
+    def link(to):
+        return f'<a data-ct-label="all" href="{to}">x</a>'
+
+    rows = [(f"/{i}", link(f"/{i + 1}") + f"body {i}") for i in range(1, 12)] + [("/12", "end")]
+    rows += [("/c1", link("/c2")), ("/c2", link("/c3")), ("/c3", link("/c2")), ("/self", link("/self")), ("/x", link("/gone"))]
+    got = {r["page_url"]: (r["url"], r["html"]) for r in extract.resolve_full_view(pages(spark, *rows)).collect()}
+    assert len(got) == len(rows) and all(got[f"/{i}"] == ("/12", "end") for i in range(1, 13))
+    assert all(got[u][0] == u for u in ("/c1", "/c2", "/c3", "/self", "/x"))
 
 
 def test_shapes(spark):

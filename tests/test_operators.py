@@ -293,11 +293,23 @@ def test_link_equals_brute_force(spark):
     assert {i: m for i, t in enumerate(texts) if (m := brute_force(t, names))} == got
 
 
-def test_link_without_broadcast(spark, monkeypatch):
+def test_link_without_broadcast(spark):
     texts = ["Die Neue Berlin Zeitung in New York", "Berlin Berlin"]
     want = sorted(map(tuple, link(spark, texts).collect()))
-    monkeypatch.setattr("mentionmill.operators.link.fits_broadcast", lambda *_: False)
-    assert sorted(map(tuple, link(spark, texts).collect())) == want and len(want) == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, link(spark, texts).collect())) == want and len(want) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_of_any_length(spark):
+    names = [("Amt", "ORG", "Q1", 0.9), ("Amt fuer Bau und Wohnen", "ORG", "Q2", 0.5), ("a b c d e f g h", "X", "Q3", 0.1)]
+    aliases = spark.createDataFrame(names, "name string, label string, wd_id string, score double")
+    articles = spark.createDataFrame([(1, "Das Amt fuer Bau und Wohnen und ein Amt fuer Bau; a b c d e f g h.")], "id int, fulltext string")
+    rows = link_entities(articles, aliases, keep=["id"]).orderBy("position").collect()
+    assert [r["wd_id"] for r in rows] == ["Q2", "Q1", "Q3"]
+    assert link_entities(articles, aliases.limit(0), keep=["id"]).count() == 0
 
 
 def test_link_unlinked_runs(spark):

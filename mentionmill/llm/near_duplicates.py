@@ -8,7 +8,8 @@ weighted Jaccard similarity, and a large weight costs its logarithm.
 Documents with one bag are one node from the start. Nodes that agree in a whole band meet in a bucket, where all are
 checked against two centres (the node that meets most others, and one by hash), so a bucket of n costs 2n checks.
 Where a bucket still holds several components, pairs of different components that agree in one of many narrower draws
-of registers are checked as well. Every check that counts is exact: the overlap of both multisets.
+of registers, and share enough with the other components at all, are checked as well. Every check that counts is
+exact: the overlap of both multisets.
 """
 
 from __future__ import annotations
@@ -158,6 +159,18 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed], names=["node", "size", "component", "keys"])
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The multiset of each node's text."""
+    for batch in batches:
+        for start, data, offsets in text_slices(batch.column(2)):
+            row, key, weight = bags(data, offsets)
+            index = pa.array(row + start)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(index), batch.column(1).take(index), pa.array(key.view(np.int64)), pa.array(weight)],
+                names=["node", "component", "shingle", "weight"],
+            )
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose signatures agree often enough."""
     for batch in batches:
@@ -233,6 +246,44 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _left_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` in different components that may still be links.
+
+    They agree in a draw of registers, and the shingles that a node shares with any other component (its total less
+    what is its own component's alone) are enough on both sides for an overlap as large as a link needs. That bound
+    is exact, and it spares groups of near copies of two alike originals from being paired with each other.
+    """
+    drawn = nodes.select("node", "size", "component", "octets").mapInArrow(
+        _drawn, "node string, size bigint, component string, keys array<bigint>"
+    )
+    keyed = Table(drawn.select("node", "size", "component", F.explode("keys").alias("key")))
+    several = (F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = keyed.df.groupBy("key").agg(*several).filter("lo <> hi").select("key")
+    meeting = Table(keyed.df.join(mixed, "key", "left_semi"))
+    keyed.drop()
+    wanted = meeting.df.select("node", "component").distinct().join(nodes.select("node", "one"), "node")
+    texts = (
+        docs.alias("d").join(wanted.select("node", "component", "one.doc", "one.fp").alias("w"), same_document("d", "w"))
+        .groupBy("w.node", "w.component").agg(F.any_value("d.text").alias("text"))
+    )
+    shingles = Table(texts.mapInArrow(_shingled, "node string, component string, shingle bigint, weight bigint"))
+    abroad = shingles.df.groupBy("shingle").agg(*several).filter("lo <> hi").select("shingle")
+    shared = shingles.df.join(abroad, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"))
+    able = Table(meeting.df.join(shared, "node").filter(F.col("shared") >= SIMILARITY * F.col("size")))
+    meeting.drop()
+    shingles.drop()
+    other = able.df.select(
+        "key", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"), F.col("shared").alias("h")
+    )
+    most = F.least("shared", "h")
+    return (
+        able.df.join(other, "key")
+        .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")))
+        .filter(most >= SIMILARITY * (F.col("size") + F.col("s") - most) - 1e-6)
+        .select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
+    )
+
+
 def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, fp, copies, class_id, kept) for each distinct pair of id and text of ``df``.
 
@@ -275,18 +326,8 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     links.connect()
     mixed = Table(links.with_component(met.df).select("node", "component").distinct())
     if not mixed.df.isEmpty():
-        rows_left = mixed.df.join(nodes, "node").select("node", "size", "component", "octets")
-        drawn = rows_left.mapInArrow(_drawn, "node string, size bigint, component string, keys array<bigint>")
-        keyed = Table(drawn.select("node", "size", "component", F.explode("keys").alias("key")))
-        other = keyed.df.select("key", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"))
-        rest = (
-            keyed.df.join(other, "key")
-            .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")) & fits)
-            .select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
-        )
-        links.check(rest)
+        links.check(_left_pairs(mixed.df.join(nodes, "node"), docs))
         links.connect()
-        keyed.drop()
     met.drop()
     mixed.drop()
     named = ids.join(links.component.df, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import string
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,20 +19,19 @@ WHITESPACE = (
 WHITESPACE_PATTERN = r"(?U)[\s\x1c-\x1f]"
 ASCII_PUNCTUATION = string.punctuation
 
-# Named character references and the characters they stand for.
-NAMED_REFERENCES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-    "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·", "bull": "•", "shy": "\xad",
-    "bdquo": "„", "ldquo": "“", "rdquo": "”", "sbquo": "‚", "lsquo": "‘", "rsquo": "’",
-    "laquo": "«", "raquo": "»", "sect": "§", "deg": "°", "euro": "€", "copy": "©", "reg": "®",
-    # last, as what it gives must not be read as the start of another reference
-    "amp": "&",
-}
-_REFERENCE_ARRAY = "array(" + ", ".join(
-    f"struct('&{name};' AS name, '\\u{ord(char):04x}' AS char)" for name, char in NAMED_REFERENCES.items()
-) + ")"
+def _reference_table() -> dict[str, dict[str, str]]:
+    """All named references with their semicolon, by their first two letters."""
+    table: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        if name.endswith(";"):
+            table.setdefault(name[:2], {})[name] = text
+    return table
+
+
+REFERENCES = json.dumps(_reference_table())
+# Old names that stand without a semicolon too, longest first, so that the longest one that fits is found.
+_OLD_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+OLD_REFERENCES = json.dumps({name: html5[name] for name in _OLD_NAMES})
 
 
 def strip(value: Column) -> Column:
@@ -58,31 +59,40 @@ def is_upper(value: Column) -> Column:
     return (F.upper(value) == value) & (F.lower(value) != value)
 
 
-def _decode_code_point(part: Column) -> Column:
-    digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-    code = F.when(
-        digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
-    ).otherwise(digits).try_cast("int")
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _decode_reference(part: Column, old_names: bool) -> Column:
+    """What follows an ampersand, with the reference it begins with resolved; the ampersand stays otherwise."""
+    number = F.regexp_extract(part, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+    whole_number = F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    digits = F.regexp_extract(number, "^[xX]?0*(.*)$", 1)
+    hexadecimal = number.rlike("^[xX]")
+    code = F.when(F.length(digits) > 7, F.lit(0)).when(hexadecimal, F.conv(digits, 16, 10).cast("int")).otherwise(
+        digits.try_cast("int")
+    )
     usable = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    return F.when(usable, F.concat(char, F.substr(part, F.length(digits) + 2))).otherwise(
-        F.concat(F.lit("&#"), part)
+    char = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    name = F.regexp_extract(part, "^[a-zA-Z][a-zA-Z0-9]*;", 0)
+    table = F.from_json(F.lit(REFERENCES), "map<string, map<string, string>>")
+    named = F.try_element_at(F.try_element_at(table, F.substring(name, 1, 2)), name)
+    out = F.when(number != "", F.concat(char, F.substr(part, F.length(whole_number) + 1))).when(
+        named.isNotNull(), F.concat(named, F.substr(part, F.length(name) + 1))
     )
-
-
-def unescape_html(value: Column) -> Column:
-    """Resolve numeric and common named character references."""
-    parts = F.split(value, "&#")
-    numeric = F.when(
-        value.contains("&#"),
-        F.concat(
-            F.element_at(parts, 1),
-            F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decode_code_point), ""),
-        ),
-    ).otherwise(value)
-    references = F.expr(_REFERENCE_ARRAY)
-    named = F.aggregate(references, numeric, lambda text, r: F.replace(text, r["name"], r["char"]))
-    return F.when(value.contains("&"), named).otherwise(value)
+    if old_names:
+        old = F.regexp_extract(part, f"^(?:{'|'.join(_OLD_NAMES)})", 0)
+        text = F.try_element_at(F.from_json(F.lit(OLD_REFERENCES), "map<string, string>"), old)
+        out = out.when(old != "", F.concat(text, F.substr(part, F.length(old) + 1)))
+    return out.otherwise(F.concat(F.lit("&"), part))
+
+
+def unescape_html(value: Column, old_names: bool = True) -> Column:
+    """Resolve numeric and named character references in one pass.
+
+    ``old_names`` resolves the old names without a semicolon too, as in running text; in attributes, where
+    an ampersand may part the fields of a link, they are left alone. A number that names no character gives
+    the replacement character.
+    """
+    parts = F.split(value, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: _decode_reference(p, old_names))
+    return F.when(value.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(value)
 
 
 def blank_to_null(value: Column) -> Column:

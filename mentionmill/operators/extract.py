@@ -29,7 +29,7 @@ def first_text(html: Column, opening: str) -> Column:
 def attribute(html: Column, opening: str, name: str) -> Column:
     """Attribute ``name`` of the first tag that matches ``opening``; null when there is none."""
     tag = F.regexp_extract(html, opening, 0)
-    return blank_to_null(unescape_html(F.regexp_extract(tag, rf"""\b{name}\s*=\s*["']([^"']*)["']""", 1)))
+    return blank_to_null(unescape_html(F.regexp_extract(tag, rf"""\b{name}\s*=\s*["']([^"']*)["']""", 1), old_names=False))
 
 
 @dataclass(frozen=True)
@@ -100,49 +100,108 @@ def with_sections(articles: DataFrame) -> DataFrame:
     return articles.withColumn("sections", sections_from_url(F.col("url")))
 
 
-def article_text(html: Column, variant: str = "all_nodes") -> Column:
-    """Text of the paragraphs in the page's ``<article>`` elements.
+# Elements without content, and those that end an open paragraph.
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+BLOCK_ELEMENTS = (
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
+    "table", "ul",
+)
+
+
+@dataclass(frozen=True)
+class ParagraphLayout:
+    """Which elements hold the text: their tag, the element they are direct children of, and their classes."""
+
+    tag: str = "p"
+    parent: str | None = "article"
+    classes: tuple[str, ...] = ()
+
+
+# Paragraphs by class, anywhere in the page.
+CLASSED_PARAGRAPHS = ParagraphLayout(parent=None, classes=("paragraph", "article__item"))
+
+
+def _paragraphs(html: Column, layout: ParagraphLayout) -> Column:
+    """The text nodes of each paragraph of the layout, in page order.
+
+    The page is split at its tags and walked once; ``path`` names the elements that are open. A closing
+    tag without its opening one is passed over, and block elements end an open paragraph.
+    """
+    bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)", "")
+    pieces = F.filter(F.split(F.concat(F.lit(" "), bare), "(?=</?[a-zA-Z])"), lambda _, i: i > 0)
+
+    def parsed(piece: Column) -> Column:
+        tag = F.regexp_extract(piece, "^<[^>]*>?", 0)
+        wanted = F.lit(True)
+        for name in layout.classes:
+            wanted &= tag.rlike(class_tag(name, layout.tag))
+        return F.struct(
+            F.lower(F.regexp_extract(piece, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name"),
+            piece.startswith("</").alias("closes"),
+            wanted.alias("wanted"),
+            F.substr(piece, F.length(tag) + 1).alias("text"),
+        )
+
+    def cut(path: Column, name: Column) -> Column:
+        """The path up to the last open element of this name."""
+        behind = F.call_function("substring_index", path, F.concat(F.lit("/"), name, F.lit("/")), F.lit(-1))
+        kept = F.length(path) - F.length(behind)
+        return F.substr(path, F.lit(1), kept - F.length(name) - 1)
+
+    def walk(state: Column, e: Column) -> Column:
+        path, name = state["path"], e["name"]
+        is_open = F.contains(path, F.concat(F.lit("/"), name, F.lit("/")))
+        ends_paragraph = name.isin(*BLOCK_ELEMENTS) & F.contains(path, F.lit("/p/"))
+        outer = F.when(ends_paragraph, cut(path, F.lit("p"))).otherwise(path)
+        starts = ~e["closes"] & (name == layout.tag) & e["wanted"]
+        if layout.parent:
+            starts &= outer.endswith(f"/{layout.parent}/")
+        after = (
+            F.when(e["closes"], F.when(is_open, cut(path, name)).otherwise(path))
+            .when(name.isin(*VOID_ELEMENTS), outer)
+            .otherwise(F.concat(outer, name, F.lit("/")))
+        )
+        inside = F.when(starts, after).when(after.startswith(state["inside"]), state["inside"]).otherwise(F.lit("\x00"))
+        node = F.struct(starts.alias("first"), e["text"].alias("text"))
+        return F.struct(
+            after.alias("path"),
+            inside.alias("inside"),
+            F.when(inside != "\x00", F.concat(state["out"], F.array(node))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(
+        F.lit("/").alias("path"),
+        F.lit("\x00").alias("inside"),
+        F.array().cast("array<struct<first:boolean,text:string>>").alias("out"),
+    )
+    found = F.aggregate(F.transform(pieces, parsed), start, walk, lambda state: state["out"])
+    marked = F.transform(found, lambda n: F.concat(F.when(n["first"], F.lit("\x01")).otherwise(F.lit("\x02")), n["text"]))
+    each = F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda _, i: i > 0)
+    # two tags in a row have no text node between them
+    return F.transform(each, lambda p: F.filter(F.split(p, "\x02"), lambda n: n != ""))
+
+
+def article_text(html: Column, variant: str = "all_nodes", layout: ParagraphLayout = ParagraphLayout()) -> Column:
+    """Text of the page's paragraphs, by default those that are direct children of an ``<article>``.
 
     ``all_nodes``: every text node stripped, empty ones kept, joined by one space.
     ``paragraphs``: the text of each paragraph stripped, joined by one space.
     ``filled_nodes``: in each paragraph the non-empty stripped text nodes are joined by one space,
     then the paragraphs are.
-
-    A paragraph ends at its closing tag or where the next one opens.
     """
-    body = F.array_join(
-        F.regexp_extract_all(
-            F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(r"(?s)<article\b[^>]*>(.*?)(?:</article>|$)"), 1
-        ),
-        "",
-    )
-    paragraphs = F.transform(
-        F.filter(F.split(body, r"<p(?:\s[^>]*)?>"), lambda _, i: i > 0),
-        lambda p: F.substring_index(p, "</p>", 1),
-    )
+    paragraphs = _paragraphs(html, layout)
 
-    def nodes(paragraph: Column) -> Column:
-        # two tags in a row have no text node between them
-        return F.filter(F.split(paragraph, "<[^>]*>"), lambda n: n != "")
+    def clean(node: Column) -> Column:
+        return strip(unescape_html(node))
 
     if variant == "all_nodes":
-        return F.array_join(
-            F.transform(F.flatten(F.transform(paragraphs, nodes)), lambda n: strip(unescape_html(n))), " "
-        )
+        return F.array_join(F.transform(F.flatten(paragraphs), clean), " ")
     if variant == "paragraphs":
-        return F.array_join(
-            F.transform(paragraphs, lambda p: strip(unescape_html(F.regexp_replace(p, "<[^>]*>", "")))), " "
-        )
+        return F.array_join(F.transform(paragraphs, lambda p: clean(F.array_join(p, ""))), " ")
     if variant == "filled_nodes":
-        return F.array_join(
-            F.transform(
-                paragraphs,
-                lambda p: F.array_join(
-                    F.filter(F.transform(nodes(p), lambda n: strip(unescape_html(n))), lambda n: n != ""), " "
-                ),
-            ),
-            " ",
-        )
+        filled = F.transform(paragraphs, lambda p: F.array_join(F.filter(F.transform(p, clean), lambda n: n != ""), " "))
+        return F.array_join(filled, " ")
     raise ValueError(f"unknown variant {variant!r}")
 
 

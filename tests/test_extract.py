@@ -43,6 +43,10 @@ def test_teasers(spark):
         ("<div>nichts</div>", "", "", ""),
         ("<article><p>a</p></article><article><p>b</p></article>", "a b", "a b", "a b"),
         ("<article><pre>x</pre><p>a</p></article>", "a", "a", "a"),
+        ("<article><p>a</p><div><p>ad</p></div><p>b</article>c", "a b", "a b", "a b"),
+        ("<article><p>a<div>no</div>no</p><p>b</p></article>", "a b", "a b", "a b"),
+        ("<article><article><p>in</p></article><p>out</p></article><p>no</p>", "in out", "in out", "in out"),
+        ("<article></section><p>a<i>b</i></b>c</p></article>", "a b c", "abc", "a b c"),
     ],
 )
 def test_article_text(spark, html, all_nodes, paragraphs, filled):
@@ -53,6 +57,15 @@ def test_article_text(spark, html, all_nodes, paragraphs, filled):
     assert tuple(row) == (all_nodes, paragraphs, filled)
 
 
+def test_paragraphs_by_class(spark):
+    html = (
+        '<p class="paragraph article__item">a <b> b </b></p><article><p>no</p><div><p class="x article__item paragraph">c</p></div>'
+        '<p class="paragraph">no</p></article>'
+    )
+    text = extract.article_text(F.col("html"), "filled_nodes", extract.CLASSED_PARAGRAPHS)
+    assert pages(spark, ("/", html)).select(text).first()[0] == "a b c"
+
+
 def test_article_text_variant_name(spark):
     with pytest.raises(ValueError):
         extract.article_text(F.col("html"), "other")

@@ -1,4 +1,5 @@
 import datetime as dt
+import html
 import random
 import zoneinfo
 
@@ -49,7 +50,9 @@ def test_case_like_python(spark, word):
 
 
 def test_unescape(spark):
-    assert one(spark, "&#228;&amp;lt; &#x1F600; &ouml; &#zz; &#0; R&D", "string", unescape_html) == "ä&lt; 😀 ö &#zz; &#0; R&D"
+    assert one(spark, "&#228;&amp;lt; &#x1F600; &ouml; &#zz; R&D", "string", unescape_html) == "ä&lt; 😀 ö &#zz; R&D"
+    for text in ("&oslash;&ntilde;&trade;&rsaquo; &auml x", "&#00000228;&#xE4;&#228 &#0;&#99999999999;", "&ampamp; &notit; &nope; & &", "&NotEqualTilde;"):
+        assert one(spark, text, "string", unescape_html) == html.unescape(text)
 
 
 def test_epoch_forms(spark):

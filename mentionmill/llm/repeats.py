@@ -235,7 +235,7 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
         candidates.join(classes.filter("n > 1").select("seed", "reach"), ["seed", "reach"], "left_semi")
         .select("doc", "fp", "start", (F.col("start") + F.col("more") + length).alias("end"))
     )
-    several = classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")
+    several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")).df
     open_stretches = (
         classes.join(several, "seed").select("one.*", "seed", "classes")
         .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed", "classes")).alias("stretches"))
@@ -254,7 +254,8 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
         .groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
     )
     windows = Table(_window_rows(stretches.filter(~few), alphabet)).df
-    twice = windows.groupBy("seed", "window").agg(F.count("*").alias("n")).filter("n > 1").select("seed", "window")
+    counted = windows.groupBy("seed", "window").agg(F.count("*").alias("n"))
+    twice = Table(counted.filter("n > 1").select("seed", "window")).df
     single = windows.join(twice, ["seed", "window"], "left_semi").select(
         "doc", "fp", "start", (F.col("start") + length).alias("end")
     )

@@ -65,9 +65,11 @@ def without_repeats(
     docs = identified(df.withColumns({n: F.col(c) for c, n in renamed.items()}), doc, text, *renamed.values())
     keyed = docs.select("doc", "fp", "text")
     seeds = Table(anchors(keyed, alphabet))
-    again = seeds.df.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    candidates = Table(seeds.df.join(again, "seed", "left_semi"))
+    # Written before the join, so that adaptive execution can split the rows of a hot seed.
+    again = Table(seeds.df.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
+    candidates = Table(seeds.df.join(again.df, "seed", "left_semi"))
     seeds.drop()
+    again.drop()
     found = with_spans(docs, extended(candidates.df, keyed, alphabet))
     fields = ", ".join(f"{n} {t}" for n, t in found.dtypes[: 1 + len(keep)])
     schema = f"{fields}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text

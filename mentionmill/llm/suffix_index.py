@@ -54,10 +54,11 @@ class IndexFamily:
 
     def matched(self) -> Table:
         """All suffixes that share their first bytes with another one."""
-        seeds = reduce(DataFrame.union, (t.df for t in self.met)).distinct()
+        # Written before the join, so that adaptive execution can split the rows of a hot seed.
+        seeds = Table(reduce(DataFrame.union, (t.df for t in self.met)).distinct())
         everything = reduce(DataFrame.union, (t.df for t in self.levels.values()))
-        out = Table(everything.join(seeds, "seed", "left_semi"))
-        for t in [*self.met, *self.levels.values()]:
+        out = Table(everything.join(seeds.df, "seed", "left_semi"))
+        for t in [seeds, *self.met, *self.levels.values()]:
             t.drop()
         return out
 

@@ -263,3 +263,38 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             expected = {r["doc_id"]: r["text"] for r, (_, n, _) in zip(before, held, strict=True) if not n}
         assert got == expected, name
         assert all(r["n_chars"] == len(r["text"]) for r in after if name == "substrings")
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and long texts, extra columns with clashing names."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(900)}" for _ in range(50))
+    benchmark = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def text(n):
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+    rows = [(i, text(80), "en", f"s{i % 3}", 1) for i in range(20)]
+    rows += [(i, f"{text(60)} {passage} {text(60)}", None, None, None) for i in range(20, 26)]
+    rows += [(30, f"{text(60)} {benchmark[0]} {text(60)}", "en", "s", 5), (31, text(30_000), "en", "s", 5)]
+    rows += [(None, text(70), None, None, None), (None, None, None, None, None), (40, "", "en", "s", 0), (41, None, "en", "s", 0)]
+    rows += [rows[0], rows[0], (50, rows[1][1], "de", "t", 2), (2, text(90), "en", "s", 3), (60, f"{passage} {passage}", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, seed string, doc string, fp string, places string"
+    docs = spark.createDataFrame([(*r, "k", None, "d", "f", "p") for r in rows], schema).repartition(4)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert after.columns == docs.columns
+        kept[name] = [tuple(r) for r in after.collect()]
+        docs = after
+    ids = {name: sorted((str(r[0]) for r in rows_), key=str) for name, rows_ in kept.items()}
+    assert len(kept["quality_rules"]) == len(rows) - 4  # null and empty texts, and the one that repeats itself
+    assert ids["near_duplicates"].count("0") == 1 and "50" not in ids["near_duplicates"] and ids["near_duplicates"].count("2") == 2
+    cut = [r for r in kept["substrings"] if r[0] in range(20, 26)]
+    assert len(cut) == 6 and all(passage not in r[1] and len(r[1].split()) == 120 and r[4] == len(r[1]) for r in cut)
+    assert "30" not in ids["decontamination"] and "31" in ids["decontamination"] and "None" in ids["decontamination"]
+    assert len({r[0] for r in kept["packing"]}) == len({r[0] for r in kept["decontamination"]})

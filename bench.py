@@ -39,6 +39,11 @@ HEADLINE = [
     "linked_mentions_per_week",
     "batch_score",
     "scoring_input",
+    "topics",
+    "topic_summary",
+    "attach_by_text",
+    "membership_count",
+    "many_to_one",
 ]
 
 

@@ -9,8 +9,8 @@ from .. import schemas
 from ..operators.rowids import dense_row_ids
 
 SCORED_CSV = "shorttext STRING, gold STRING, compound DOUBLE, scores STRING, sentiment STRING"
-# Fields as pandas writes and reads them: quotes doubled, line breaks inside quotes.
-PANDAS_FORMAT = {"quote": '"', "escape": '"'}
+# Fields as pandas writes and reads them: quotes doubled, line breaks inside quotes, white space kept.
+PANDAS_FORMAT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

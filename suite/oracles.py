@@ -532,3 +532,37 @@ FROM (SELECT topic, CAST(sum(CAST(round(weight * 1e9) AS BIGINT)) AS DOUBLE) / c
 LEFT JOIN (SELECT own AS topic, count(*) AS n_articles FROM named GROUP BY own) AS c ON c.topic IS NOT DISTINCT FROM m.topic
 LEFT JOIN terms ON terms.topic = m.topic"""
 )
+
+ORACLES["jsonl_round_trip"] = (
+    _with(ARTICLES)
+    + """SELECT '/doc/' || CAST(doc_id AS VARCHAR) AS url, doc_id * 3600 + 1704067200 AS tstamp, md5(shorttext) AS short, md5(fulltext) AS body,
+       source AS section FROM articles JOIN (SELECT doc_id, source FROM documents) AS d USING (doc_id)"""
+)
+ORACLES["partitioned_round_trip"] = (
+    _with(ARTICLES)
+    + """SELECT '/doc/' || CAST(doc_id AS VARCHAR) AS url, CAST(length(shorttext) AS BIGINT) AS n, 'source=' || source AS folder
+FROM articles JOIN (SELECT doc_id, source FROM documents) AS d USING (doc_id)"""
+)
+ORACLES["csv_round_trip"] = """SELECT md5('"' || replace(text, ' ', '",') || chr(10)) AS text, 'unknown' AS gold, CAST(doc_id AS DOUBLE) / CAST(8 AS DOUBLE) AS compound,
+       '{''neg'': 0.0}' AS scores, 'neutral' AS sentiment FROM documents"""
+ORACLES["tsv_round_trip"] = """SELECT row_number() OVER (ORDER BY doc_id) AS row_id, 'unknown' AS label, md5(text) AS text FROM documents"""
+ORACLES["merge_facts_null_safe"] = (
+    _with(MENTIONS, CATALOG, "facts AS (SELECT * FROM catalog UNION ALL SELECT NULL, 'none', 'no entity')")
+    + """SELECT ingest_id, mentions.wd_id, wd_label, wd_description FROM mentions LEFT JOIN facts ON facts.wd_id IS NOT DISTINCT FROM mentions.wd_id"""
+)
+ORACLES["products_per_section"] = (
+    _with(MENTIONS, CATALOG)
+    + f"""SELECT week_end, section, wd_id, count, wd_label, wd_description FROM (
+SELECT {WEEK} AS week_end, section, wd_id, {COUNT} FROM mentions WHERE wd_id IS NOT NULL AND section IS NOT NULL GROUP BY ALL) AS x
+LEFT JOIN catalog USING (wd_id)"""
+)
+ORACLES["mean_tag_score"] = _with(
+    ARTICLES,
+    LEXICON,
+    "tags AS (SELECT doc_id, unnest(string_split(shorttext, '.')) AS t FROM articles)",
+    "src AS (SELECT {'doc_id': doc_id, 'i': i} AS k, t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id) AS i FROM tags))",
+    SCORES,
+    """means AS (SELECT k.doc_id AS doc_id, count(*) AS sentences,
+     CAST(sum(CAST(round(compound * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m
+     FROM scores GROUP BY ALL)""",
+) + f"SELECT doc_id, sentences, {_rounded('m', 4)} AS mean_compound FROM means"

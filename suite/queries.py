@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,13 @@ from mentionmill.operators.link import link_entities
 from mentionmill.operators.model import batch_score
 from mentionmill.operators.sentiment import score_columns, score_sentiment
 from mentionmill.operators.sentiment.lexicon import lexicon_hits
-from mentionmill.operators.sentiment.score import mean_sentence_score
+from mentionmill.operators.sentiment.score import mean_sentence_score, mean_tag_score
 from mentionmill.operators.sentiment.tokens import punctuation_emphasis, token_context
 from mentionmill.operators.topics import article_topics, fit_topics, topic_summary
-from mentionmill.plans.products import linked_mentions
-from mentionmill.sources.delimited import scoring_input
-from mentionmill.sources.jsonl import json_array_lines
+from mentionmill.plans.products import count_products, linked_mentions
+from mentionmill.sources.delimited import read_labelled, read_scored_csv, scoring_input, write_csv, write_scoring_input
+from mentionmill.sources.jsonl import json_array_lines, read_articles, write_jsonl
+from mentionmill.tables import shared_folder
 
 from . import inputs
 
@@ -174,9 +176,67 @@ def ad_url_filter(spark, sf_dir):
     return clean.drop_ads(inputs.pages(spark, sf_dir), "blog.").select("page_id", "url")
 
 
+# sources and sinks: written to the shared folder, read again
+
+
+def _written(spark, write):
+    """A path below the shared folder after ``write(path)`` has filled it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query
+def jsonl_round_trip(spark, sf_dir):
+    rows = inputs.articles(spark, sf_dir).select("url", "tstamp", "shorttext", "fulltext", "sections")
+    path = _written(spark, lambda p: write_jsonl(rows, p, gzip=True))
+    back = read_articles(spark, path)
+    return back.select("url", "tstamp", F.md5("shorttext").alias("short"), F.md5("fulltext").alias("body"), sec.first_section(F.col("sections")).alias("section"))
+
+
+@query
+def partitioned_round_trip(spark, sf_dir):
+    rows = inputs.articles(spark, sf_dir).select("url", "tstamp", "shorttext", F.col("sections")[0].alias("source"))
+    path = _written(spark, lambda p: write_jsonl(rows, p, partition_by=["source"]))
+    files = read_articles(spark, path).select("url", F.length("shorttext").cast("bigint").alias("n"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
+    return files
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    rows = inputs.articles(spark, sf_dir).select(
+        F.concat(F.lit('"'), F.replace("fulltext", F.lit(" "), F.lit('",')), F.lit("\n")).alias("text"), F.lit("unknown").alias("gold"),
+        (F.col("doc_id") / 8).alias("compound"), F.lit("{'neg': 0.0}").alias("scores"), F.lit("neutral").alias("sentiment"),
+    )
+    back = read_scored_csv(spark, _written(spark, lambda p: write_csv(rows, p)))
+    return back.select(F.md5("shorttext").alias("text"), "gold", "compound", "scores", "sentiment")
+
+
+@query
+def tsv_round_trip(spark, sf_dir):
+    rows = inputs.articles(spark, sf_dir).select("doc_id", "fulltext")
+    back = read_labelled(spark, _written(spark, lambda p: write_scoring_input(rows, p, "doc_id", "fulltext")))
+    return back.select(F.col("id").cast("bigint").alias("row_id"), "label", F.md5("text").alias("text"))
+
+
 # joins
 
 
+@query
+def merge_facts_null_safe(spark, sf_dir):
+    facts = inputs.catalog(spark, sf_dir).unionByName(
+        spark.range(1).select(F.lit(None).cast("string").alias("wd_id"), F.lit("none").alias("wd_label"), F.lit("no entity").alias("wd_description"))
+    )
+    table = merge.merge_facts(inputs.mentions(spark, sf_dir), facts, null_safe=True)
+    return table.select("ingest_id", "wd_id", "wd_label", "wd_description")
+
+
+@query
+def products_per_section(spark, sf_dir):
+    sentiment = _sentiment(spark, sf_dir)
+    return count_products(inputs.mentions(spark, sf_dir), sentiment, inputs.catalog(spark, sf_dir)).per_section_per_week
+
+
 @query
 def merge_facts(spark, sf_dir):
     table = merge.merge_facts(inputs.mentions(spark, sf_dir), inputs.catalog(spark, sf_dir))
@@ -376,6 +436,12 @@ def mean_sentence_score_(spark, sf_dir):
     return mean_sentence_score(inputs.articles(spark, sf_dir), ["doc_id"], "shorttext", inputs.lexicon(spark, sf_dir))
 
 
+@query
+def mean_tag_score_(spark, sf_dir):
+    tags = inputs.articles(spark, sf_dir).select("doc_id", F.split("shorttext", "[.]").alias("tags"))
+    return mean_tag_score(tags, ["doc_id"], "tags", inputs.lexicon(spark, sf_dir))
+
+
 # linking, models, topics
 
 

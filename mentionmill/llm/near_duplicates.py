@@ -36,6 +36,8 @@ LEAST_AGREEING = 81
 #: What is left is paired where 12 registers agree, in any of 100 fixed draws: a pair of similarity 0.8 meets but for
 #: one in a thousand, one of 0.5 in two of a hundred.
 DRAWS, REGISTERS_PER_DRAW = 100, 12
+#: Groups of components for which shared shingles are counted apart.
+GROUPS = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MARK = {1: np.uint64(0xA0761D6478BD642F), 2: np.uint64(0xE7037ED1A0B428DB)}
@@ -246,12 +248,16 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _group(component: str) -> Column:
+    return F.pmod(F.xxhash64(component), F.lit(GROUPS)).cast("int")
+
+
 def _left_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (u, v) of ``nodes`` in different components that may still be links.
 
-    They agree in a draw of registers, and the shingles that a node shares with any other component (its total less
-    what is its own component's alone) are enough on both sides for an overlap as large as a link needs. That bound
-    is exact, and it spares groups of near copies of two alike originals from being paired with each other.
+    They agree in a draw of registers, and the shingles that each node shares with other components of the other's
+    group (components fall into 16 groups by hash) are enough for an overlap as large as a link needs. That bound is
+    exact, and it spares groups of near copies of two alike originals from being paired with each other.
     """
     drawn = nodes.select("node", "size", "component", "octets").mapInArrow(
         _drawn, "node string, size bigint, component string, keys array<bigint>"
@@ -267,15 +273,25 @@ def _left_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         .groupBy("w.node", "w.component").agg(F.any_value("d.text").alias("text"))
     )
     shingles = Table(texts.mapInArrow(_shingled, "node string, component string, shingle bigint, weight bigint"))
-    abroad = shingles.df.groupBy("shingle").agg(*several).filter("lo <> hi").select("shingle")
-    shared = shingles.df.join(abroad, "shingle", "left_semi").groupBy("node").agg(F.sum("weight").alias("shared"))
-    able = Table(meeting.df.join(shared, "node").filter(F.col("shared") >= SIMILARITY * F.col("size")))
+    # For each shingle the groups of components that hold it (at most 16), each with two of its components at most.
+    holders = (
+        shingles.df.groupBy("shingle", _group("component").alias("g")).agg(*several)
+        .groupBy("shingle").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("held"))
+    )
+
+    def abroad(group: int) -> Column:
+        own = F.col("component")
+        return F.exists("held", lambda h: (h["g"] == group) & ((h["lo"] != own) | (h["hi"] != own)))
+
+    counts = [F.sum(F.when(abroad(i), F.col("weight")).otherwise(0)) for i in range(GROUPS)]
+    shared = shingles.df.join(holders, "shingle").groupBy("node").agg(F.array(*counts).alias("shared"))
+    able = Table(meeting.df.join(shared, "node").filter(F.array_max("shared") >= SIMILARITY * F.col("size")))
     meeting.drop()
     shingles.drop()
     other = able.df.select(
         "key", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"), F.col("shared").alias("h")
     )
-    most = F.least("shared", "h")
+    most = F.least(F.get("shared", _group("c")), F.get("h", _group("component")))
     return (
         able.df.join(other, "key")
         .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")))
@@ -315,7 +331,7 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     members.drop()
     centre = F.struct("node", "size")
     centres = met.df.groupBy("band").agg(
-        F.min_by(centre, F.struct(-F.col("meets"), "one")).alias("a"), F.min_by(centre, F.xxhash64("node", "band")).alias("b")
+        F.min_by(centre, F.struct(-F.col("meets"), "one")).alias("a"), F.min_by(centre, F.xxhash64("node")).alias("b")
     ).select("band", F.explode(F.array("a", "b")).alias("c"))
     pairs = (
         met.df.join(centres.select("band", F.col("c.node").alias("centre"), F.col("c.size").alias("s")), "band")

@@ -23,7 +23,5 @@ ENTITY_DOCUMENT = "wd_id STRING, url STRING, body STRING"
 
 PAGE = "url STRING, html STRING"
 
-LEXICON = "word STRING, valence DOUBLE"
-EMOJI = "emoji STRING, description STRING"
 LABELLED_TEXT = "id STRING, label STRING, text STRING"
 SCORED_TEXT = "text STRING, gold STRING, compound DOUBLE, scores STRING"

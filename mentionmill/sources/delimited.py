@@ -26,7 +26,8 @@ def read_emoji(spark: SparkSession, path: str) -> DataFrame:
 def _last_line(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     fields = F.split(F.trim("value"), "\t")
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("_line"),
+        # by file and place in it, whatever order Spark packs the parts of files in
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_line"),
         F.get(fields, F.lit(0)).alias(names[0]),
         F.get(fields, F.lit(1)).alias(names[1]),
     )

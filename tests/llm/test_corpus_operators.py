@@ -124,6 +124,15 @@ def test_token_counts_and_ids_equal_the_library():
         assert ids.ids(text).tolist() == expected, repr(text)
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000])
+def test_ids_of_very_long_runs_equal_the_library(run):
+    path = tokenizer_path()
+    text = f"before{run}after<|endoftext|>"
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert encoder(path).ids(text).tolist() == expected
+    assert counter(path).count(text) == len(expected)
+
+
 def test_token_counts_in_spark(spark):
     texts = [*awkward_texts(200), None]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)

@@ -7,13 +7,14 @@ weighted Jaccard similarity, and a large weight costs its logarithm.
 
 Documents with one bag are one node from the start. Nodes that agree in a whole band meet in a bucket, where all are
 checked against two centres (the node that meets most others, and one by hash), so a bucket of n costs 2n checks.
-Where a bucket still holds several components, pairs of different components that agree in one of many narrower draws
-of registers, and share enough with the other components at all, are checked as well. Every check that counts is
-exact: the overlap of both multisets.
+Where a bucket still holds several components, all its pairs of different components are checked as well, unless their
+signatures or the shingles that each shares with other components show that they cannot be links. Every check that
+counts is exact: the overlap of both multisets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ SIMILARITY = 0.8
 #: 25 bands of 5: a pair of similarity 0.8 shares a band but for one in 20,000.
 BANDS, ROWS_PER_BAND = 25, 5
 REGISTERS = BANDS * ROWS_PER_BAND
-#: Pairs whose signatures agree in fewer registers (four deviations below 0.8) are not worth an exact check.
+#: Pairs whose signatures agree in fewer registers (four deviations below 0.8) are not worth an exact check; so few
+#: have one pair of similarity 0.8 in 40,000.
 LEAST_AGREEING = 81
-#: What is left is paired where 12 registers agree, in any of 100 fixed draws: a pair of similarity 0.8 meets but for
-#: one in a thousand, one of 0.5 in two of a hundred.
-DRAWS, REGISTERS_PER_DRAW = 100, 12
+#: Numbers of 64 bits that hold the octets of a signature, one for each register.
+WORDS = -(-REGISTERS // 8)
 #: Groups of components for which shared shingles are counted apart.
 GROUPS = 16
 
@@ -146,19 +147,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A node's keys: one for each draw of registers."""
-    rng = np.random.default_rng(20)
-    draws = np.array([rng.permutation(REGISTERS)[:REGISTERS_PER_DRAW] for _ in range(DRAWS)])
+def _in_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The octets of each node as numbers of 64 bits."""
     for batch in batches:
-        octets = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS).astype(np.uint64)
-        keys = np.broadcast_to(np.arange(DRAWS, dtype=np.uint64), (len(octets), DRAWS)).copy()
-        for i in range(REGISTERS_PER_DRAW):
-            keys = mix(keys * _A + octets[:, draws[:, i]])
-        listed = pa.ListArray.from_arrays(
-            pa.array(np.arange(len(octets) + 1) * DRAWS, pa.int32()), pa.array(keys.ravel().view(np.int64))
-        )
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), listed], names=["node", "size", "component", "keys"])
+        octets = np.zeros((batch.num_rows, 8 * WORDS), dtype=np.uint8)
+        octets[:, :REGISTERS] = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+        bounds = pa.array(np.arange(len(octets) + 1) * WORDS, pa.int32())
+        listed = pa.ListArray.from_arrays(bounds, pa.array(octets.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["node", "words"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,22 +248,26 @@ def _group(component: str) -> Column:
     return F.pmod(F.xxhash64(component), F.lit(GROUPS)).cast("int")
 
 
-def _left_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) of ``nodes`` in different components that may still be links.
+def _differing(a: str, b: str) -> Column:
+    """In how many octets two lists of WORDS numbers differ."""
+    counts = []
+    for i in range(WORDS):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for step in (4, 2, 1):  # the lowest bit of each octet becomes the disjunction of all its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        counts.append(F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
+    return functools.reduce(Column.__add__, counts)
+
+
+def _left_pairs(meeting: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that meet in a bucket of ``meeting`` (band, node, component) and may be links.
 
-    They agree in a draw of registers, and the shingles that each node shares with other components of the other's
+    Their signatures agree often enough, and the shingles that each node shares with other components of the other's
     group (components fall into 16 groups by hash) are enough for an overlap as large as a link needs. That bound is
     exact, and it spares groups of near copies of two alike originals from being paired with each other.
     """
-    drawn = nodes.select("node", "size", "component", "octets").mapInArrow(
-        _drawn, "node string, size bigint, component string, keys array<bigint>"
-    )
-    keyed = Table(drawn.select("node", "size", "component", F.explode("keys").alias("key")))
     several = (F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = keyed.df.groupBy("key").agg(*several).filter("lo <> hi").select("key")
-    meeting = Table(keyed.df.join(mixed, "key", "left_semi"))
-    keyed.drop()
-    wanted = meeting.df.select("node", "component").distinct().join(nodes.select("node", "one"), "node")
+    wanted = meeting.select("node", "component").distinct().join(nodes.select("node", "one"), "node")
     texts = (
         docs.alias("d").join(wanted.select("node", "component", "one.doc", "one.fp").alias("w"), same_document("d", "w"))
         .groupBy("w.node", "w.component").agg(F.any_value("d.text").alias("text"))
@@ -285,17 +285,23 @@ def _left_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     counts = [F.sum(F.when(abroad(i), F.col("weight")).otherwise(0)) for i in range(GROUPS)]
     shared = shingles.df.join(holders, "shingle").groupBy("node").agg(F.array(*counts).alias("shared"))
-    able = Table(meeting.df.join(shared, "node").filter(F.array_max("shared") >= SIMILARITY * F.col("size")))
-    meeting.drop()
+    words = nodes.select("node", "octets").mapInArrow(_in_words, "node string, words array<bigint>")
+    fit = (
+        nodes.select("node", "size").join(shared, "node").filter(F.array_max("shared") >= SIMILARITY * F.col("size"))
+        .join(words, "node")
+    )
+    able = Table(meeting.select("band", "node", "component").join(fit, "node"))
     shingles.drop()
     other = able.df.select(
-        "key", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"), F.col("shared").alias("h")
+        "band", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"),
+        F.col("shared").alias("h"), F.col("words").alias("others"),
     )
     most = F.least(F.get("shared", _group("c")), F.get("h", _group("component")))
     return (
-        able.df.join(other, "key")
+        able.df.join(other, "band")
         .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")))
         .filter(most >= SIMILARITY * (F.col("size") + F.col("s") - most) - 1e-6)
+        .filter(_differing("words", "others") <= REGISTERS - LEAST_AGREEING)
         .select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
     )
 
@@ -340,9 +346,9 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     )
     links.check(pairs)
     links.connect()
-    mixed = Table(links.with_component(met.df).select("node", "component").distinct())
+    mixed = Table(links.with_component(met.df).select("band", "node", "component"))
     if not mixed.df.isEmpty():
-        links.check(_left_pairs(mixed.df.join(nodes, "node"), docs))
+        links.check(_left_pairs(mixed.df, nodes, docs))
         links.connect()
     met.drop()
     mixed.drop()

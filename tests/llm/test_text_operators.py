@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mentionmill.llm import repeats
+from mentionmill.llm import near_duplicates, repeats
 from mentionmill.llm.arrays import least_positions, run_hashes
 from mentionmill.llm.components import components
 from mentionmill.llm.decontaminate import contamination
@@ -186,6 +186,39 @@ def test_large_group_of_near_copies(spark):
     assert {r["doc"]: r["class_id"] for r in found.collect()} == dict(zip(range(300), expected, strict=True))
 
 
+#: Families whose pairs agree in 81 registers or more, but in none of 100 draws of 12, and in no band without the others.
+FAMILIES = [
+    1, 274, 335, 379, 442, 517, 546, 712, 781, 881, 981, 1347, 1416, 1449, 1520, 1584, 1607, 1665, 1793, 1892, 1898, 1967, 2070,
+    2301, 2530, 2616, 2748, 2801, 2805, 3119, 3180, 3216, 3253, 3325, 3491, 3590, 3610, 3653, 3678, 3753, 3794, 3815, 3863, 4131,
+]
+
+
+def test_pairs_at_the_limit_among_alike_documents(spark):
+    """Pairs of similarity 0.802 that meet only in large buckets, as all documents share boilerplate (similarity 0.77)."""
+    rows = []
+    for i in [*FAMILIES, *range(10_000, 10_030)]:
+        words = [f"b{j}" for j in range(400)] + [f"o{i}x{j}" for j in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        for at in range(404, 454, 5):
+            words[at] = f"z{i}x{at}"
+        rows.append((2 * i + 1, " ".join(words)))
+    found = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    expected = [c for c, _ in brute.near_duplicate_classes(rows)]
+    assert expected == [d - d % 2 for d, _ in rows]
+    assert {r["doc"]: r["class_id"] for r in found.collect()} == {d: c for (d, _), c in zip(rows, expected, strict=True)}
+
+
+def test_differing_octets(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (200, near_duplicates.REGISTERS), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < rng.random((200, 1)), a, rng.integers(0, 256, a.shape, dtype=np.uint8))
+    octets = spark.createDataFrame([(str(i), x.tobytes()) for i, x in enumerate([*a, *b])], "node string, octets binary")
+    words = {r["node"]: r["words"] for r in octets.mapInArrow(near_duplicates._in_words, "node string, words array<bigint>").collect()}
+    pairs = [(words[str(i)], words[str(200 + i)], int((a[i] != b[i]).sum())) for i in range(200)]
+    df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>, n int")
+    assert df.filter(near_duplicates._differing("a", "b") != F.col("n")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500)]

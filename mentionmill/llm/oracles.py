@@ -119,3 +119,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (n_words - lost < 0.3 * n_words) AS kept
 FROM judged
 """
+
+# Phrases of one to three words of each piece, counted; a phrase's parts are phrases too.
+ORACLES["op11_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS g FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, CAST(len(w) AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p
+), f AS (
+  SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g
+), n AS (
+  SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), inside AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS g, a FROM candidates WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3
+), longer AS (
+  SELECT lang, g, max(a) AS longer FROM inside GROUP BY lang, g
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer USING (lang, g) WHERE c.k = 3 OR longer IS NULL OR 100 * longer < 50 * c.a
+), cuts AS (
+  SELECT lang, k, g, a, 1 AS cut, w[1] AS first, array_to_string(w[2:], ' ') AS rest FROM kept
+  UNION ALL SELECT lang, k, g, a, 2, array_to_string(w[1:2], ' '), w[3] FROM kept WHERE k = 3
+), scored AS (
+  SELECT c.lang, c.g, c.a, c.cut, l.a AS l, r.a AS r,
+         CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = c.first JOIN f r ON r.lang = c.lang AND r.g = c.rest
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS nth FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM best WHERE nth = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+# Every filter's place in every order; a document is removed by the first filter of the order that it fails.
+ORACLES["op12_filter_audit"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM d GROUP BY t
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 10 * length(d.t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d JOIN firsts ON d.t = firsts.t LEFT JOIN marks ON d.doc_id = marks.doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, CAST(step AS BIGINT), 1) AS x, substr(filter_order, 1, CAST(step - 1 AS BIGINT)) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) AS s
+), judged AS (
+  SELECT part, filter_order, step, x, docs, good, toxic, fails,
+         contains(fails, x) AS here, len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND before <> '' AND fails <> '' AS gone
+  FROM steps, cells
+), counted AS (
+  SELECT part, filter_order, step, x,
+         sum(CASE WHEN NOT gone AND NOT here THEN docs ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND here THEN docs ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND here THEN docs ELSE 0 END) AS redundant, sum(CASE WHEN fails = x THEN docs ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND here THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND here THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted
+"""

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mentionmill.llm.collocations import collocations
 from mentionmill.llm.decontaminate import contamination
+from mentionmill.llm.filter_audit import filter_audit
 from mentionmill.llm.html_text import extracted_text
 from mentionmill.llm.near_duplicates import near_duplicate_classes
 from mentionmill.llm.oracles import ORACLES
 from mentionmill.llm.packing import pack
 from mentionmill.llm.quality import line_rules
+from mentionmill.llm.records import read_records, write_records
 from mentionmill.llm.sharding import histogram_shards
 from mentionmill.llm.substrings import without_repeats
 from mentionmill.llm.suffix_index import without_repeated_bytes
@@ -24,6 +27,7 @@ __all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 SHARDS = 24
+END_ID = 2
 URL_RULES = [
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -66,10 +70,10 @@ def op7_url_verdicts(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -134,3 +138,23 @@ def op9_main_text(spark, sf_dir):
     """Every page's main text."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", extracted_text(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    """Each language's best phrases of two and three words."""
+    return collocations(table(spark, sf_dir, "documents"), "lang", "text")
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    """What five filters remove from the documents of each language, in every order."""
+    return filter_audit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_token_records(spark, sf_dir):
+    """Every document's token ids, written as binary records and read back."""
+    docs = table(spark, sf_dir, "documents")
+    written = write_records(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), END_ID)
+    return read_records(spark, written).withColumnRenamed("doc", "doc_id")

@@ -20,6 +20,9 @@ from tokenizers import Tokenizer
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counts of merged pre-tokens that a worker keeps before it starts anew.
 KEPT_COUNTS = 400_000
+#: Bytes of remembered runs (the run, its ids and what an entry takes besides) before a worker starts anew, and the
+#: length from which a run is not remembered.
+KEPT_BYTES, ENTRY_BYTES, LONG_RUN = 100_000_000, 300, 100
 
 
 @functools.cache
@@ -132,6 +135,60 @@ class TokenIds:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+class WordIds:
+    """Ids of whole texts, one run between ASCII white space at a time; what was met is remembered, within bounds.
+
+    For files that drop white space: no token, and no step before the merges, reaches over it, so the ids of a text
+    are those of its runs, each given by the tokenizers library.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.largest = self.tokenizer.get_vocab_size() - 1
+        self.by_run: dict[bytes, np.ndarray] = {}
+        self.kept = 0
+        if not _drops_white_space(_file(path)):
+            raise ValueError(f"{path} keeps white space or joins tokens over it")
+
+    def _encoded(self, runs: list[bytes]) -> dict[bytes, np.ndarray]:
+        found = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
+        return {r: np.array(e.ids, dtype=np.uint32) for r, e in zip(runs, found, strict=True)}
+
+    def ids(self, text: str) -> np.ndarray:
+        runs = text.encode().split()  # at the six ASCII spaces
+        if not runs:
+            return np.zeros(0, dtype=np.uint32)
+        if self.kept > KEPT_BYTES:
+            self.by_run, self.kept = {}, 0
+        new = list({r for r in runs if r not in self.by_run})
+        long = {}
+        if new:
+            long = self._encoded([r for r in new if len(r) > LONG_RUN])
+            short = self._encoded([r for r in new if len(r) <= LONG_RUN])
+            self.by_run |= short
+            self.kept += sum(2 * len(r) + ENTRY_BYTES for r in short)
+        if long:
+            return np.concatenate([long[r] if r in long else self.by_run[r] for r in runs])
+        return np.concatenate([*map(self.by_run.__getitem__, runs)])
+
+
+def _drops_white_space(spec: dict) -> bool:
+    """Whether white space ends every token and goes, whatever stands around it."""
+    steps = spec["normalizer"].get("normalizers", [spec["normalizer"]]) if spec.get("normalizer") else []
+    pre = spec.get("pre_tokenizer") or {}
+    splits = pre.get("pretokenizers", [pre])
+    plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps)
+    cut = splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not set(t["content"]) & set(" \t\n\x0b\f\r") for t in spec.get("added_tokens", []))
+    # the pattern's pieces are letters, numbers or neither of these and no white space
+    return plain and bool(cut) and splits[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+") and added
+
+
+@functools.cache
+def word_encoder(path: str) -> WordIds:
+    return WordIds(path)
+
+
 @functools.cache
 def counter(path: str) -> WholeTokenCounter:
     return WholeTokenCounter(path)

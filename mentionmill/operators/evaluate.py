@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.delimited import write_parted
 from .clean import CLASS_THRESHOLD, sentiment_class
 
 CLASSES = ["positive", "neutral", "negative"]
@@ -91,6 +92,5 @@ def evaluation_splits(scored: DataFrame) -> DataFrame:
 
 def write_splits(splits: DataFrame, path: str) -> None:
     """Write each outcome of each evaluation to its own folder of tab-separated files."""
-    splits.select("split", "outcome", "text", "gold", "compound", "scores").write.mode("overwrite").partitionBy(
-        "split", "outcome"
-    ).option("sep", "\t").csv(path)
+    table = splits.select("split", "outcome", "text", "gold", "compound", "scores")
+    write_parted(table, ["split", "outcome"], path)

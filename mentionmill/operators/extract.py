@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..functions.sections import sections_from_url
 from ..functions.text import blank_to_null, strip, unescape_html
 from ..functions.time import iso_to_epoch_text
@@ -122,11 +123,12 @@ class ParagraphLayout:
 CLASSED_PARAGRAPHS = ParagraphLayout(parent=None, classes=("paragraph", "article__item"))
 
 
-def _paragraphs(html: Column, layout: ParagraphLayout) -> Column:
+def paragraphs(html: Column, layout: ParagraphLayout = ParagraphLayout()) -> Column:
     """The text nodes of each paragraph of the layout, in page order.
 
     The page is split at its tags and walked once; ``path`` names the elements that are open. A closing
-    tag without its opening one is passed over, and block elements end an open paragraph.
+    tag without its opening one is passed over, and block elements end an open paragraph. The walk's time is in
+    proportion to the page.
     """
     bare = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)", "")
     pieces = F.filter(F.split(F.concat(F.lit(" "), bare), "(?=</?[a-zA-Z])"), lambda _, i: i > 0)
@@ -167,15 +169,16 @@ def _paragraphs(html: Column, layout: ParagraphLayout) -> Column:
         return F.struct(
             after.alias("path"),
             inside.alias("inside"),
-            F.when(inside != "\x00", F.concat(state["out"], F.array(node))).otherwise(state["out"]).alias("out"),
+            F.when(inside != "\x00", node).alias("found"),
         )
 
+    node_type = "struct<first:boolean,text:string>"
     start = F.struct(
         F.lit("/").alias("path"),
         F.lit("\x00").alias("inside"),
-        F.array().cast("array<struct<first:boolean,text:string>>").alias("out"),
+        F.lit(None).cast(node_type).alias("found"),
     )
-    found = F.aggregate(F.transform(pieces, parsed), start, walk, lambda state: state["out"])
+    found = scan(F.transform(pieces, parsed), start, walk, node_type)
     marked = F.transform(found, lambda n: F.concat(F.when(n["first"], F.lit("\x01")).otherwise(F.lit("\x02")), n["text"]))
     each = F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda _, i: i > 0)
     # two tags in a row have no text node between them
@@ -190,17 +193,21 @@ def article_text(html: Column, variant: str = "all_nodes", layout: ParagraphLayo
     ``filled_nodes``: in each paragraph the non-empty stripped text nodes are joined by one space,
     then the paragraphs are.
     """
-    paragraphs = _paragraphs(html, layout)
+    return joined_paragraphs(paragraphs(html, layout), variant)
+
+
+def joined_paragraphs(found: Column, variant: str = "all_nodes") -> Column:
+    """The text of ``paragraphs``, which several variants can share."""
 
     def clean(node: Column) -> Column:
         return strip(unescape_html(node))
 
     if variant == "all_nodes":
-        return F.array_join(F.transform(F.flatten(paragraphs), clean), " ")
+        return F.array_join(F.transform(F.flatten(found), clean), " ")
     if variant == "paragraphs":
-        return F.array_join(F.transform(paragraphs, lambda p: clean(F.array_join(p, ""))), " ")
+        return F.array_join(F.transform(found, lambda p: clean(F.array_join(p, ""))), " ")
     if variant == "filled_nodes":
-        filled = F.transform(paragraphs, lambda p: F.array_join(F.filter(F.transform(p, clean), lambda n: n != ""), " "))
+        filled = F.transform(found, lambda p: F.array_join(F.filter(F.transform(p, clean), lambda n: n != ""), " "))
         return F.array_join(filled, " ")
     raise ValueError(f"unknown variant {variant!r}")
 
@@ -217,48 +224,33 @@ class SectionLayout:
 def section_carry(pages: DataFrame, layout: SectionLayout = SectionLayout()) -> DataFrame:
     """Items of a page in order, each filed under the last header before it.
 
-    A header without plain text resets the section. The walk over a page's elements stays inside its
-    row, so nothing is shuffled and copies of a page do not mix.
+    A header without plain text resets the section. The page is cut twice: at its headers, where each part gives its
+    section as often as it has items, and at its items, where each part gives its link. Both lists are in page order
+    and are put side by side. All of it stays inside the page's row, so nothing is shuffled and copies of a page do
+    not mix; the time is in proportion to the page.
     """
-    opening = f"(?=<(?:{layout.header}|{layout.item})[\\s>])"
+    header, item = f"<{layout.header}[\\s>]", f"<{layout.item}[\\s>]"
     # plain text: one text node, be it inside nested tags
     plain = f"^<{layout.header}(?:\\s[^>]*)?>(?:<[a-zA-Z][^>]*>)*([^<]*)(?:</[a-zA-Z][^>]*>)*?</{layout.header}>"
+    # the blank makes sure that the part before the first element is item 0
+    page = F.concat(F.lit(" "), "html")
 
-    def element(piece: Column) -> Column:
-        return F.struct(
-            piece.rlike(f"^<{layout.header}[\\s>]").alias("is_header"),
-            blank_to_null(unescape_html(F.regexp_extract(piece, plain, 1))).alias("text"),
-            attribute(F.substring_index(piece, f"</{layout.item}>", 1), r"<a\b[^>]*>", "href").alias("href"),
-            piece.contains(f"</{layout.item}>").alias("closes"),
-        )
+    def sections(part: Column) -> Column:
+        pieces = F.split(part, f"(?={item})")
+        text = blank_to_null(unescape_html(F.regexp_extract(F.get(pieces, F.lit(0)), plain, 1)))
+        return F.array_repeat(text, F.size(pieces) - 1)
 
-    def walk(state: Column, e: Column) -> Column:
-        out = state["out"]
-        last = F.try_element_at(out, F.lit(-1))
+    def link(part: Column) -> Column:
         # an item may contain headers of its own, so its link can lie behind one
-        linked = F.concat(
-            F.slice(out, F.lit(1), F.size(out) - 1),
-            F.array(F.struct(last["section"].alias("section"), e["href"].alias("url"))),
-        )
-        late_link = state["inside"] & last["url"].isNull() & e["href"].isNotNull()
-        item = F.struct(state["section"].alias("section"), e["href"].alias("url"))
-        return F.struct(
-            F.when(e["is_header"], e["text"]).otherwise(state["section"]).alias("section"),
-            ((~e["is_header"] | state["inside"]) & ~e["closes"]).alias("inside"),
-            F.when(~e["is_header"], F.concat(out, F.array(item))).when(late_link, linked).otherwise(out).alias("out"),
-        )
+        pieces = F.split(F.substring_index(part, f"</{layout.item}>", 1), f"(?={header})")
+        links = F.transform(pieces, lambda p: attribute(p, r"<a\b[^>]*>", "href"))
+        return F.get(F.filter(links, lambda x: x.isNotNull()), F.lit(0))
 
-    start = F.struct(
-        F.lit(None).cast("string").alias("section"),
-        F.lit(False).alias("inside"),
-        F.array().cast("array<struct<section:string,url:string>>").alias("out"),
+    parts = F.filter(F.split(page, f"(?={item})"), lambda _, i: i > 0)
+    listed = F.arrays_zip(
+        F.flatten(F.transform(F.split(page, f"(?={header})"), sections)).alias("section"), F.transform(parts, link).alias("url")
     )
-    # the blank makes sure that the part before the first element is item 0
-    pieces = F.filter(F.split(F.concat(F.lit(" "), "html"), opening), lambda _, i: i > 0)
-    items = pages.select(
-        F.col("url").alias("page_url"),
-        F.aggregate(F.transform(pieces, element), start, walk, lambda state: state["out"]).alias("_items"),
-    ).select("page_url", F.posexplode_outer("_items").alias("position", "_item"))
+    items = pages.select(F.col("url").alias("page_url"), F.posexplode_outer(listed).alias("position", "_item"))
     kept = items.filter(F.col("position").isNotNull())
     for name in layout.dropped:
         kept = kept.filter(~F.col("_item.section").eqNullSafe(F.lit(name)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..functions.text import ASCII_PUNCTUATION, has_edge, words
 
 ENTITY_URL = "https://www.wikidata.org/wiki/"
@@ -36,31 +37,36 @@ def _name_table(aliases: DataFrame) -> DataFrame:
 
 def _pick(candidates: Column) -> Column:
     """Left to right, the longest candidate that starts after the last one taken."""
-    start = F.struct(F.lit(0).alias("free"), F.slice(candidates, 1, 0).alias("taken"))
+    kind = "struct<start:int,_order:int,n_words:int,name:string,label:string,wd_id:string,score:double>"
+    start = F.struct(F.lit(0).alias("free"), F.lit(None).cast(kind).alias("found"))
 
     def take(state: Column, c: Column) -> Column:
-        return F.when(
-            c["start"] >= state["free"],
-            F.struct((c["start"] + c["n_words"]).alias("free"), F.concat(state["taken"], F.array(c)).alias("taken")),
-        ).otherwise(state)
+        fits = c["start"] >= state["free"]
+        free = F.when(fits, c["start"] + c["n_words"]).otherwise(state["free"])
+        return F.struct(free.alias("free"), F.when(fits, c).alias("found"))
 
-    return F.aggregate(candidates, start, take, lambda state: state["taken"])
+    return scan(candidates, start, take, kind)
 
 
-def _join_runs(taken: Column) -> Column:
-    """Make one mention of neighbouring words without an entity."""
+def _join_runs(grouped: DataFrame, taken: str) -> DataFrame:
+    """Make one mention of neighbouring words without an entity.
 
-    def add(out: Column, c: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        goes_on = c["wd_id"].isNull() & last["wd_id"].isNull() & (last["start"] + last["n_words"] == c["start"])
-        longer = c.withField("start", last["start"]).withField("n_words", last["n_words"] + c["n_words"]).withField(
-            "name", F.concat_ws(" ", last["name"], c["name"])
-        )
-        return F.when(
-            goes_on, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))
-        ).otherwise(F.concat(out, F.array(c)))
-
-    return F.aggregate(taken, F.slice(taken, 1, 0), add)
+    A run begins where a mention is not the direct neighbour of one like it; the places of the beginnings cut the
+    list into runs.
+    """
+    follows = (
+        f"get({taken}, i).wd_id IS NULL AND get({taken}, i - 1).wd_id IS NULL "
+        f"AND get({taken}, i - 1).start + get({taken}, i - 1).n_words = get({taken}, i).start"
+    )
+    heads = F.expr(f"filter(sequence(0, size({taken})), i -> i = 0 OR i = size({taken}) OR NOT ({follows}))")
+    run = "sequence(h, get(_heads, j + 1) - 1)"
+    joined = (
+        f"transform(slice(_heads, 1, size(_heads) - 1), (h, j) -> named_struct('start', get({taken}, h).start, "
+        f"'n_words', aggregate({run}, 0, (n, i) -> n + get({taken}, i).n_words), "
+        f"'name', array_join(transform({run}, i -> get({taken}, i).name), ' '), "
+        f"'label', get({taken}, h).label, 'wd_id', get({taken}, h).wd_id, 'score', get({taken}, h).score))"
+    )
+    return grouped.withColumn("_heads", heads).withColumn(taken, F.expr(joined)).drop("_heads")
 
 
 def link_entities(
@@ -115,7 +121,10 @@ def link_entities(
     else:
         found = runs.join(names, "name")
     # rows alike in every kept column and in text fold together; _rows tells how many there were
-    candidate = F.struct("start", (-F.col("_length")).alias("_order"), "n_words", "name", "label", "wd_id", "score")
+    candidate = F.struct(
+        "start", (-F.col("_length")).alias("_order"), "n_words", "name", "label",
+        F.col("wd_id").cast("string").alias("wd_id"), F.col("score").cast("double").alias("score"),
+    )
     grouped = (
         found.groupBy(*keep, "_text")
         .agg(F.collect_set(candidate).alias("_found"), F.count(F.lit(1)).alias("_rows"))
@@ -124,7 +133,7 @@ def link_entities(
         .withColumn("_taken", _pick(F.col("_sorted")))
     )
     if include_unlinked:
-        grouped = grouped.withColumn("_taken", _join_runs(F.col("_taken")))
+        grouped = _join_runs(grouped, "_taken")
     mention = F.col("_m")
     return (
         grouped.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"), "_taken")

@@ -6,21 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# A dictionary beyond either bound is joined by shuffle.
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-
-
-def fits_broadcast(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
-) -> bool:
-    """Measure ``df`` (one aggregate, no shuffle of rows) and compare it with the bounds."""
-    row_bytes = sum(
-        (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0)
-    )
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("bigint")).alias("bytes")).first()
-    return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
-
 
 def _compared(left: DataFrame, right: DataFrame, key: str) -> tuple[Column, Column]:
     """Both keys in their common type: numbers as numbers, a text and anything else as texts."""
@@ -30,13 +15,11 @@ def _compared(left: DataFrame, right: DataFrame, key: str) -> tuple[Column, Colu
     return F.col(key), F.col("_right_key")
 
 
-def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = False, measure: bool = False) -> DataFrame:
+def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = False) -> DataFrame:
     """Left join on ``key``, keeping every row of ``left``.
 
     The strategy is Spark's: it broadcasts a side whose size, as estimated from the files or as
-    measured at run time, is below its threshold, and shuffles otherwise. ``right`` is not run in
-    advance, as it may be the result of a long job; ``measure`` asks for that, to broadcast up to the
-    larger bounds here.
+    measured at run time, is below its threshold, and shuffles otherwise. Nothing is run in advance.
 
     Rows without a key would all meet in one task of a shuffle, so they pass by the join in a union of
     their own, which the optimizer drops where a later filter asks for something of ``right``. Hot keys
@@ -47,8 +30,6 @@ def left_lookup(left: DataFrame, right: DataFrame, key: str, null_safe: bool = F
     a, b = _compared(left, right, key)
     if not null_safe:
         right = right.filter(F.col("_right_key").isNotNull())
-    if measure and fits_broadcast(right):
-        right = F.broadcast(right)
     if null_safe:
         return left.join(right, a.eqNullSafe(b), "left").select(*left.columns, *extra)
     met = left.filter(F.col(key).isNotNull()).join(right, a == b, "left").select(*left.columns, *extra)

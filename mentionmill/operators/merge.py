@@ -11,19 +11,19 @@ FACTS = ["wd_id", "wd_label", "wd_description"]
 SENTIMENTS = ["url", "shorttext_sentiment", "fulltext_sentiment"]
 
 
-def merge_facts(table: DataFrame, catalog: DataFrame, null_safe: bool = False, measure: bool = False) -> DataFrame:
+def merge_facts(table: DataFrame, catalog: DataFrame, null_safe: bool = False) -> DataFrame:
     """Add label and description to mentions or to any count table with a ``wd_id``."""
-    return left_lookup(table, catalog.select(*FACTS), "wd_id", null_safe=null_safe, measure=measure)
+    return left_lookup(table, catalog.select(*FACTS), "wd_id", null_safe=null_safe)
 
 
-def merge_sentiment(mentions: DataFrame, sentiment: DataFrame, measure: bool = False) -> DataFrame:
+def merge_sentiment(mentions: DataFrame, sentiment: DataFrame) -> DataFrame:
     """Add the article's sentiment; an article scored twice doubles its mentions."""
-    return left_lookup(mentions, sentiment.select(*SENTIMENTS), "url", measure=measure)
+    return left_lookup(mentions, sentiment.select(*SENTIMENTS), "url")
 
 
-def join_many_to_one(left: DataFrame, right: DataFrame, key: str, measure: bool = False) -> DataFrame:
+def join_many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join that refuses a right side with repeated keys."""
-    return left_lookup(left, require_unique(right, key), key, measure=measure)
+    return left_lookup(left, require_unique(right, key), key)
 
 
 def _digest(text: str) -> Column:
@@ -32,12 +32,12 @@ def _digest(text: str) -> Column:
 
 
 def attach_by_text(
-    articles: DataFrame, scored: DataFrame, order: str, text: str = "shorttext", measure: bool = False
+    articles: DataFrame, scored: DataFrame, order: str, text: str = "shorttext"
 ) -> DataFrame:
     """Add ``sentiment`` by equal text; of a text scored more than once the first by ``order`` counts."""
     one_each = scored.groupBy(_digest(text).alias("_text_key")).agg(F.min_by("sentiment", order).alias("sentiment"))
     keyed = articles.withColumn("_text_key", _digest(text))
-    return left_lookup(keyed, one_each, "_text_key", measure=measure).drop("_text_key")
+    return left_lookup(keyed, one_each, "_text_key").drop("_text_key")
 
 
 def membership_count(left: DataFrame, right: DataFrame, text: str = "shorttext") -> DataFrame:

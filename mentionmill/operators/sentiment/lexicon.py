@@ -2,50 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.text import capitalize
-from ..lookup import fits_broadcast
 from .tokens import clean_words
 
 
+#: Rows of one word are dealt over so many shares, should the lexicon have to be met by shuffle.
+SALTS = 8
+
+
 class Lexicon:
-    """Lexicon tables ready to be joined with words.
+    """A lexicon ready to be joined with words, by one plan at every size.
 
-    A word is looked up as written, then in lower case, then capitalised. The last two depend on the
-    lower-case form alone, so one table keyed by it serves both.
+    A word is looked up as written, then in lower case, then capitalised. All three follow from its lower-case form,
+    so one table keyed by it serves them. Spark joins it as its size suggests, by what it knows in advance or finds
+    at run time. Beyond a broadcast the rows of a word that is everywhere are split by a salt, with as many copies of
+    the lexicon; words without an entry meet none and go.
     """
 
     def __init__(self, lexicon: DataFrame):
         exact = lexicon.dropna().groupBy("word").agg(F.max("valence").alias("valence"))
         key = F.lower(F.col("word"))
-        folded = exact.groupBy(key.alias("folded")).agg(
+        self._entries = exact
+        self._folded = exact.groupBy(key.alias("folded")).agg(
             F.max(F.when(F.col("word") == key, F.col("valence"))).alias("lower_valence"),
             F.max(F.when(F.col("word") == capitalize(key), F.col("valence"))).alias("capital_valence"),
+            # a word has few spellings
+            F.map_from_entries(F.collect_list(F.struct("word", "valence"))).alias("spellings"),
         )
-        self._small = fits_broadcast(lexicon)
-        self._exact = exact
-        self._folded = folded
-
-    def _hint(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self._small else table
 
-    def add_valence(self, words: DataFrame, word: str, name: str = "valence") -> DataFrame:
-        """Left join the valence of ``word``; null for words outside the lexicon."""
-        exact = self._hint(self._exact.select(F.col("word").alias("_exact"), F.col("valence").alias("_v1")))
-        folded = self._hint(self._folded)
+    def matched(self, words: DataFrame, word: str, salt: Column, name: str = "valence") -> DataFrame:
+        """Rows whose ``word`` has a valence, and those whose word is null; ``salt`` is a hash that parts equal words."""
+        # words are never empty: the empty one stands for null, and is an entry too
+        table = self._folded.filter("folded <> ''").unionByName(
+            words.sparkSession.sql("SELECT '' AS folded"), allowMissingColumns=True
+        )
+        copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = words.withColumns(
+            {"_key": F.coalesce(F.lower(F.col(word)), F.lit("")), "_salt": F.pmod(salt, F.lit(SALTS)).cast("int")}
+        )
+        valence = F.coalesce(F.try_element_at("spellings", F.col(word)), "lower_valence", "capital_valence")
         return (
-            words.join(exact, F.col(word) == F.col("_exact"), "left")
-            .join(folded, F.lower(F.col(word)) == F.col("folded"), "left")
-            .withColumn(name, F.coalesce("_v1", "lower_valence", "capital_valence"))
-            .drop("_exact", "_v1", "folded", "lower_valence", "capital_valence")
+            dealt.join(copies, (F.col("_key") == F.col("folded")) & (F.col("_salt") == F.col("_copy")))
+            .withColumn(name, F.when(F.col(word).isNotNull(), valence))
+            .drop("_key", "_salt", *copies.columns)
+            .filter(F.col(name).isNotNull() | F.col(word).isNull())
         )
 
     def add_known(self, words: DataFrame, lowered: str, name: str) -> DataFrame:
         """Flag whether the lower-case word ``lowered`` is a lexicon entry."""
-        # the same table as for exact words, so that it is sent out once
-        entries = self._hint(self._exact.select(F.col("word").alias("_entry"), F.col("valence").alias("_v1")))
+        entries = self._entries.select(F.col("word").alias("_entry"), F.col("valence").alias("_v1"))
         return (
             words.join(entries, F.col(lowered) == F.col("_entry"), "left")
             .withColumn(name, F.col("_v1").isNotNull())
@@ -55,6 +63,6 @@ class Lexicon:
 
 def lexicon_hits(texts: DataFrame, key: list[str], text: str, lexicon: DataFrame) -> DataFrame:
     """Words of the texts that have a lexicon valence."""
-    spread = texts.select(*key, F.posexplode_outer(clean_words(F.col(text))).alias("pos", "token"))
-    hits = Lexicon(lexicon).add_valence(spread, "token").filter(F.col("valence").isNotNull())
+    spread = texts.select(*key, F.posexplode_outer(clean_words(F.col(text))).alias("pos", "token")).filter(F.col("token").isNotNull())
+    hits = Lexicon(lexicon).matched(spread, "token", F.xxhash64(*key, "pos"))
     return hits.select(*key, F.col("pos").cast("bigint").alias("pos"), "token", "valence")

@@ -18,26 +18,27 @@ SENTIMENT_COLUMNS = ["shorttext", "fulltext"]
 def _add_ordered(texts: DataFrame, hits: str) -> DataFrame:
     """Turn the set of hits into position and value in text order.
 
-    A repeated word has the value of its first use. Each step is a column of its own and used more than
-    once, so the optimizer leaves it to be computed once and not for every item of a lambda.
+    A repeated word has the value of its first use. The hits are sorted by word and place, so equal words are runs;
+    the first of a run gives its value as often as the run is long. Each step is a column of its own and used more
+    than once, so the optimizer leaves it to be computed once and not for every item of a lambda.
     """
     return (
         texts.withColumn(hits, F.sort_array(hits))
         .withColumn(
-            "_first_value",
-            F.expr(
-                f"map_from_entries(transform(filter({hits}, (h, j) -> j = 0 OR get({hits}, j - 1).token <> h.token), "
-                "h -> struct(h.token, h.value)))"
-            ),
+            "_heads",
+            F.expr(f"filter(sequence(0, size({hits})), i -> i = 0 OR i = size({hits}) OR get({hits}, i - 1).token <> get({hits}, i).token)"),
         )
         .withColumn(
-            hits,
+            "_run_values",
             F.expr(
-                f"IF(size(_first_value) = 0, array(), sort_array(transform({hits}, "
-                "h -> struct(h.pos AS pos, element_at(_first_value, h.token) AS value))))"
+                "flatten(transform(slice(_heads, 1, size(_heads) - 1), "
+                f"(h, j) -> array_repeat(get({hits}, h).value, get(_heads, j + 1) - h)))"
             ),
         )
-        .drop("_first_value")
+        .withColumn(
+            hits, F.expr(f"sort_array(transform({hits}, (h, i) -> struct(h.pos AS pos, get(_run_values, i) AS value)))")
+        )
+        .drop("_heads", "_run_values")
     )
 
 
@@ -123,8 +124,8 @@ def score_columns(
 ) -> DataFrame:
     """Add ``<column>_score`` (neg, neu, pos, compound) for each text column.
 
-    Words are spread into rows, met with the lexicon by broadcast and dropped when they miss, all in
-    the task that read the text. What is shuffled, once, is one row per text with its lexicon words.
+    Words are spread into rows, met with the lexicon and dropped when they miss. Spark sends a small lexicon to the
+    tasks that read the texts, and then only one row per text with its lexicon words is shuffled.
     Rows alike in ``keep`` and text fold into one on the way and are repeated at the end.
 
     ``keep`` lists the columns that come along (default: all but the scored ones; no maps).
@@ -159,7 +160,7 @@ def score_columns(
     )
     # each word takes its neighbours along, so that no join carries a text's whole word list
     spread = with_neighbours(spread).drop("tokens")
-    found = table.add_valence(spread, "token").filter(F.col("valence").isNotNull() | F.col("token").isNull())
+    found = table.matched(spread, "token", F.xxhash64("_texts", "pos"))
     valued = add_word_valence(found, table)
 
     hit = F.when(F.col("token").isNotNull(), F.struct("token", "pos", "value"))
@@ -215,26 +216,28 @@ def score_sentiment(
 def mean_sentence_score(
     texts: DataFrame, key: list[str], text: str, lexicon: DataFrame, emoji: DataFrame | None = None
 ) -> DataFrame:
-    """Mean compound over the sentences of each text, four digits."""
-    sentences = texts.select(*key, F.posexplode_outer(F.split(text, r"(?<=[.!?])\s+")).alias("_sentence", "_text")).filter(
-        F.col("_text") != ""
-    )
-    return _mean(score_columns(sentences, ["_text"], lexicon, emoji), key)
+    """Mean compound over the sentences of each text, four digits.
+
+    A null text, an empty one or one without a sentence keeps its row: 0 sentences, null mean.
+    """
+    sentences = texts.select(*key, F.posexplode_outer(F.split(text, r"(?<=[.!?])\s+")).alias("_sentence", "_text"))
+    return _mean(sentences.withColumn("_counts", F.coalesce(F.col("_text") != "", F.lit(False))), key, lexicon, emoji)
 
 
 def mean_tag_score(
     tags: DataFrame, key: list[str], tag_list: str, lexicon: DataFrame, emoji: DataFrame | None = None
 ) -> DataFrame:
-    """Mean compound over a list of tags, four digits."""
-    items = tags.select(*key, F.posexplode(tag_list).alias("_tag", "_text"))
-    return _mean(score_columns(items, ["_text"], lexicon, emoji), key)
+    """Mean compound over a list of tags, four digits. A null or empty list keeps its row: 0 tags, null mean."""
+    items = tags.select(*key, F.posexplode_outer(tag_list).alias("_tag", "_text"))
+    return _mean(items.withColumn("_counts", F.col("_tag").isNotNull()), key, lexicon, emoji)
 
 
-def _mean(scored: DataFrame, key: list[str]) -> DataFrame:
+def _mean(items: DataFrame, key: list[str], lexicon: DataFrame, emoji: DataFrame | None) -> DataFrame:
+    scored = score_columns(items, ["_text"], lexicon, emoji)
     # compound has four decimals, so whole ten-thousandths add up exactly in any order
-    units = F.round(F.col("_text_score.compound") * 10000).cast("bigint")
+    units = F.when(F.col("_counts"), F.round(F.col("_text_score.compound") * 10000).cast("bigint"))
+    n = F.count(units)
     sums = scored.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("sentences"),
-        (F.sum(units) / F.lit(10000.0) / F.count(F.lit(1))).alias("_mean"),
+        n.alias("sentences"), F.when(n > 0, F.sum(units) / F.lit(10000.0) / F.greatest(n, F.lit(1))).alias("_mean")
     )
     return sums.select(*key, "sentences", round_exact("_mean", 4).alias("mean_compound"))

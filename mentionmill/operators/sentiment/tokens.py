@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.folds import bound
 from ...functions.text import has_edge, is_upper, words
 from ...functions.wordlists import EXCLAMATION, MANY_QUESTIONS, PUNCTUATION, QUESTION
 
@@ -30,27 +31,30 @@ def clean_words(text: Column) -> Column:
 def describe_emoji(texts: DataFrame, text: str, emoji: DataFrame) -> DataFrame:
     """Replace each item of ``text`` that is an emoji by its description, items joined by one space.
 
-    The emoji table rides along as scalar subqueries. Its map is searched only for items that start
-    with the first character of some emoji.
+    Items are rows that meet the emoji table by equality; only those that are emoji go on, and come back to their
+    text by its digest, as a list of places and descriptions. A null text stays null.
     """
-    one_each = emoji.filter(F.col("emoji") != "").groupBy("emoji").agg(F.max("description").alias("description"))
-    names = one_each.agg(F.map_from_entries(F.collect_list(F.struct("emoji", "description")))).scalar()
-    starts = F.array_join(F.collect_set(F.substring("emoji", 1, 1)), "")
-    # no emoji, no match
-    pattern = F.when(starts != "", F.concat(F.lit(r"^[\Q"), starts, F.lit(r"\E]"))).otherwise(F.lit("(?!)"))
-    first = one_each.agg(pattern).scalar()
-    described = F.array_join(
-        F.transform(
-            F.filter(words(F.col(text)), lambda w: w != ""),
-            lambda w: F.when(
-                F.rlike(w, F.col("_first")), F.coalesce(F.try_element_at(F.col("_names"), w), w)
-            ).otherwise(w),
-        ),
-        " ",
+    one_each = emoji.filter(F.col("emoji") != "").groupBy("emoji").agg(F.max("description").alias("_description"))
+    items = F.filter(words(F.col(text)), lambda w: w != "")
+    digest = F.md5(text)
+    spread = texts.select(digest.alias("_digest"), F.posexplode_outer(items).alias("_pos", "_item"))
+    found = spread.join(one_each, F.col("_item") == F.col("emoji")).groupBy("_digest", "_pos").agg(
+        F.any_value("_description").alias("_description")
     )
-    return (
-        texts.withColumn("_names", names).withColumn("_first", first).withColumn(text, described).drop("_names", "_first")
+    # at most one row for each item of the text
+    listed = found.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("_pos", "_description"))).alias("_found"))
+
+    def placed(known: Column) -> Column:
+        """The descriptions at the places of their items, with nulls between them."""
+        none = F.lit(None).cast("string")
+        gap = lambda f, i: f["_pos"] - F.when(i > 0, F.get(known, i - 1)["_pos"] + 1).otherwise(0)
+        return F.flatten(F.transform(known, lambda f, i: F.concat(F.array_repeat(none, gap(f, i)), F.array(f["_description"]))))
+
+    described = bound(
+        placed(F.col("_found")), lambda d: F.array_join(F.transform(items, lambda w, i: F.coalesce(F.get(d, i), w)), " ")
     )
+    out = F.when(F.col("_found").isNull(), F.array_join(items, " ")).otherwise(described)
+    return texts.withColumn("_digest", digest).join(listed, "_digest", "left").withColumn(text, out).select(*texts.columns)
 
 
 def caps_differential(tokens: Column) -> Column:

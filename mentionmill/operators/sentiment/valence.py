@@ -73,7 +73,7 @@ def _idiom() -> str:
 def with_neighbours(words: DataFrame) -> DataFrame:
     """Add the three words before (w1 to w3) and the two after (n1, n2) to rows ``(tokens, pos)``; null past the ends."""
     before = {f"w{k}": F.expr(f"get(tokens, pos - {k})") for k in (1, 2, 3)}
-    return words.withColumns(before | {f"n{k}": F.expr(f"lower(get(tokens, pos + {k}))") for k in (1, 2)})
+    return words.withColumns(before | {f"n{k}": F.expr(f"get(tokens, pos + {k})") for k in (1, 2)})
 
 
 def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -87,7 +87,7 @@ def add_word_valence(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
         return df.withColumns({name: F.expr(formula) for name, formula in formulas.items()})
 
     distances = (1, 2, 3)
-    out = add(hits, {"l0": "lower(token)"} | {f"p{k}": f"lower(w{k})" for k in distances})
+    out = add(hits, {"l0": "lower(token)", "n1": "lower(n1)", "n2": "lower(n2)"} | {f"p{k}": f"lower(w{k})" for k in distances})
     for k in distances:
         out = lexicon.add_known(out, f"p{k}", f"known{k}")
 

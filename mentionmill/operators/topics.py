@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
@@ -23,7 +23,7 @@ PULL, SHARE = 1000.0, 1e9
 
 @dataclass(frozen=True)
 class Topics:
-    """Words per article, scores per article and topic, and the topic of each article (null without words)."""
+    """Words per article, a list of scores by topic per article, and the topic of each article (null without words)."""
 
     k: int
     words: DataFrame
@@ -41,43 +41,49 @@ def fit_topics(articles: DataFrame, text: str = "fulltext", key: str = "url", k:
     source = articles.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit(WHITESPACE)).alias("id"), letters.alias("w"))
     words = Table(source.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))).df
     keys = source.select("key", "id").distinct()
-    per_word = Table(words.groupBy("word").agg(F.sum("n").alias("word_n"))).df
     start = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(k))
     assigned = Table(words.select("id").distinct().select("id", start.cast("int").alias("topic")))
     scores = None
     for _ in range(passes):
-        scores = Table(_scores(words, per_word, assigned.df))
+        scores = Table(_scores(words, assigned.df, k))
         # without a word that another article has, an article stays where it is
-        best = scores.df.groupBy("id").agg(F.max(F.struct("score", (-F.col("topic")).alias("t"))).alias("best"))
-        topic = F.when(F.col("best.score") > 0, -F.col("best.t")).otherwise(F.col("topic"))
-        assigned = Table(assigned.df.join(best, "id", "left").select("id", topic.alias("topic")))
+        best = F.array_max("scores")
+        first = (F.array_position("scores", best) - 1).cast("int")
+        chosen = scores.df.select("id", F.when(best > 0, first).alias("best"))
+        assigned = Table(assigned.df.join(chosen, "id", "left").select("id", F.coalesce("best", "topic").alias("topic")))
     named = keys.join(assigned.df, "id", "left")
     return Topics(k, words, scores.df, named)
 
 
-def _scores(words: DataFrame, per_word: DataFrame, assigned: DataFrame) -> DataFrame:
-    """How strongly each topic pulls each article: its words' pulls times their counts."""
+def _scores(words: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
+    """(id, scores): how strongly each topic pulls each article, the sum of its words' pulls times their counts.
+
+    A word has one row with its uses in all topics, so an article's words meet one row each.
+    """
     placed = words.join(assigned, "id")
-    used = placed.groupBy("word", "topic").agg(F.sum("n").alias("used"))
-    sizes = used.groupBy("topic").agg(F.sum("used").alias("size"))
-    everything = sizes.agg(F.sum("size").alias("all")).scalar()
-    lift = used.join(per_word, "word").join(sizes, "topic").select(
-        "word", F.col("topic").alias("t"), "used", "word_n", (everything * F.lit(1.0) / F.col("size")).alias("rarity")
-    )
-    met = placed.join(lift, "word")
-    others = F.col("used") - F.when(F.col("topic") == F.col("t"), F.col("n")).otherwise(0)
+    topics = range(k)
+    uses = [F.coalesce(F.sum(F.when(F.col("topic") == t, F.col("n"))), F.lit(0)) for t in topics]
+    used = placed.groupBy("word").agg(F.array(*uses).alias("used"), F.sum("n").alias("word_n"))
+    sizes = placed.agg(F.sum("n").alias("all"), *(use.alias(f"size{t}") for t, use in enumerate(uses)))
+    shares = [F.when(F.col(f"size{t}") > 0, F.col("all") * F.lit(1.0) / F.col(f"size{t}")) for t in topics]
+    met = placed.join(used, "word").withColumn("rarity", sizes.select(F.array(*shares)).scalar())
     elsewhere = F.col("word_n") - F.col("n")
-    pull = F.when(elsewhere > 0, F.floor(others * PULL / elsewhere * F.col("rarity"))).otherwise(0)
-    return met.groupBy("id", F.col("t").alias("topic")).agg(F.sum(F.col("n") * pull).alias("score"))
+
+    def pull(t: int) -> Column:
+        use = F.get("used", F.lit(t))
+        others = use - F.when(F.col("topic") == t, F.col("n")).otherwise(0)
+        return F.when((use > 0) & (elsewhere > 0), F.floor(others * PULL / elsewhere * F.get("rarity", F.lit(t)))).otherwise(0)
+
+    return met.groupBy("id").agg(F.array(*(F.sum(F.col("n") * pull(t)) for t in topics)).alias("scores"))
 
 
 def article_topics(topics: Topics, key: str = "url") -> DataFrame:
     """One row per article and topic with its weight; one with neither for an article without words."""
-    total = topics.scores.groupBy("id").agg(F.sum("score").alias("total"))
+    sums = topics.scores.withColumn("total", F.aggregate("scores", F.lit(0).cast("long"), lambda a, b: a + b))
     each = topics.assigned.withColumnRenamed("topic", "own").withColumn(
         "topic", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(topics.k - 1))))
     )
-    met = each.join(topics.scores, ["id", "topic"], "left").join(total, "id", "left")
+    met = each.join(sums, "id", "left").withColumn("score", F.get("scores", F.col("topic")))
     share = F.floor(F.coalesce("score", F.lit(0)) * SHARE / F.col("total")) / SHARE
     alone = F.when(F.col("own") == F.col("topic"), 1.0).otherwise(0.0)
     return met.select(

@@ -43,16 +43,37 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LABELLED_TEXT).options(sep="\t", **PANDAS_FORMAT, multiLine=True).csv(path)
 
 
+def write_parted(df: DataFrame, by: list[str], path: str) -> None:
+    """Headerless ``*.tsv`` files, in a folder for each value of ``by``."""
+    out = df.write.mode("overwrite").partitionBy(*by).options(sep="\t", extension="tsv", **PANDAS_FORMAT)
+    out.csv(path)
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The texts of an evaluation's outcomes; split and outcome come from the folders."""
+    schema = f"{schemas.SCORED_TEXT}, split STRING, outcome STRING"
+    return spark.read.schema(schema).options(sep="\t", **PANDAS_FORMAT, multiLine=True).csv(path)
+
+
+def write_scored_dir(scored: DataFrame, folder: str) -> None:
+    """A folder of scored texts with one folder of files for each value of ``sentiment``."""
+    write_parted(scored.select("text", "gold", "compound", "scores", "sentiment"), ["sentiment"], folder)
+
+
 def read_scored_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.tsv`` of a folder; the class comes from the file name, null when it names none."""
-    name = F.lower(F.col("_metadata.file_name"))
-    sentiment = F.when(name.contains("negative"), "negative").when(name.contains("positive"), "positive").when(
-        name.contains("neutral"), "neutral"
+    """All ``*.tsv`` below a folder; the class comes from the file's name, or else from that of its folder.
+
+    It is null where neither names one.
+    """
+    name, parent = F.lower(F.col("_metadata.file_name")), F.lower(F.element_at(F.split("_metadata.file_path", "/"), -2))
+    named = F.when(name.rlike("negative|positive|neutral"), name).otherwise(parent)
+    sentiment = F.when(named.contains("negative"), "negative").when(named.contains("positive"), "positive").when(
+        named.contains("neutral"), "neutral"
     )
     return (
         spark.read.schema(schemas.SCORED_TEXT)
         .options(sep="\t", **PANDAS_FORMAT, multiLine=True)
-        .option("pathGlobFilter", "*.tsv")
+        .options(pathGlobFilter="*.tsv", recursiveFileLookup=True)
         .csv(folder)
         .select("*", sentiment.alias("sentiment"))
     )

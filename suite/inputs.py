@@ -22,6 +22,21 @@ FIXED_VALENCES = {
 }
 
 
+# Emoji put in place of words, and the first code point of the emoji table.
+EMOJI_BASE = 0x1F600
+EMOJI_WORDS = [(" the ", " \U0001f600 "), (" of ", " \U0001f605 \U0001f605 "), (" de ", " :-21 "), (" and ", " \U0001f600\U0001f605 "), (" la ", " \U0001f612, ")]
+
+# Tag replacements that make an archive listing of a page; only its list items are teasers.
+ARCHIVE_TAGS = [
+    ("<li>", '<div data-teaserdate="1687000000" class="box teaser-right"><span class="teaser-right__date">2023</span><h3 class="teaser-right__headline">Kopf</h3><p class="teaser-right__shorttext"> Kurz &amp; gut </p>'),
+    ('<a href="', '<a class="teaser-right__link" href="'),
+    ("</li>", "</div>"),
+    ("</ul>", '</ul><li class="next"><a class="paginierung__liste--link" href="/archiv/2">weiter</a></li>'),
+]
+
+# Tag replacements that give paragraphs the classes of an article's body, inside blocks.
+CLASSED_TAGS = [("<p>", '<div><p class="x paragraph article__item">'), ("</p>", "</p></div>")]
+
 # Tag replacements that make an issue overview of a page.
 ISSUE_TAGS = [
     ("<article>", "<div>"), ("</article>", "</div>"), ("title>", "h2>"), ("h1>", "h2>"), ("li>", "article>"),
@@ -140,6 +155,40 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emoji with two words each from the names of nations; the last ones are no single characters."""
+    sign = F.decode(F.unhex(F.lpad(F.hex(F.col("n_nationkey").cast("bigint") + EMOJI_BASE), 8, "0")), "UTF-32")
+    name = F.concat(F.lower("n_name"), F.lit(" super"))
+    return table(spark, sf_dir, "nation").select(
+        F.when(F.col("n_nationkey") < 20, sign).otherwise(F.concat(F.lit(":-"), F.col("n_nationkey").cast("string"))).alias("emoji"),
+        name.alias("description"),
+    )
+
+
+def emoji_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with emoji in place of some words."""
+    out = F.col("text")
+    for old, new in EMOJI_WORDS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return table(spark, sf_dir, "documents").select("doc_id", out.alias("text"))
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages rewritten as archive listings: each list item a teaser, paragraphs as short texts."""
+    html = F.col("html")
+    for old, new in ARCHIVE_TAGS:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return pages(spark, sf_dir).select("url", html.alias("html"))
+
+
+def classed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose paragraphs carry the classes of an article's body, nested in blocks of their own."""
+    html = F.col("html")
+    for old, new in CLASSED_TAGS:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return pages(spark, sf_dir).select("page_id", html.alias("html"))
+
+
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rewritten as issue overviews: titles and headings as section headers, list items as articles."""
     html = F.col("html")

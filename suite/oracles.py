@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from mentionmill.functions.wordlists import DAMPENERS, IDIOMS, INTENSIFIERS, NEGATIONS
 
-from .inputs import FIXED_VALENCES, ISSUE_TAGS, MARKED_WORDS
+from .inputs import ARCHIVE_TAGS, CLASSED_TAGS, EMOJI_BASE, EMOJI_WORDS, FIXED_VALENCES, ISSUE_TAGS, MARKED_WORDS
 
 # inputs
 
@@ -460,7 +460,7 @@ FROM judged WHERE g <> 'neutral'""",
          CAST(sum(CAST(round(compound * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m
          FROM scores GROUP BY ALL)""",
     )
-    + f"SELECT doc_id, sentences, {_rounded('m', 4)} AS mean_compound FROM means",
+    + f"SELECT doc_id, coalesce(sentences, 0) AS sentences, {_rounded('m', 4)} AS mean_compound FROM articles LEFT JOIN means USING (doc_id)",
     "link_entities": _recursive(ARTICLES, LINKED)
     + "SELECT doc_id, position, word_at, ner_text, label, wd_id, wd_url, score FROM links",
     "linked_mentions_per_week": _recursive(ARTICLES, LINKED)
@@ -566,3 +566,79 @@ ORACLES["mean_tag_score"] = _with(
      CAST(sum(CAST(round(compound * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / CAST(count(*) AS DOUBLE) AS m
      FROM scores GROUP BY ALL)""",
 ) + f"SELECT doc_id, sentences, {_rounded('m', 4)} AS mean_compound FROM means"
+
+_QUOTED = "md5('\"' || replace(text, ' ', '\"' || chr(9)) || chr(10) || '.') AS text"
+ORACLES["scored_dir_round_trip"] = (
+    _with(GOLD)
+    + f"""SELECT {_QUOTED}, gold, CAST(doc_id AS DOUBLE) / CAST(8 AS DOUBLE) AS compound, '{{''neg'': 0.0}}' AS scores, gold AS sentiment
+FROM documents JOIN gold USING (doc_id)"""
+)
+ORACLES["splits_round_trip"] = (
+    _with(
+        GOLD,
+        f"""judged AS (SELECT {_QUOTED}, gold AS g, compound, {_class("compound")} AS predicted FROM (
+         SELECT text, gold, CAST(doc_id % 9 - 4 AS DOUBLE) / CAST(8 AS DOUBLE) AS compound FROM documents JOIN gold USING (doc_id)) AS x)""",
+        f"""split AS (
+SELECT *, 'all' AS split, CASE WHEN g = predicted THEN 'right' ELSE 'wrong' END || CASE WHEN g = 'neutral' THEN '_neutral' ELSE '' END AS outcome FROM judged
+UNION ALL SELECT *, 'polar', CASE WHEN g = predicted THEN 'right' ELSE 'wrong' END FROM judged WHERE g <> 'neutral'
+UNION ALL SELECT *, 'polar_wide', CASE WHEN g = {_class("compound", 0.1)} THEN 'right' ELSE 'wrong' END FROM judged WHERE g <> 'neutral'
+UNION ALL SELECT *, unnest(CASE WHEN g = 'positive' THEN ['no_neutral'] ELSE ['no_neutral', 'negative_only'] END),
+       CASE WHEN g = predicted THEN 'right' WHEN predicted = 'neutral' THEN 'wrong_neutral' ELSE 'wrong' END
+FROM judged WHERE g <> 'neutral')""",
+    )
+    + "SELECT text, g AS gold, compound, '{''neg'': 0.0}' AS scores, split, outcome FROM split"
+)
+
+EMOJI = f"""emoji AS (
+  SELECT CASE WHEN n_nationkey < 20 THEN chr(CAST({EMOJI_BASE} + n_nationkey AS INTEGER)) ELSE ':-' || CAST(n_nationkey AS VARCHAR) END AS emoji,
+         lower(n_name) || ' super' AS description FROM nation),
+emoji_items AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos
+  FROM (SELECT doc_id, list_filter(string_split_regex({_replaced("text", EMOJI_WORDS)}, '\\s+'), lambda w: w <> '') AS ws FROM documents)),
+described AS (
+  SELECT doc_id, string_agg(coalesce(description, w), ' ' ORDER BY pos) AS text
+  FROM emoji_items LEFT JOIN emoji ON w = emoji GROUP BY doc_id)"""
+ORACLES["emoji_description"] = _with(EMOJI) + "SELECT doc_id, md5(coalesce(described.text, '')) AS text FROM documents LEFT JOIN described USING (doc_id)"
+ORACLES["sentiment_emoji"] = (
+    _with(EMOJI, LEXICON, "src AS (SELECT doc_id AS k, coalesce(described.text, '') AS t FROM documents LEFT JOIN described USING (doc_id))", SCORES)
+    + "SELECT k AS doc_id, neg, neu, pos, compound FROM scores"
+)
+
+ORACLES["link_entities_unlinked"] = (
+    _recursive(
+        ARTICLES,
+        LINKED,
+        """covered AS (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM taken)""",
+        """bare AS (
+  SELECT words.doc_id, words.pos, w, words.pos - row_number() OVER (PARTITION BY words.doc_id ORDER BY words.pos) AS island
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id AND covered.pos = words.pos
+  WHERE covered.pos IS NULL AND left(w, 1) <> lower(left(w, 1)))""",
+        """mentioned AS (
+  SELECT doc_id, pos, name, label, wd_id, score FROM taken
+  UNION ALL SELECT doc_id, min(pos), string_agg(w, ' ' ORDER BY pos), NULL, NULL, NULL FROM bare GROUP BY doc_id, island)""",
+    )
+    + """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS position, CAST(pos AS BIGINT) AS word_at,
+       name AS ner_text, label, wd_id, score FROM mentioned"""
+)
+
+_ARCHIVE = f"archive AS (SELECT url, {_replaced('html', ARCHIVE_TAGS)} AS html FROM pages)"
+ORACLES["archive_teasers"] = (
+    _with(
+        _ARCHIVE,
+        """blocks AS (SELECT url AS page_url, string_split(html, '<div data-teaserdate')[2:] AS bs FROM archive)""",
+        """each AS (SELECT page_url, unnest(bs) AS b, unnest(range(1, CAST(len(bs) + 1 AS BIGINT))) AS position FROM blocks)""",
+    )
+    + f"""SELECT page_url, position, '1687000000' AS tstamp, 'Kopf' AS title, '2023' AS date, 'Kurz & gut' AS shorttext,
+       nullif({_unescaped("regexp_extract(b, '<a class=.teaser-right__link. href=.([^\"]*).', 1)")}, '') AS url FROM each"""
+)
+ORACLES["archive_next_page"] = (
+    _with(_ARCHIVE) + "SELECT url, CASE WHEN contains(html, '<li class=\"next\">') THEN '/archiv/2' END AS next_url FROM archive"
+)
+ORACLES["classed_page_text"] = (
+    f"WITH classed AS (SELECT page_id, {_replaced('html', CLASSED_TAGS)} AS html FROM pages),\n"
+    + """paragraphs AS (
+  SELECT page_id, list_transform(string_split(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<p class="x paragraph article__item">')[2:],
+         lambda p: regexp_extract(p, '(?s)^(.*?)(?:</p>|</?(?:div|article|section|footer|ul|form|nav|aside|main|h[1-6])\\b|$)', 1)) AS ps FROM classed)
+"""
+    + f"SELECT page_id, {FILLED_NODES} AS text FROM paragraphs"
+)

@@ -17,10 +17,19 @@ from mentionmill.operators.model import batch_score
 from mentionmill.operators.sentiment import score_columns, score_sentiment
 from mentionmill.operators.sentiment.lexicon import lexicon_hits
 from mentionmill.operators.sentiment.score import mean_sentence_score, mean_tag_score
-from mentionmill.operators.sentiment.tokens import punctuation_emphasis, token_context
+from mentionmill.operators.sentiment.tokens import describe_emoji, punctuation_emphasis, token_context
 from mentionmill.operators.topics import article_topics, fit_topics, topic_summary
 from mentionmill.plans.products import count_products, linked_mentions
-from mentionmill.sources.delimited import read_labelled, read_scored_csv, scoring_input, write_csv, write_scoring_input
+from mentionmill.sources.delimited import (
+    read_labelled,
+    read_scored_csv,
+    read_scored_dir,
+    read_splits,
+    scoring_input,
+    write_csv,
+    write_scored_dir,
+    write_scoring_input,
+)
 from mentionmill.sources.jsonl import json_array_lines, read_articles, write_jsonl
 from mentionmill.tables import shared_folder
 
@@ -219,6 +228,31 @@ def tsv_round_trip(spark, sf_dir):
     return back.select(F.col("id").cast("bigint").alias("row_id"), "label", F.md5("text").alias("text"))
 
 
+def _quoted(spark, sf_dir):
+    """Articles whose texts hold quotes, separators and line breaks."""
+    text = F.concat(F.lit('"'), F.replace("fulltext", F.lit(" "), F.lit('"\t')), F.lit("\n."))
+    return inputs.articles(spark, sf_dir).select("doc_id", text.alias("text"), F.lit("{'neg': 0.0}").alias("scores"))
+
+
+@query
+def scored_dir_round_trip(spark, sf_dir):
+    rows = _quoted(spark, sf_dir).join(inputs.gold(spark, sf_dir), "doc_id").select(
+        "text", "gold", (F.col("doc_id") / 8).alias("compound"), "scores", F.col("gold").alias("sentiment")
+    )
+    back = read_scored_dir(spark, _written(spark, lambda p: write_scored_dir(rows, p)))
+    return back.select(F.md5("text").alias("text"), "gold", "compound", "scores", "sentiment")
+
+
+@query
+def splits_round_trip(spark, sf_dir):
+    scored = _quoted(spark, sf_dir).join(inputs.gold(spark, sf_dir), "doc_id").withColumn(
+        "compound", (F.pmod("doc_id", F.lit(9)) - 4) / 8
+    )
+    splits = evaluate.evaluation_splits(scored)
+    back = read_splits(spark, _written(spark, lambda p: evaluate.write_splits(splits, p)))
+    return back.select(F.md5("text").alias("text"), "gold", "compound", "scores", "split", "outcome")
+
+
 # joins
 
 
@@ -302,6 +336,23 @@ def page_links(spark, sf_dir):
     return teasers.select("page_url", "position", "title", "url")
 
 
+@query
+def archive_teasers(spark, sf_dir):
+    return extract.extract_teasers(inputs.archive_pages(spark, sf_dir))
+
+
+@query
+def archive_next_page(spark, sf_dir):
+    return extract.next_page(inputs.archive_pages(spark, sf_dir))
+
+
+@query
+def classed_page_text(spark, sf_dir):
+    html = F.col("html")
+    texts = inputs.classed_pages(spark, sf_dir)
+    return texts.select("page_id", extract.article_text(html, "filled_nodes", extract.CLASSED_PARAGRAPHS).alias("text"))
+
+
 @query
 def url_sections(spark, sf_dir):
     return extract.with_sections(inputs.pages(spark, sf_dir)).select(
@@ -311,13 +362,9 @@ def url_sections(spark, sf_dir):
 
 @query
 def page_text(spark, sf_dir):
-    html = F.col("html")
-    return inputs.pages(spark, sf_dir).select(
-        "page_id",
-        extract.article_text(html).alias("all_nodes"),
-        extract.article_text(html, "filled_nodes").alias("filled_nodes"),
-        extract.article_text(html, "paragraphs").alias("paragraphs"),
-    )
+    found = inputs.pages(spark, sf_dir).select("page_id", extract.paragraphs(F.col("html")).alias("found"))
+    variants = ("all_nodes", "filled_nodes", "paragraphs")
+    return found.select("page_id", *(extract.joined_paragraphs(F.col("found"), v).alias(v) for v in variants))
 
 
 @query
@@ -442,6 +489,20 @@ def mean_tag_score_(spark, sf_dir):
     return mean_tag_score(tags, ["doc_id"], "tags", inputs.lexicon(spark, sf_dir))
 
 
+@query
+def emoji_description(spark, sf_dir):
+    texts = inputs.emoji_texts(spark, sf_dir)
+    return describe_emoji(texts, "text", inputs.emoji(spark, sf_dir)).select("doc_id", F.md5("text").alias("text"))
+
+
+@query
+def sentiment_emoji(spark, sf_dir):
+    scored = score_columns(
+        inputs.emoji_texts(spark, sf_dir), ["text"], inputs.lexicon(spark, sf_dir), inputs.emoji(spark, sf_dir)
+    )
+    return scored.select("doc_id", "text_score.*")
+
+
 # linking, models, topics
 
 
@@ -450,6 +511,12 @@ def link_entities_(spark, sf_dir):
     return link_entities(inputs.articles(spark, sf_dir), inputs.aliases(spark, sf_dir), keep=["doc_id"])
 
 
+@query
+def link_entities_unlinked(spark, sf_dir):
+    table = link_entities(inputs.articles(spark, sf_dir), inputs.aliases(spark, sf_dir), keep=["doc_id"], include_unlinked=True)
+    return table.select("doc_id", "position", "word_at", "ner_text", "label", "wd_id", "score")
+
+
 @query
 def linked_mentions_per_week(spark, sf_dir):
     facts = inputs.table(spark, sf_dir, "benchmark").select(

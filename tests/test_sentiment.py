@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,11 @@ def test_emoji_description(spark):
     assert describe_emoji(df, "t", emoji_table(spark)).first()[0] == "wie super Lachen eins 1x 😁😁"
     empty = spark.createDataFrame([], "emoji string, description string")
     assert describe_emoji(df, "t", empty).first()[0] == "wie 😁 1️⃣ 1x 😁😁"
+    rows = [(1, "😁 a 😁"), (2, "😁 a 😁"), (3, None), (4, ""), (5, "  a  b "), (6, "😁")]
+    got = describe_emoji(spark.createDataFrame(rows, "id int, t string"), "t", emoji_table(spark))
+    assert {r["id"]: r["t"] for r in got.collect()} == {
+        1: "super Lachen a super Lachen", 2: "super Lachen a super Lachen", 3: None, 4: "", 5: "a b", 6: "super Lachen",
+    }
 
 
 def test_context_and_hits(spark):
@@ -142,6 +148,50 @@ def test_means(spark):
 def test_plan_keeps_words_local(spark):
     df = spark.createDataFrame([(1, "gut")], "id int, t string")
     plan = score_columns(df, ["t"], lexicon_table(spark))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 5
+    assert plan.count("BroadcastHashJoin") == 4
     assert "SortMergeJoin" not in plan and "Window" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_lexicon_beyond_broadcast(spark):
+    """One word in half of all rows, the lexicon met by shuffle: the plan is the same but for the joins, as are the scores."""
+    rows = [(i, "gut " * 40 + f"wort{i} schlecht" if i % 2 else f"Gut wort{i} SCHLECHT haus") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    want = {r["id"]: r["t_score"] for r in score_columns(df, ["t"], lexicon_table(spark)).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = score_columns(df, ["t"], lexicon_table(spark))
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert {r["id"]: r["t_score"] for r in scored.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        if adaptive is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+
+
+def test_means_keep_every_row(spark):
+    lexicon = lexicon_table(spark)
+    df = spark.createDataFrame([(1, "Sehr gut!", ["gut"]), (2, None, None), (3, "", [])], "id int, t string, tags array<string>")
+    for means in (mean_sentence_score(df, ["id"], "t", lexicon), mean_tag_score(df, ["id"], "tags", lexicon)):
+        got = {r["id"]: (r["sentences"], r["mean_compound"]) for r in means.collect()}
+        assert got[2] == got[3] == (0, None) and got[1][0] == 1 and got[1][1] > 0
+
+
+def test_many_distinct_words_and_repeats(spark):
+    """40,000 distinct lexicon words, some of them twice: a repeated word has the value of its first use."""
+    words = [f"wort{i}" for i in range(40_000)]
+    lexicon = spark.createDataFrame([(w, 1.5) for w in words], "word string, valence double")
+    df = spark.createDataFrame([(1, " ".join(words) + " nicht wort7 nicht wort9")], "id int, t string")
+    scored = score_columns(df, ["t"], lexicon)
+    assert scored.first()["t_score"]["compound"] == 1.0
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "_first_value" not in plan and "element_at(_" not in plan
+    start = time.perf_counter()
+    scored.collect()
+    assert time.perf_counter() - start < 10

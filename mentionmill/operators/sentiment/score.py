@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.folds import bound
 from ...functions.rounding import round_exact
 from ...functions.wordlists import ALPHA
 from ..clean import CLASS_THRESHOLD, sentiment_class
@@ -15,30 +16,28 @@ from .valence import add_word_valence, with_neighbours
 SENTIMENT_COLUMNS = ["shorttext", "fulltext"]
 
 
-def _add_ordered(texts: DataFrame, hits: str) -> DataFrame:
-    """Turn the set of hits into position and value in text order.
+def _in_order(hits: Column) -> Column:
+    """The set of hits as position and value in text order.
 
     A repeated word has the value of its first use. The hits are sorted by word and place, so equal words are runs;
-    the first of a run gives its value as often as the run is long. Each step is a column of its own and used more
-    than once, so the optimizer leaves it to be computed once and not for every item of a lambda.
+    the first of a run gives its value as often as the run is long.
     """
-    return (
-        texts.withColumn(hits, F.sort_array(hits))
-        .withColumn(
-            "_heads",
-            F.expr(f"filter(sequence(0, size({hits})), i -> i = 0 OR i = size({hits}) OR get({hits}, i - 1).token <> get({hits}, i).token)"),
-        )
-        .withColumn(
-            "_run_values",
-            F.expr(
-                "flatten(transform(slice(_heads, 1, size(_heads) - 1), "
-                f"(h, j) -> array_repeat(get({hits}, h).value, get(_heads, j + 1) - h)))"
-            ),
-        )
-        .withColumn(
-            hits, F.expr(f"sort_array(transform({hits}, (h, i) -> struct(h.pos AS pos, get(_run_values, i) AS value)))")
-        )
-        .drop("_heads", "_run_values")
+
+    def heads(hs: Column) -> Column:
+        """Where runs begin, and the end."""
+        n = F.size(hs)
+        begins = lambda i: (i == 0) | (i == n) | (F.get(hs, i - 1)["token"] != F.get(hs, i)["token"])
+        return F.filter(F.sequence(F.lit(0), n), begins)
+
+    def values(hs: Column, at: Column) -> Column:
+        runs = F.slice(at, F.lit(1), F.size(at) - 1)
+        return F.flatten(F.transform(runs, lambda h, j: F.array_repeat(F.get(hs, h)["value"], F.get(at, j + 1) - h)))
+
+    def ordered(hs: Column, vs: Column) -> Column:
+        return F.sort_array(F.transform(hs, lambda h, i: F.struct(h["pos"].alias("pos"), F.get(vs, i).alias("value"))))
+
+    return bound(
+        F.sort_array(hits), lambda hs: bound(heads(hs), lambda at: bound(values(hs, at), lambda vs: ordered(hs, vs)))
     )
 
 
@@ -178,7 +177,7 @@ def score_columns(
 
     for c in columns:
         but = F.when(F.col(f"_but_{c}") >= 0, F.col(f"_but_{c}"))
-        out = _add_ordered(out, f"_hits_{c}").withColumn(
+        out = out.withColumn(f"_hits_{c}", _in_order(F.col(f"_hits_{c}"))).withColumn(
             f"_values_{c}",
             F.when(but.isNotNull(), _after_contrast(F.col(f"_hits_{c}"), but)).otherwise(
                 F.transform(f"_hits_{c}", lambda h: h["value"])

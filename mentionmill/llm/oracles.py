@@ -93,7 +93,7 @@ WITH d AS (
   SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source
 ), frequent AS (
   SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM held GROUP BY source, norm) AS f
-  JOIN hosts USING (source) WHERE docs > greatest(50, texts * 0.02)
+  JOIN hosts USING (source) WHERE docs > 50 OR (docs >= 5 AND 2 * docs > texts)
 ), lost AS (
   SELECT doc_id, sum(n) AS lost FROM held JOIN frequent USING (source, norm) GROUP BY doc_id
 ), threes AS (

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from mentionmill.llm.arrays import LOWER, SPACED, covered, mix, run_hashes, span_hashes, text_slices, word_spans
 from mentionmill.llm.tables import Table
 
-#: A line may stand in so many documents of a host, or in this share of them if that is more.
+#: A line may stand in so many documents of a host, whatever its size, and in a host with few documents in no more than
+#: half of them, from so many on.
 LINE_DOCUMENTS = 50
-LINE_SHARE = 0.02
+LEAST_DOCUMENTS = 5
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 LEAST_WORDS = 50
@@ -118,13 +119,13 @@ def line_rules(df: DataFrame, text: str, host: str, keep: list[str], with_text:
     lines = docs.select("_row", "_host", "_t1", "_t2", F.posexplode("lines").alias("_at", "_line"))
     lines = lines.select("_row", "_host", "_t1", "_t2", "_at", "_line.*")
     per_host = docs.select("_host", "_t1", "_t2").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    limit = F.greatest(F.lit(LINE_DOCUMENTS), F.col("_texts") * LINE_SHARE)
+    over = (F.col("_n") > LINE_DOCUMENTS) | (2 * F.col("_n") > F.col("_texts"))
     frequent = (
         lines.select("_host", "h1", "h2", "_t1", "_t2").distinct()
         .groupBy("_host", "h1", "h2").agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > LINE_DOCUMENTS)
+        .filter(F.col("_n") >= LEAST_DOCUMENTS)
         .join(per_host, "_host")
-        .filter(F.col("_n") > limit)
+        .filter(over)
         .select("_host", "h1", "h2")
     )
     lost = (

@@ -10,7 +10,9 @@ windows mostly share an anchor, and an anchor with the stretch of text its windo
 
 Anchors whose seed is unique repeat nowhere. Of the others, those with an equal stretch are a class: all windows of
 a class with two members repeat. Only where one seed has several classes are single windows compared, one member
-for each class. So a group of n copies costs n rows at every step, never n squared.
+for each class. So a group of n copies costs n rows at every step, never n squared. A task compares its windows
+first; what repeats there is found, and one window of each kind goes on, packed by buckets of window hashes, however
+often one occurs.
 """
 
 from __future__ import annotations
@@ -69,9 +71,9 @@ class Alphabet:
 WORDS_35 = Alphabet("word", 35, 8)
 BYTES_200 = Alphabet("byte", 200, 64)
 
-#: Classes of one seed that are compared in one task, and bytes of stretches in such a task.
-CLASSES_AT_ONCE = 1000
-BUCKET_BYTES = 8_000_000
+#: Windows that a task compares at once, and windows to a bucket on average.
+WINDOWS_AT_ONCE = 500_000
+BUCKET_WINDOWS = 500_000
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -118,7 +120,7 @@ def anchors(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(doc, fp, start, more, seed, classes, body): the listed stretches with their own part of the text."""
+    """(doc, fp, start, more, seed, body): the listed stretches with their own part of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,24 +129,22 @@ def _stretches(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
                 part = lists.slice(row, len(offsets) - 1)
                 owner = np.repeat(np.arange(len(part)), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 flat = part.flatten()
-                start, more, seed, classes = (
-                    flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "more", "seed", "classes")
-                )
+                start, more, seed = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "more", "seed"))
                 begin, end = alphabet.cut(data, offsets, owner, start, start + more + alphabet.window)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(owner + row)),
                         batch.column(1).take(pa.array(owner + row)),
-                        *(pa.array(x) for x in (start, more, seed, classes)),
+                        *(pa.array(x) for x in (start, more, seed)),
                         pa.array([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
                     ],
-                    names=["doc", "fp", "start", "more", "seed", "classes", "body"],
+                    names=["doc", "fp", "start", "more", "seed", "body"],
                 )
 
     kind = dict(docs.dtypes)["doc"]
     return docs.mapInArrow(
-        scan, f"doc {kind}, fp bigint, start bigint, more smallint, seed bigint, classes bigint, body binary"
+        scan, f"doc {kind}, fp bigint, start bigint, more smallint, seed bigint, body binary"
     )
 
 
@@ -159,63 +159,83 @@ def _windows_of(bodies: pa.Array, alphabet: Alphabet) -> Iterator[tuple[np.ndarr
         yield owner + row, at - bounds[owner], hashes[at]
 
 
-def _window_rows(stretches: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(doc, fp, start, seed, window): every window of the stretches."""
+def _twice(seed: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows occur more than once, and which are the first of their kind."""
+    order = np.lexsort((window, seed))
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (window[order[1:]] == window[order[:-1]]) & (seed[order[1:]] == seed[order[:-1]])
+    twice, first = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+    twice[order[again]] = True
+    twice[order[np.flatnonzero(again) - 1]] = True
+    first[order[~again]] = True
+    return twice, first
+
+
+_PACKED = ("doc", "fp", "start", "end", "seed", "window")
+
+
+def _packed(alphabet: Alphabet, buckets: int):
+    """Rows of lists of windows: those that repeat inside the task in bucket -1, one of each kind in that of its hash."""
+
+    def lists(bucket: int, columns: list[pa.Array]) -> pa.RecordBatch:
+        bounds = pa.array([0, len(columns[0])], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int64()), *(pa.ListArray.from_arrays(bounds, c) for c in columns)], names=["bucket", *_PACKED]
+        )
+
+    def compared(parts: list[list]) -> Iterator[pa.RecordBatch]:
+        doc, fp = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+        start, seed, window, stretch = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4, 5))
+        twice, first = _twice(seed, window)
+        # neighbouring windows of a stretch make one span
+        own = np.flatnonzero(twice)
+        new = np.append(True, (stretch[own[1:]] != stretch[own[:-1]]) | (start[own[1:]] != start[own[:-1]] + 1))[: len(own)]
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(own))[: len(begin)] - 1
+        goal = np.where(first, (window % np.uint64(buckets)).astype(np.int64), -2)
+        for bucket, own, behind in [(-1, own[begin], start[own[last]]), *((b, o, start[o]) for b, o in _by_value(goal))]:
+            if len(own):
+                index = pa.array(own)
+                rest = (pa.array(x.view(np.int64)) for x in (start[own], behind + alphabet.window, seed[own], window[own]))
+                yield lists(bucket, [doc.take(index), fp.take(index), *rest])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, stretches = [], 0, 0
         for batch in batches:
-            start = batch.column(2).to_numpy(zero_copy_only=False)
+            start, seed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             for owner, place, window in _windows_of(batch.column(4), alphabet):
                 index = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(index),
-                        batch.column(1).take(index),
-                        pa.array(start[owner] + place),
-                        batch.column(3).take(index),
-                        pa.array(window.view(np.int64)),
-                    ],
-                    names=["doc", "fp", "start", "seed", "window"],
+                parts.append(
+                    [batch.column(0).take(index), batch.column(1).take(index), start[owner] + place, seed[owner], window, owner + stretches]
                 )
+                held += len(owner)
+                if held >= WINDOWS_AT_ONCE:
+                    yield from compared(parts)
+                    parts, held = [], 0
+            stretches += batch.num_rows
+        if held:
+            yield from compared(parts)
+
+    return scan
+
+
+def _by_value(goal: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each value of ``goal`` from 0 on, in order."""
+    order = np.argsort(goal, kind="stable")
+    values, first = np.unique(goal[order], return_index=True)
+    for value, own in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+        if value >= 0:
+            yield value, own
 
-    kind = dict(stretches.dtypes)["doc"]
-    rows = stretches.select("doc", "fp", "start", "seed", "body")
-    return rows.mapInArrow(scan, f"doc {kind}, fp bigint, start bigint, seed bigint, window bigint")
-
-
-def _met_in_bucket(alphabet: Alphabet):
-    """Repeated windows among the stretches of whole seeds, as spans."""
-
-    def compare(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.combine_chunks()
-        body, seed, start = (bucket.column(c).combine_chunks() for c in ("body", "seed", "start"))
-        parts = [*_windows_of(body, alphabet)]
-        owner, place, window = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        seeds = seed.to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.lexsort((window, seeds[owner]))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (window[order[1:]] == window[order[:-1]]) & (seeds[owner[order[1:]]] == seeds[owner[order[:-1]]])
-        twice = np.zeros(len(order), dtype=bool)
-        twice[order[same]] = True
-        twice[order[np.flatnonzero(same) - 1]] = True
-        owner, place = owner[twice], place[twice]
-        new = np.ones(len(owner), dtype=bool)  # neighbouring windows of a stretch make one span
-        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner))[: len(first)] - 1
-        index = pa.array(owner[first])
-        begin = start.to_numpy(zero_copy_only=False)[owner]
-        return pa.table(
-            [
-                bucket.column("doc").take(index),
-                bucket.column("fp").take(index),
-                pa.array(begin[first] + place[first]),
-                pa.array(begin[last] + place[last] + alphabet.window),
-            ],
-            names=["doc", "fp", "start", "end"],
-        )
 
-    return compare
+def _met_in_bucket(bucket: pa.Table) -> pa.Table:
+    """The windows of a bucket that came from several tasks."""
+    columns = {c: bucket.column(c).combine_chunks().flatten() for c in _PACKED}
+    seed, window = (columns[c].to_numpy(zero_copy_only=False) for c in ("seed", "window"))
+    twice, _ = _twice(seed, window)
+    index = pa.array(np.flatnonzero(twice))
+    names = ["doc", "fp", "start", "end"]
+    return pa.table([columns[c].take(index) for c in names], names=names)
 
 
 def same_document(a: str, b: str):
@@ -237,29 +257,24 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
     )
     several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")).df
     open_stretches = (
-        classes.join(several, "seed").select("one.*", "seed", "classes")
-        .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed", "classes")).alias("stretches"))
+        classes.join(several, "seed").select("one.*", "seed")
+        .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
     )
     listed = docs.alias("d").join(open_stretches.alias("o"), same_document("d", "o")).select("d.doc", "d.fp", "o.stretches", "d.text")
     # A repeated row gives its stretches twice. That is right: its windows do occur again, in the repetition.
     stretches = Table(_stretches(listed, alphabet)).df
-    # Seeds with few classes are compared whole, many to a task. One with more goes window by window through a
-    # shuffle, counted before it is dealt out, so no task ever holds it.
-    few = F.col("classes") <= CLASSES_AT_ONCE
-    size = stretches.filter(few).agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = 1 + size // BUCKET_BYTES
+    count = stretches.agg(F.sum(F.col("more").cast("long") + 1)).first()[0] or 0
     kind = dict(docs.dtypes)["doc"]
-    near = (
-        stretches.filter(few).withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets)))
-        .groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
-    )
-    windows = Table(_window_rows(stretches.filter(~few), alphabet)).df
-    counted = windows.groupBy("seed", "window").agg(F.count("*").alias("n"))
-    twice = Table(counted.filter("n > 1").select("seed", "window")).df
-    single = windows.join(twice, ["seed", "window"], "left_semi").select(
-        "doc", "fp", "start", (F.col("start") + length).alias("end")
-    )
-    spans = whole.union(near).union(single)
+    packed = Table(
+        stretches.select("doc", "fp", "start", "seed", "body").mapInArrow(
+            _packed(alphabet, 1 + count // BUCKET_WINDOWS),
+            f"bucket bigint, doc array<{kind}>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>",
+        )
+    ).df
+    at_once = packed.filter("bucket = -1").select(F.explode(F.arrays_zip("doc", "fp", "start", "end")).alias("w")).select("w.*")
+    met = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_met_in_bucket, f"doc {kind}, fp bigint, start bigint, end bigint")
+    near = at_once.union(met)
+    spans = whole.union(near)
     return spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

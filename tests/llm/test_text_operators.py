@@ -62,9 +62,15 @@ def same(found, expected):
     assert sorted(map(tuple, found), key=key) == sorted(map(tuple, expected), key=key)
 
 
-@pytest.mark.parametrize("classes", [1000, 0])
-def test_substrings(docs, rows, classes, monkeypatch):
-    monkeypatch.setattr(repeats, "CLASSES_AT_ONCE", classes)
+def few_windows(monkeypatch, windows):
+    """So many windows to a task's comparison and to a bucket."""
+    monkeypatch.setattr(repeats, "WINDOWS_AT_ONCE", windows)
+    monkeypatch.setattr(repeats, "BUCKET_WINDOWS", windows)
+
+
+@pytest.mark.parametrize("windows", [500_000, 60])
+def test_substrings(docs, rows, windows, monkeypatch):
+    few_windows(monkeypatch, windows)
     found = without_repeats(docs, "doc_id", "text").collect()
     same(found, [(r[0], *x) for r, x in zip(rows, brute.substrings([r[1] for r in rows]), strict=True)])
 
@@ -80,9 +86,9 @@ def test_substrings_keep_columns_and_untouched_texts(docs, rows):
             assert r["kept_text"] in texts
 
 
-@pytest.mark.parametrize(("classes", "batches"), [(1000, 4), (0, 3), (1000, 1)])
-def test_byte_strings(docs, rows, classes, batches, monkeypatch):
-    monkeypatch.setattr(repeats, "CLASSES_AT_ONCE", classes)
+@pytest.mark.parametrize(("windows", "batches"), [(500_000, 4), (300, 3), (500_000, 1)])
+def test_byte_strings(docs, rows, windows, batches, monkeypatch):
+    few_windows(monkeypatch, windows)
     found = without_repeated_bytes(docs, "doc_id", "text", batches).collect()
     same(found, [(r[0], *x) for r, x in zip(rows, brute.byte_strings([r[1] for r in rows]), strict=True)])
 
@@ -130,6 +136,43 @@ def test_line_frequency(spark):
     assert all(by_id[2000 + i]["kept"] and by_id[2000 + i]["clean_text"] == rows[0][1] for i in range(100))
 
 
+def test_a_lines_verdict_does_not_move_with_the_host(spark):
+    """A line of 51 documents goes from a host of 60 as from one of 600, a line of half a small host too, one of 4 stays."""
+    rng = random.Random(4)
+    rows = []
+    for host, size, line_documents in (("small", 60, 51), ("large", 600, 51), ("few", 9, 5), ("even", 10, 5), ("tiny", 4, 4)):
+        for i in range(size):
+            lines = [" ".join(prose(rng, 60)), *["The line of the house"] * (i < line_documents)]
+            rows.append((len(rows), "\n".join(lines), host, "x", "y"))
+    judged = line_rules(spark.createDataFrame(rows, SCHEMA), "text", "source", ["doc_id", "source"])
+    frequent = {r[0]: r[1] for r in judged.groupBy("source").agg({"n_frequent_words": "sum"}).collect()}
+    assert frequent == {"small": 5 * 51, "large": 5 * 51, "few": 5 * 5, "even": 0, "tiny": 0}
+
+
+def test_one_passage_in_many_surroundings(spark):
+    """30 shared words in n documents repeat no window of 35; what is shuffled stays far below a row for each window."""
+    rng = random.Random(6)
+    passage = " ".join(prose(rng, 30))
+    rows = [(i, " ".join([*(f"a{i}-{j}" for j in range(50)), passage, *(f"b{i}-{j}" for j in range(50))]), None, "x", "y") for i in range(2500)]
+    docs = repeats.identified(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").repartition(4)
+    made = []
+    keep = repeats.Table
+    class Counted(keep):
+        def __init__(self, df):
+            super().__init__(df)
+            made.append((df.columns, self.df.count()))
+    repeats.Table = Counted
+    try:
+        anchors = keep(repeats.anchors(docs, repeats.WORDS_35))
+        again = anchors.df.groupBy("seed").count().filter("count > 1").select("seed")
+        spans = repeats.extended(keep(anchors.df.join(again, "seed", "left_semi")).df, docs, repeats.WORDS_35)
+        assert spans.count() == 0
+    finally:
+        repeats.Table = keep
+    packed = [n for columns, n in made if "bucket" in columns]
+    assert packed and packed[0] < 100
+
+
 def test_near_duplicates(docs, rows):
     found = near_duplicate_classes(docs, "doc_id", "text").collect()
     classes = brute.near_duplicate_classes([(r[0], r[1]) for r in rows])

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,16 +173,16 @@ def _twice(seed: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _PACKED = ("doc", "fp", "start", "end", "seed", "window")
+_SPAN = _PACKED[:4]
 
 
 def _packed(alphabet: Alphabet, buckets: int):
-    """Rows of lists of windows: those that repeat inside the task in bucket -1, one of each kind in that of its hash."""
+    """Rows of lists: windows that repeat inside the task as spans, which have no seed and window and are done, and one
+    window of each kind, which has no end, in the bucket of its hash."""
 
     def lists(bucket: int, columns: list[pa.Array]) -> pa.RecordBatch:
-        bounds = pa.array([0, len(columns[0])], pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int64()), *(pa.ListArray.from_arrays(bounds, c) for c in columns)], names=["bucket", *_PACKED]
-        )
+        values = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *values], names=["bucket", *_PACKED])
 
     def compared(parts: list[list]) -> Iterator[pa.RecordBatch]:
         doc, fp = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
@@ -192,12 +193,16 @@ def _packed(alphabet: Alphabet, buckets: int):
         new = np.append(True, (stretch[own[1:]] != stretch[own[:-1]]) | (start[own[1:]] != start[own[:-1]] + 1))[: len(own)]
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(own))[: len(begin)] - 1
-        goal = np.where(first, (window % np.uint64(buckets)).astype(np.int64), -2)
-        for bucket, own, behind in [(-1, own[begin], start[own[last]]), *((b, o, start[o]) for b, o in _by_value(goal))]:
-            if len(own):
-                index = pa.array(own)
-                rest = (pa.array(x.view(np.int64)) for x in (start[own], behind + alphabet.window, seed[own], window[own]))
-                yield lists(bucket, [doc.take(index), fp.take(index), *rest])
+        none = np.zeros(0, dtype=np.int64)
+
+        def columns(own: np.ndarray, *numbers: np.ndarray) -> list[pa.Array]:
+            index = pa.array(own)
+            return [doc.take(index), fp.take(index), *(pa.array(x.view(np.int64)) for x in (start[own], *numbers))]
+
+        if len(own):
+            yield lists(int(window[own[0]] % np.uint64(buckets)), columns(own[begin], start[own[last]] + alphabet.window, none, none))
+        for bucket, own in _by_value(np.where(first, (window % np.uint64(buckets)).astype(np.int64), -1)):
+            yield lists(bucket, columns(own, none, seed[own], window[own]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, stretches = [], 0, 0
@@ -220,7 +225,7 @@ def _packed(alphabet: Alphabet, buckets: int):
 
 
 def _by_value(goal: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each value of ``goal`` from 0 on, in order."""
+    """The places of each value of ``goal`` from 0 on, in the order of the values."""
     order = np.argsort(goal, kind="stable")
     values, first = np.unique(goal[order], return_index=True)
     for value, own in zip(values.tolist(), np.split(order, first[1:]), strict=True):
@@ -228,14 +233,22 @@ def _by_value(goal: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield value, own
 
 
-def _met_in_bucket(bucket: pa.Table) -> pa.Table:
-    """The windows of a bucket that came from several tasks."""
-    columns = {c: bucket.column(c).combine_chunks().flatten() for c in _PACKED}
-    seed, window = (columns[c].to_numpy(zero_copy_only=False) for c in ("seed", "window"))
-    twice, _ = _twice(seed, window)
-    index = pa.array(np.flatnonzero(twice))
-    names = ["doc", "fp", "start", "end"]
-    return pa.table([columns[c].take(index) for c in names], names=names)
+def _met_in_bucket(alphabet: Alphabet):
+    """The spans of a bucket, and its windows that came from several tasks."""
+
+    def meet(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.combine_chunks()
+        is_done = pc.greater(pc.list_value_length(bucket.column("end")), 0)
+        done, left = bucket.filter(is_done), bucket.filter(pc.invert(is_done))
+        spans = [pa.concat_arrays(done.column(c).chunks or [bucket.column(c).combine_chunks().slice(0, 0)]).flatten() for c in _SPAN]
+        columns = {c: pa.concat_arrays(left.column(c).chunks or [bucket.column(c).combine_chunks().slice(0, 0)]).flatten() for c in _PACKED}
+        twice, _ = _twice(*(columns[c].to_numpy(zero_copy_only=False) for c in ("seed", "window")))
+        index = pa.array(np.flatnonzero(twice))
+        found = [columns[c].take(index) for c in ("doc", "fp", "start")]
+        found.append(pc.add(found[2], alphabet.window))
+        return pa.table([pa.concat_arrays([a, b.cast(a.type)]) for a, b in zip(spans, found, strict=True)], names=list(_SPAN))
+
+    return meet
 
 
 def same_document(a: str, b: str):
@@ -256,24 +269,20 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
         .select("doc", "fp", "start", (F.col("start") + F.col("more") + length).alias("end"))
     )
     several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")).df
+    open_classes = classes.join(several, "seed").select("one.*", "seed")
+    count = open_classes.agg(F.sum(F.col("more").cast("long") + 1)).first()[0] or 0
     open_stretches = (
-        classes.join(several, "seed").select("one.*", "seed")
-        .groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
+        open_classes.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
     )
     listed = docs.alias("d").join(open_stretches.alias("o"), same_document("d", "o")).select("d.doc", "d.fp", "o.stretches", "d.text")
     # A repeated row gives its stretches twice. That is right: its windows do occur again, in the repetition.
-    stretches = Table(_stretches(listed, alphabet)).df
-    count = stretches.agg(F.sum(F.col("more").cast("long") + 1)).first()[0] or 0
+    stretches = _stretches(listed, alphabet)
     kind = dict(docs.dtypes)["doc"]
-    packed = Table(
-        stretches.select("doc", "fp", "start", "seed", "body").mapInArrow(
-            _packed(alphabet, 1 + count // BUCKET_WINDOWS),
-            f"bucket bigint, doc array<{kind}>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>",
-        )
-    ).df
-    at_once = packed.filter("bucket = -1").select(F.explode(F.arrays_zip("doc", "fp", "start", "end")).alias("w")).select("w.*")
-    met = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(_met_in_bucket, f"doc {kind}, fp bigint, start bigint, end bigint")
-    near = at_once.union(met)
+    packed = stretches.select("doc", "fp", "start", "seed", "body").mapInArrow(
+        _packed(alphabet, 1 + count // BUCKET_WINDOWS),
+        f"bucket bigint, doc array<{kind}>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>",
+    )
+    near = packed.groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
     spans = whole.union(near)
     return spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

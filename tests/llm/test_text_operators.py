@@ -150,27 +150,23 @@ def test_a_lines_verdict_does_not_move_with_the_host(spark):
 
 
 def test_one_passage_in_many_surroundings(spark):
-    """30 shared words in n documents repeat no window of 35; what is shuffled stays far below a row for each window."""
+    """30 shared words in n documents repeat no window of 35; lists of windows are passed on, not a row for each."""
     rng = random.Random(6)
     passage = " ".join(prose(rng, 30))
-    rows = [(i, " ".join([*(f"a{i}-{j}" for j in range(50)), passage, *(f"b{i}-{j}" for j in range(50))]), None, "x", "y") for i in range(2500)]
-    docs = repeats.identified(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").repartition(4)
-    made = []
-    keep = repeats.Table
-    class Counted(keep):
-        def __init__(self, df):
-            super().__init__(df)
-            made.append((df.columns, self.df.count()))
-    repeats.Table = Counted
-    try:
-        anchors = keep(repeats.anchors(docs, repeats.WORDS_35))
-        again = anchors.df.groupBy("seed").count().filter("count > 1").select("seed")
-        spans = repeats.extended(keep(anchors.df.join(again, "seed", "left_semi")).df, docs, repeats.WORDS_35)
-        assert spans.count() == 0
-    finally:
-        repeats.Table = keep
-    packed = [n for columns, n in made if "bucket" in columns]
-    assert packed and packed[0] < 100
+    rows = [(i, " ".join([*(f"a{i}-{j}" for j in range(50)), passage, *(f"b{i}-{j}" for j in range(50))])) for i in range(2500)]
+    docs = repeats.identified(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").repartition(4)
+    anchors = repeats.Table(repeats.anchors(docs, repeats.WORDS_35))
+    again = anchors.df.groupBy("seed").count().filter("count > 1").select("seed")
+    candidates = repeats.Table(anchors.df.join(again, "seed", "left_semi"))
+    assert candidates.df.count() >= 2500
+    assert repeats.extended(candidates.df, docs, repeats.WORDS_35).count() == 0
+    stretches = candidates.df.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
+    listed = docs.alias("d").join(stretches.alias("s"), repeats.same_document("d", "s")).select("d.doc", "d.fp", "s.stretches", "d.text")
+    bodies = repeats._stretches(listed.coalesce(4), repeats.WORDS_35).select("doc", "fp", "start", "seed", "body")
+    lists = "bucket bigint, doc array<bigint>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>"
+    packed = bodies.mapInArrow(repeats._packed(repeats.WORDS_35, 3), lists)
+    made = packed.agg(F.count("*").alias("rows"), F.sum(F.size("window")).alias("windows")).first()
+    assert made["rows"] <= 4 * 3 and made["windows"] > 20_000
 
 
 def test_near_duplicates(docs, rows):

@@ -258,18 +258,20 @@ def same_document(a: str, b: str):
 def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(doc, fp, spans): for each document the places that lie in a repeated window, as sorted spans (start, end).
 
-    ``candidates`` are the anchors whose seed is not unique; they are read three times and should be a written table.
+    ``candidates`` are the anchors whose seed is not unique; they are read three times and should be a written table; when this returns,
+    they are of no more use.
     """
     length = alphabet.window
-    classes = Table(
+    written = Table(
         candidates.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "fp", "start", "more")).alias("one"))
-    ).df
+    )
+    classes = written.df
     whole = (
         candidates.join(classes.filter("n > 1").select("seed", "reach"), ["seed", "reach"], "left_semi")
         .select("doc", "fp", "start", (F.col("start") + F.col("more") + length).alias("end"))
     )
-    several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")).df
-    open_classes = classes.join(several, "seed").select("one.*", "seed")
+    several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1"))
+    open_classes = classes.join(several.df, "seed").select("one.*", "seed")
     count = open_classes.agg(F.sum(F.col("more").cast("long") + 1)).first()[0] or 0
     open_stretches = (
         open_classes.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "more", "seed")).alias("stretches"))
@@ -284,7 +286,11 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
     )
     near = packed.groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
     spans = whole.union(near)
-    return spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Written before it meets the texts again, so that what this job has shuffled goes first.
+    found = Table(spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    written.drop()
+    several.drop()
+    return found.df
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -96,7 +96,10 @@ def repeated_bytes(docs: DataFrame, batches: int, alphabet: Alphabet = BYTES_200
     for i in range(batches):
         family.add(suffixes.df.filter(F.col("batch") == i).drop("batch"))
     suffixes.drop()
-    return extended(family.matched().df, docs, alphabet)
+    matched = family.matched()
+    spans = extended(matched.df, docs, alphabet)
+    matched.drop()
+    return spans
 
 
 def without_repeated_bytes(df: DataFrame, doc: str, text: str, batches: int = 4) -> DataFrame:

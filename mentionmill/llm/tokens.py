@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,12 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT_COUNTS = 400_000
 #: Bytes of remembered runs (the run, its ids and what an entry takes besides) before a worker starts anew, and the
 #: length from which a run is not remembered.
-KEPT_BYTES, ENTRY_BYTES, LONG_RUN = 100_000_000, 300, 100
+KEPT_BYTES, ENTRY_BYTES, LONG_RUN = 150_000_000, 180, 100
+# Fixed value: the pattern of files that drop white space.
+DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: how files that drop white space cut a lower-case text, for ASCII.
+PRINTABLE = re.compile(rb"[!-~]+")
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 @functools.cache
@@ -139,37 +146,53 @@ class WordIds:
     """Ids of whole texts, one run between ASCII white space at a time; what was met is remembered, within bounds.
 
     For files that drop white space: no token, and no step before the merges, reaches over it, so the ids of a text
-    are those of its runs, each given by the tokenizers library.
+    are those of its runs. A run of plain ASCII that is not remembered is cut into the pattern's pieces, which are
+    remembered too; the tokenizers library gives the ids of pieces, and of all other runs.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.largest = self.tokenizer.get_vocab_size() - 1
-        self.by_run: dict[bytes, np.ndarray] = {}
-        self.kept = 0
+        self.model = self.tokenizer.model
+        self.by_run, self.by_piece = _Remembered(self.run), _Remembered(self.piece)
         if not _drops_white_space(_file(path)):
             raise ValueError(f"{path} keeps white space or joins tokens over it")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _encoded(self, runs: list[bytes]) -> dict[bytes, np.ndarray]:
-        found = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        return {r: np.array(e.ids, dtype=np.uint32) for r, e in zip(runs, found, strict=True)}
+    def _encoded(self, run: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece of plain ASCII; what is printable stands for itself in the model's alphabet."""
+        if PRINTABLE.fullmatch(piece):
+            return np.array([t.id for t in self.model.tokenize(piece.decode())], dtype=np.uint32).tobytes()
+        return self._encoded(piece)
+
+    def run(self, run: bytes) -> bytes:
+        if run.isascii() and not any(s in run for s in self.special):
+            return b"".join(map(self.by_piece.__getitem__, ASCII_PIECES.findall(run.lower())))
+        return self._encoded(run)
 
     def ids(self, text: str) -> np.ndarray:
+        if self.by_run.kept + self.by_piece.kept > KEPT_BYTES:
+            self.by_run, self.by_piece = _Remembered(self.run), _Remembered(self.piece)
         runs = text.encode().split()  # at the six ASCII spaces
-        if not runs:
-            return np.zeros(0, dtype=np.uint32)
-        if self.kept > KEPT_BYTES:
-            self.by_run, self.kept = {}, 0
-        new = list({r for r in runs if r not in self.by_run})
-        long = {}
-        if new:
-            long = self._encoded([r for r in new if len(r) > LONG_RUN])
-            short = self._encoded([r for r in new if len(r) <= LONG_RUN])
-            self.by_run |= short
-            self.kept += sum(2 * len(r) + ENTRY_BYTES for r in short)
-        if long:
-            return np.concatenate([long[r] if r in long else self.by_run[r] for r in runs])
-        return np.concatenate([*map(self.by_run.__getitem__, runs)])
+        return np.frombuffer(b"".join(map(self.by_run.__getitem__, runs)), dtype=np.uint32)
+
+
+class _Remembered(dict):
+    """Values by key; a miss is made, and kept unless it is long."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.make, self.kept = make, 0
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.make(key)
+        if len(key) <= LONG_RUN:
+            self[key] = ids
+            self.kept += len(key) + len(ids) + ENTRY_BYTES
+        return ids
 
 
 def _drops_white_space(spec: dict) -> bool:
@@ -181,7 +204,7 @@ def _drops_white_space(spec: dict) -> bool:
     cut = splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
     added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not set(t["content"]) & set(" \t\n\x0b\f\r") for t in spec.get("added_tokens", []))
     # the pattern's pieces are letters, numbers or neither of these and no white space
-    return plain and bool(cut) and splits[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+") and added
+    return plain and bool(cut) and splits[0]["pattern"].get("Regex", "") == DROPPING and added
 
 
 @functools.cache

@@ -172,6 +172,8 @@ def test_runs_of_a_text_give_the_ids_of_the_whole():
     letters = "abÉ'st 12\t\n\r\x0b\x0c\x1c\x85\xa0 ́Åẛ̣ΣςİßK日🙂<|endoftext|>.,#"
     samples = ["", " ", "<|endoftext|>", "a<|endoftext|> b", "é ́e", "don't DON'T", "x" * 5000, " " * 300_000 + "a"]
     samples += ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(4000)]
+    plain = "abST'd m.,!#12 \x01\x1c\x7f<|>"
+    samples += ["".join(rng.choices(plain, k=rng.randint(1, 40))) for _ in range(4000)] + ["\"'s ''s 's's don'tve I'LL'd a1b22'r'e <|ENDOFTEXT|>"]
     samples += [f"{chr(c)}a {chr(c)} b{chr(c)}" for c in range(0x21, 0x3000)]
     for text in samples:
         assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -7,19 +7,20 @@ weighted Jaccard similarity, and a large weight costs its logarithm.
 
 Documents with one bag are one node from the start. Nodes that agree in a whole band meet in a bucket, where all are
 checked against two centres (the node that meets most others, and one by hash), so a bucket of n costs 2n checks.
-Where a bucket still holds several components, all its pairs of different components are checked as well, unless their
-signatures or the shingles that each shares with other components show that they cannot be links. Every check that
-counts is exact: the overlap of both multisets.
+Nodes of buckets that still hold several components are met by their rarest shingles as well, as many as any link
+must share one of, and pairs of different components are checked unless their signatures differ too often. Every check
+that counts is exact: the overlap of both multisets.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionmill.llm.arrays import LETTERED, LOWER, mix, ranges, run_hashes, span_hashes, text_slices, word_spans
@@ -37,8 +38,10 @@ REGISTERS = BANDS * ROWS_PER_BAND
 LEAST_AGREEING = 81
 #: Numbers of 64 bits that hold the octets of a signature, one for each register.
 WORDS = -(-REGISTERS // 8)
-#: Groups of components for which shared shingles are counted apart.
-GROUPS = 16
+#: Sizes of a class differ by this factor at most.
+SIZE_STEP = 1.1
+#: Nodes under one shingle and pair of size classes that one part of a join meets.
+LIST_ROWS = 500
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MARK = {1: np.uint64(0xA0761D6478BD642F), 2: np.uint64(0xE7037ED1A0B428DB)}
@@ -244,10 +247,6 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _group(component: str) -> Column:
-    return F.pmod(F.xxhash64(component), F.lit(GROUPS)).cast("int")
-
-
 def _differing(a: str, b: str) -> Column:
     """In how many octets two lists of WORDS numbers differ."""
     counts = []
@@ -260,52 +259,83 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _left_pairs(meeting: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components that meet in a bucket of ``meeting`` (band, node, component) and may be links.
-
-    Their signatures agree often enough, and the shingles that each node shares with other components of the other's
-    group (components fall into 16 groups by hash) are enough for an overlap as large as a link needs. That bound is
-    exact, and it spares groups of near copies of two alike originals from being paired with each other.
+    """Pairs (u, v) of different components among the nodes of ``meeting`` (band, node, component) that may be links.
+
+    Prefix filter: shingles are ordered by rarity among these nodes, those of one component alone first. What comes
+    before the first shingle that two nodes share is in neither's overlap, so that shingle lies early in both: where
+    the rest still holds as much as a link of these sizes needs. Each node is listed under its early shingles, once
+    for each class of sizes that a partner can have, and pairs meet there. The bound is exact, and what many nodes
+    have in common, such as boilerplate, comes late and proposes nothing. In each list the commonest component meets
+    the others and these meet one another, so that a list costs twice its pairs of different components at most.
     """
-    several = (F.min("component").alias("lo"), F.max("component").alias("hi"))
     wanted = meeting.select("node", "component").distinct().join(nodes.select("node", "one"), "node")
     texts = (
         docs.alias("d").join(wanted.select("node", "component", "one.doc", "one.fp").alias("w"), same_document("d", "w"))
         .groupBy("w.node", "w.component").agg(F.any_value("d.text").alias("text"))
     )
     shingles = Table(texts.mapInArrow(_shingled, "node string, component string, shingle bigint, weight bigint"))
-    # For each shingle the groups of components that hold it (at most 16), each with two of its components at most.
-    holders = (
-        shingles.df.groupBy("shingle", _group("component").alias("g")).agg(*several)
-        .groupBy("shingle").agg(F.collect_list(F.struct("g", "lo", "hi")).alias("held"))
-    )
-
-    def abroad(group: int) -> Column:
-        own = F.col("component")
-        return F.exists("held", lambda h: (h["g"] == group) & ((h["lo"] != own) | (h["hi"] != own)))
-
-    counts = [F.sum(F.when(abroad(i), F.col("weight")).otherwise(0)) for i in range(GROUPS)]
-    shared = shingles.df.join(holders, "shingle").groupBy("node").agg(F.array(*counts).alias("shared"))
+    held = shingles.df.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).filter("least <> most").select("shingle", "n")
     words = nodes.select("node", "octets").mapInArrow(_in_words, "node string, words array<bigint>")
-    fit = (
-        nodes.select("node", "size").join(shared, "node").filter(F.array_max("shared") >= SIMILARITY * F.col("size"))
-        .join(words, "node")
+    facts = nodes.select("node", "size").join(wanted.select("node", "component"), "node").join(words, "node")
+    rest = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        shingles.df.select("node", "shingle", "weight").join(held, "shingle")
+        .withColumn("rest", F.sum("weight").over(rest))
+        .join(facts, "node").filter(F.col("rest") >= SIMILARITY * F.col("size"))
+    )
+    steps = math.log(SIZE_STEP)
+    around = F.sequence(*(
+        F.floor(F.log(F.col("size") * at) / steps + slack).cast("int") for at, slack in ((SIMILARITY, -1e-9), (1 / SIMILARITY, 1e-9))
+    ))
+    smallest = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("other")) * (1 - 1e-9), SIMILARITY * F.col("size"))
+    own = F.floor(F.log("size") / steps).cast("int")
+    listed = Table(
+        placed.withColumn("other", F.explode(around)).filter(F.col("rest") >= _least_overlap(F.col("size"), smallest))
+        .withColumn("own", own)
+        .select("node", "component", "size", "words", "rest", "own", "shingle",
+                F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    able = Table(meeting.select("band", "node", "component").join(fit, "node"))
     shingles.drop()
-    other = able.df.select(
-        "band", F.col("node").alias("w"), F.col("size").alias("s"), F.col("component").alias("c"),
-        F.col("shared").alias("h"), F.col("words").alias("others"),
+    key = ["shingle", "lo", "hi"]
+    lists = (
+        listed.df.groupBy(*key, "component").agg(F.count("*").alias("n"))
+        .groupBy(*key).agg(F.max_by("component", F.struct("n", "component")).alias("commonest"),
+                           F.sum("n").alias("n"), F.count("*").alias("components"))
+        .filter("components > 1")
+        .select(*key, "commonest", (1 + F.floor(F.col("n") / LIST_ROWS)).cast("int").alias("parts"))
+    )
+    met = Table(listed.df.join(lists, key))
+    listed.drop()
+    is_commonest = F.col("component") == F.col("commonest")
+    left = (
+        met.df.filter("own = lo")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        .withColumn("side", F.explode(F.when(is_commonest, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))))
+        .select(*key, "part", "side", "node", "component", "size", "words", "rest")
+    )
+    right = (
+        met.df.filter("own = hi")
+        .withColumn("side", F.explode(F.when(is_commonest, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))))
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("parts") - 1).cast("bigint"))))
+        .select(*key, "part", "side", F.col("node").alias("w"), F.col("component").alias("c"), F.col("size").alias("s"),
+                F.col("words").alias("others"), F.col("rest").alias("r"))
     )
-    most = F.least(F.get("shared", _group("c")), F.get("h", _group("component")))
     return (
-        able.df.join(other, "band")
-        .filter((F.col("node") < F.col("w")) & (F.col("component") != F.col("c")))
-        .filter(most >= SIMILARITY * (F.col("size") + F.col("s") - most) - 1e-6)
+        left.join(right, [*key, "part", "side"])
+        .filter(F.col("component") != F.col("c"))
+        .filter(F.least("rest", "r") >= _least_overlap(F.col("size"), F.col("s")))
         .filter(_differing("words", "others") <= REGISTERS - LEAST_AGREEING)
-        .select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
+        .select(*_pair(F.col("node"), F.col("w"))).distinct()
     )
 
 
+def _least_overlap(size: Column, other: Column) -> Column:
+    """What two multisets of these sizes share at least if they are a link."""
+    return (size + other) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+
+
 def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, fp, copies, class_id, kept) for each distinct pair of id and text of ``df``.
 

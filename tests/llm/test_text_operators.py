@@ -247,6 +247,38 @@ def test_pairs_at_the_limit_among_alike_documents(spark):
     assert {r["doc"]: r["class_id"] for r in found.collect()} == {d: c for (d, _), c in zip(rows, expected, strict=True)}
 
 
+def test_left_pairs_hold_all_links_and_no_boilerplate(spark):
+    """Every document a component of its own: all links come up, documents that only share boilerplate never."""
+    rng = random.Random(3)
+    base, rows = [f"b{j}" for j in range(300)], []
+    for i in range(60):
+        rows.append((len(rows), " ".join(base + [f"o{i}x{j}" for j in range(70)])))
+    for i in range(40):
+        words = prose(rng, rng.randrange(20, 160)) * (1 + i % 3)
+        for _ in range(4):
+            near = list(words)
+            for at in rng.sample(range(len(near)), max(1, len(near) // rng.randrange(60, 200))):
+                near[at] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near[: len(near) - rng.randrange(len(near) // 10 + 1)])))
+    docs = near_duplicates.identified(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    fields = "doc long, fp long, node string, size long, bands array<bigint>, octets binary"
+    nodes = docs.mapInArrow(near_duplicates._signed, fields).select("node", "size", "octets", F.struct("doc", "fp").alias("one")).cache()
+    meeting = nodes.select(F.lit(1).alias("band"), "node", F.col("node").alias("component"))
+    place = {r["node"]: r["one"]["doc"] for r in nodes.collect()}
+    octets = {r["one"]["doc"]: np.frombuffer(r["octets"], dtype=np.uint8) for r in nodes.collect()}
+    pairs = {frozenset((place[r["u"]], place[r["v"]])) for r in near_duplicates._left_pairs(meeting, nodes, docs).collect()}
+    bags = [brute.bag(text) for _, text in rows]
+    links = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            common = sum((bags[i] & bags[j]).values())
+            alike = common >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - common) - 1e-9
+            if alike and (octets[i] == octets[j]).sum() >= near_duplicates.LEAST_AGREEING:
+                links.add(frozenset((i, j)))
+    assert len(links) > 60 and links <= pairs
+    assert not any(min(p) < 60 for p in pairs)
+
+
 def test_differing_octets(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (200, near_duplicates.REGISTERS), dtype=np.uint8)

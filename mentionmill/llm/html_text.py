@@ -23,7 +23,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video textarea xmp noembed noframes".split())
-SKIPPED_TAGS = frozenset("head title nav footer aside form menu dialog select optgroup option button datalist".split())
+SKIPPED_TAGS = frozenset("head title nav footer aside menu dialog select optgroup option button datalist".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILERPLATE_NAMES = frozenset(
@@ -46,9 +46,16 @@ STOP_WORDS = frozenset(
     "porque se sin sobre su sus también una uno y ya".split()
 )
 
+COMMENT_NAMES = frozenset("comment comments disqus respond replies".split())
+SENTENCE_ENDS = frozenset(".!?…。！？।؟։")
+
 SHORT_BLOCK = 70
 LINK_SHARE = 0.4
 STOP_SHARE = 0.1
+#: Characters of scripts that need few of them to a word count as this many.
+DENSE, DENSE_FROM = 3, "\u2e80"
+#: A form stays if it holds this many characters beside links, or an article.
+FORM_TEXT = 500
 
 # A tag with quoted attributes; possessive, so that a page without an end for it is given up at once.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
@@ -74,7 +81,8 @@ class _State:
     open: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
-    link: bool = False
+    link: int | None = None  # the depth at which the open link began
+    forms: list[tuple[int, bool]] = field(default_factory=list)  # blocks before, inside article or main
     blocks: list[Block] = field(default_factory=list)
 
     @property
@@ -88,7 +96,7 @@ class _State:
     def take_text(self, raw: str) -> None:
         if raw and not self.skipped:
             self.parts.append(raw)
-            if self.link:
+            if self.link is not None:
                 self.link_parts.append(raw)
 
     def end_block(self) -> None:
@@ -98,6 +106,23 @@ class _State:
                 self.blocks.append(Block(text, len(_spaced(" ".join(self.link_parts))), self.in_main))
             self.parts, self.link_parts = [], []
 
+    def end_element(self) -> None:
+        """Close the innermost open element, and a link that began in it."""
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        if self.link is not None and self.link > len(self.stack):
+            self.link = None
+        if tag == "form":
+            self.end_form()
+
+    def end_form(self) -> None:
+        """Drop the blocks of a form that has little text, unless an article lies in it."""
+        first, in_main = self.forms.pop()
+        inside = self.blocks[first:]
+        around_article = not in_main and any(b.in_main for b in inside)
+        if not around_article and sum(len(b.text) - b.links for b in inside) < FORM_TEXT:
+            del self.blocks[first:]
+
 
 def _spaced(raw: str) -> str:
     return " ".join(references.unescape(raw).split())
@@ -109,6 +134,7 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in MAIN_TAGS or tag in ("html", "body"):
         return False
+    names: list[str] = []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -118,10 +144,21 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & BOILERPLATE_NAMES or (words & WEAK_NAMES and not words & CONTENT_NAMES):
-                return True
-    return False
+            names += value.split()
+    return _named_boilerplate(names)
+
+
+def _named_boilerplate(names: list[str]) -> bool:
+    """Whether class names and ids, taken together, speak against article text.
+
+    A whole name such as "story" outweighs other names and parts of names, but not those of reader comments.
+    """
+    words = {w for name in names for w in _NAME.findall(name)}
+    if words & COMMENT_NAMES:
+        return True
+    if words & BOILERPLATE_NAMES:
+        return not any(name in CONTENT_NAMES for name in names)
+    return bool(words & WEAK_NAMES) and not words & CONTENT_NAMES
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -153,6 +190,8 @@ def blocks_of(page: str) -> list[Block]:
         else:
             at = _take_tag(state, page, found.end(), found[1] == "/", found[2].lower(), found[3])
     state.end_block()
+    while state.forms:
+        state.end_form()
     return state.blocks
 
 
@@ -164,30 +203,32 @@ def _take_tag(state: _State, page: str, at: int, closing: bool, tag: str, attrib
         end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
         return end.end() if end else len(page)
     if tag == "a":
-        state.link = not closing
+        linked = not closing and any(name.lower() == "href" for name, *_ in _ATTRIBUTE.findall(attributes))
+        state.link = len(state.stack) if linked else None
     if tag in ("br", "wbr") or tag == "img":
         if tag == "br" and not state.skipped:
             state.parts.append(" ")
         return at
     if tag in BLOCK_TAGS:
+        if tag in MAIN_TAGS or state.link_parts:  # a link inside a block ends with it; one around blocks goes on
+            state.link = None
         state.end_block()
     if tag in VOID_TAGS:
         return at
     if closing:
         if state.open.get(tag):
-            while True:
-                name = state.stack.pop()[0]
-                state.open[name] -= 1
-                if name == tag:
-                    break
+            within = state.open[tag] - 1
+            while state.open[tag] > within:
+                state.end_element()
     elif tag in BLOCK_TAGS or _is_boilerplate(tag, attributes):
         if tag == "p" and state.stack and state.stack[-1][0] == "p":  # a paragraph ends the one before it
-            state.stack.pop()
-            state.open["p"] -= 1
+            state.end_element()
         in_main = state.in_main or tag in MAIN_TAGS
         skipped = state.skipped or _is_boilerplate(tag, attributes) or (tag == "header" and not in_main)
         if tag not in BLOCK_TAGS and skipped and not state.skipped:
             state.end_block()
+        if tag == "form":
+            state.forms.append((len(state.blocks), state.in_main))
         state.stack.append((tag, skipped, in_main))
         state.open[tag] = state.open.get(tag, 0) + 1
     elif state.open.get(tag):  # an inline element of a name that is open as boilerplate must close on its own
@@ -196,18 +237,33 @@ def _take_tag(state: _State, page: str, at: int, closing: bool, tag: str, attrib
     return at
 
 
-def first_pass(block: Block, has_main: bool) -> bool | None:
-    """Good, bad or, if too short to tell, open."""
+def _width(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + (DENSE - 1) * sum(c >= DENSE_FROM for c in text)
+
+
+def _stop_share(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def knows_language(blocks: list[Block]) -> bool:
+    """Whether any long block without many links holds stop words enough, so that they can tell blocks apart."""
+    return any(
+        b.links <= LINK_SHARE * len(b.text) and _width(b.text) >= SHORT_BLOCK and _stop_share(b.text) >= STOP_SHARE for b in blocks
+    )
+
+
+def first_pass(block: Block, has_main: bool, known: bool = True) -> bool | None:
+    """Good, bad or, if too short to tell, open. Where the language is not ``known``, sentences stand for stop words."""
     if has_main and not block.in_main:
         return False
     if block.links > LINK_SHARE * len(block.text):
         return False
-    if len(block.text) < SHORT_BLOCK:
+    if _width(block.text) < SHORT_BLOCK:
         return None
     if block.in_main:
         return True
-    words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
-    return sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+    return _stop_share(block.text) >= STOP_SHARE if known else bool(SENTENCE_ENDS & set(block.text))
 
 
 def second_pass(labels: list[bool | None], default: bool) -> list[bool]:
@@ -237,12 +293,17 @@ def main_text(page: str | None) -> str:
     has_main = any(b.in_main for b in blocks)
     if has_main:  # lists of links inside an article go, but say nothing about the blocks beside them
         blocks = [b for b in blocks if b.in_main and b.links <= LINK_SHARE * len(b.text)]
-    labels = second_pass([first_pass(b, has_main) for b in blocks], has_main)
+    known = has_main or knows_language(blocks)
+    labels = second_pass([first_pass(b, has_main, known) for b in blocks], has_main)
     return "\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good)
 
 
 def extracted_text(html: Column) -> Column:
-    """Main text of each whole page; null and empty pages give an empty text."""
+    """Main text of each whole page; null and empty pages give an empty text.
+
+    Each row is read alone, so repeated rows give equal texts, no rows give none and other columns do not matter. A
+    page of any length is read in one pass over its tags.
+    """
 
     @F.pandas_udf("string")
     def extract(pages: pd.Series) -> pd.Series:

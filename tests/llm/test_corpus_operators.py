@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from mentionmill.llm.html_text import extracted_text, main_text
+from mentionmill.llm.html_text import extracted_text, main_text, second_pass
 from mentionmill.llm.packing import fill, pack, plan
 from mentionmill.llm.queries import URL_RULES, tokenizer_path
 from mentionmill.llm.sharding import histogram_shards
@@ -307,3 +307,46 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert len(cut) == 6 and all(passage not in r[1] and len(r[1].split()) == 120 and r[4] == len(r[1]) for r in cut)
     assert "30" not in ids["decontamination"] and "31" in ids["decontamination"] and "None" in ids["decontamination"]
     assert len({r[0] for r in kept["packing"]}) == len({r[0] for r in kept["decontamination"]})
+
+
+PROSE = "<p>The fox was in the garden and it ate all of the apples that were there, or so they say about it.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, paragraphs",
+    [
+        (f'<a name="top">{PROSE * 2}', 2),  # an anchor is no link
+        (f"<div><p><a href=/x>Home<p>{PROSE}</div>{PROSE}", 2),  # a link that is not closed ends with its block
+        (f'<form id="page"><input type="hidden" name="state"><input name="q">{PROSE * 12}</form>', 12),
+        (f"<form><article>{PROSE}</article><input name=q></form>", 1),
+        (f"{PROSE}<form><p>Sign up for the letter and get all of the news of the day and more of it.</p><input></form>", 1),
+        (f'<div class="story social">{PROSE}</div>', 1),
+        (f'<div class="layout sidebar-right content">{PROSE}</div>', 1),
+        (f'<div class="post-share-enabled post">{PROSE}</div>', 1),
+        (f'<div id="content" class="has-sidebar">{PROSE}</div><div class="sidebar">{PROSE}</div>', 1),
+        (f'{PROSE}<div class="comment body">{PROSE}</div>', 1),
+        (f'<a href="/x"><article>{PROSE}</article></a>', 1),
+    ],
+)
+def test_main_text_on_ordinary_markup(page, paragraphs):
+    assert main_text(page).split("\n") == [PROSE[3:-4]] * paragraphs
+
+
+def test_main_text_without_stop_words():
+    """Sentences decide where no block is of a known language; menus do not come with them."""
+    chinese = "狐狸在花园里，它吃掉了所有的苹果，大家都这么说。" * 2
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>首页{i}</a></li>" for i in range(9)) + "</ul>"
+    assert main_text(f"<body>{menu}<p>{chinese}</p></body>") == chinese
+
+
+def test_second_pass_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        labels = [rng.choice([True, False, None, None, None]) for _ in range(rng.randrange(12))]
+        default = rng.random() < 0.5
+        expected = []
+        for i in range(len(labels)):
+            near = [abs(i - j) for j, x in enumerate(labels) if x is not None]
+            nearest = {x for j, x in enumerate(labels) if x is not None and abs(i - j) == min(near)}
+            expected.append((True in nearest) if near else default)
+        assert second_pass(labels, default) == expected

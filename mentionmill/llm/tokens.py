@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -30,6 +31,9 @@ DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Fixed value: how files that drop white space cut a lower-case text, for ASCII.
 PRINTABLE = re.compile(rb"[!-~]+")
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Latin letters that stand for themselves in composed form and have one lower-case letter; the same cut for them.
+LATIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
 
 
 @functools.cache
@@ -146,8 +150,9 @@ class WordIds:
     """Ids of whole texts, one run between ASCII white space at a time; what was met is remembered, within bounds.
 
     For files that drop white space: no token, and no step before the merges, reaches over it, so the ids of a text
-    are those of its runs. A run of plain ASCII that is not remembered is cut into the pattern's pieces, which are
-    remembered too; the tokenizers library gives the ids of pieces, and of all other runs.
+    are those of its runs. A run of ASCII or Latin letters that is not remembered is cut into the pattern's pieces, which are
+    remembered too. Where the file allows, tiktoken merges pieces, by the same merges; the tokenizers library gives the
+    ids of long pieces and of all other runs.
     """
 
     def __init__(self, path: str) -> None:
@@ -157,20 +162,50 @@ class WordIds:
         self.by_run, self.by_piece = _Remembered(self.run), _Remembered(self.piece)
         if not _drops_white_space(_file(path)):
             raise ValueError(f"{path} keeps white space or joins tokens over it")
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special) or b"(?!)")
+        self.merged = self._merging(_file(path)["model"])
+
+    def _merging(self, model: dict) -> Callable[[bytes], list[int]] | None:
+        """Ids of a piece with a line break, which no piece holds, for the mark that ends words; None if not proven.
+
+        First come all bytes, then all bytes that end a word, then the merges in their order. Pieces that are in the
+        vocabulary are taken whole there, so each must be the one token that the library makes of it.
+        """
+        mark, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        if not mark or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return None
+        singles = [*_byte_of_letter()]
+        singles += [c + mark for c in singles]
+        if not all(vocab.get(c, 512) < 512 for c in singles) or not all(vocab.get(a + b) == 512 + i for i, (a, b) in enumerate(merges)):
+            return None
+        names = singles + [a + b for a, b in merges]
+        ranks = {_bytes_of(x.removesuffix(mark)) + (b"\n" if x.endswith(mark) else b""): vocab[x] for x in names}
+        whole = [x.removesuffix(mark) for x in names if x.endswith(mark)]
+        if len(ranks) != len(names) or any([t.id for t in self.model.tokenize(x)] != [vocab[x + mark]] for x in whole):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def _encoded(self, run: bytes) -> bytes:
         return np.array(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
     def piece(self, piece: bytes) -> bytes:
-        """Ids of a piece of plain ASCII; what is printable stands for itself in the model's alphabet."""
+        """Ids of a piece in lower case; what is printable ASCII stands for itself in the model's alphabet."""
+        if self.merged and len(piece) <= LONG_RUN:
+            return array("I", self.merged(piece + b"\n")).tobytes()
         if PRINTABLE.fullmatch(piece):
             return np.array([t.id for t in self.model.tokenize(piece.decode())], dtype=np.uint32).tobytes()
         return self._encoded(piece)
 
     def run(self, run: bytes) -> bytes:
-        if run.isascii() and not any(s in run for s in self.special):
+        if self.special.search(run):
+            return self._encoded(run)
+        if run.isascii():
             return b"".join(map(self.by_piece.__getitem__, ASCII_PIECES.findall(run.lower())))
+        text = run.decode()
+        if LATIN.fullmatch(text):
+            return b"".join([self.by_piece[p.encode()] for p in LATIN_PIECES.findall(text.lower())])
         return self._encoded(run)
 
     def ids(self, text: str) -> np.ndarray:

@@ -166,6 +166,19 @@ def test_empty_tables(spark, tmp_path):
     assert read_records(spark, written).count() == 0
 
 
+def test_pieces_are_merged_as_the_library_does():
+    """Latin letters, single characters of many scripts, special strings and control characters, alone and mixed."""
+    library, own = Tokenizer.from_file(WORD_BPE), word_encoder(WORD_BPE)
+    assert own.merged is not None
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(1, 0x250)] + list("İı\u0307\u0308Σσςẞ中😀<|>'sré ") + list("etaoin é") * 20
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(8000)]
+    texts += [chr(c) + tail for c in range(1, 0x2000) for tail in ("", "É1")]
+    texts += ["<|endoftext|>É<|startoftext|>é", "é" * 300, "ab" * 200]
+    found = library.encode_batch(texts, add_special_tokens=False)
+    assert not [t for t, e in zip(texts, found, strict=True) if own.ids(t).tolist() != e.ids]
+
+
 def test_runs_of_a_text_give_the_ids_of_the_whole():
     library, own = Tokenizer.from_file(WORD_BPE), word_encoder(WORD_BPE)
     rng = random.Random(2)

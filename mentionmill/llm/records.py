@@ -41,6 +41,8 @@ FILE_BYTES = 64_000_000
 BLOCK_FILES = 1024
 #: Frames that a reading task checks at once, in bytes; a longer frame is read alone.
 READ_BYTES = 8_000_000
+#: Tasks that read files back, at most; beyond, a task reads several files, one after the other.
+READ_TASKS = 20_000
 
 _FRAME, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q")
 # Fixed value: what is added to a turned checksum.
@@ -209,4 +211,6 @@ def read_records(spark: SparkSession, records: RecordSet) -> DataFrame:
                         start, first = start + int(n.sum()), last
 
     files = _with_starts(records.manifest.df).select("file", "start", "records")
-    return files.repartition(F.xxhash64("file")).mapInArrow(read, "doc long, start long, n_tokens long, ids_crc32 long")
+    # The manifest is small beside what it names, so the number of tasks is given: one for each file, up to READ_TASKS.
+    tasks = max(1, min(records.manifest.df.count(), READ_TASKS))
+    return files.repartition(tasks, "file").mapInArrow(read, "doc long, start long, n_tokens long, ids_crc32 long")

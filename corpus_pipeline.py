@@ -21,7 +21,6 @@ from mentionmill.llm.substrings import without_repeats
 from mentionmill.llm.tables import Table
 
 
-
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with column names of its own, so that no column can clash with those of an operator; old to new names."""
     names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
@@ -29,14 +28,17 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines their host repeats; texts stay whole.
+    """Documents that pass the base rules and are not depleted of lines their host repeats, without those lines.
 
+    A text that loses lines is its other lines as they were, and n_chars counts them; any other text stays as it is.
     A null or empty text fails the base rules. Repeated rows and rows with null ids are judged one by one, rows with
     a null source as one host; an empty table stays empty.
     """
     plain, names = _plain(docs)
-    kept = line_rules(plain, names["text"], names["source"], list(names.values())).filter("kept")
-    return kept.select(*(F.col(new).alias(old) for old, new in names.items()))
+    kept = line_rules(plain, names["text"], names["source"], list(names.values()), with_text=True).filter("kept")
+    counted = F.when(F.col("n_frequent_words") > 0, F.length("clean_text").cast("long")).otherwise(F.col(names["n_chars"]))
+    values = {old: F.col(new) for old, new in names.items()} | {"text": F.col("clean_text"), "n_chars": counted}
+    return kept.select(*(value.alias(old) for old, value in values.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mentionmill.functions.folds import bound
 from mentionmill.llm.arrays import LOWER, SPACED, covered, mix, run_hashes, span_hashes, text_slices, word_spans
 from mentionmill.llm.tables import Table
 
@@ -150,16 +151,11 @@ def line_rules(df: DataFrame, text: str, host: str, keep: list[str], with_text:
 
 def _without_lines(text, lost):
     """The text without the lines of these numbers among its lines that hold a word."""
-    numbered = F.split(text, "\n")
-    is_word = F.transform(numbered, lambda x: x.rlike("[^\\x20\\x09-\\x0D]").cast("int"))
-    # A line's number is the count of word lines before it.
-    step = F.aggregate(
-        F.arrays_zip(numbered.alias("line"), is_word.alias("word")),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["n"] + x["word"]).alias("n"),
-            F.when((x["word"] == 1) & F.array_contains(lost, acc["n"]), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(x["line"]))).alias("out"),
-        ),
-    )
-    return F.when(lost.isNull(), text).otherwise(F.array_join(step["out"], "\n"))
+
+    def left(lines):
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        with_word = F.filter(places, lambda i: F.get(lines, i).rlike("[^\\x20\\x09-\\x0D]"))
+        gone = bound(with_word, lambda at: F.transform(lost, lambda n: F.get(at, n)))
+        return F.array_join(F.transform(F.array_except(places, gone), lambda i: F.get(lines, i)), "\n")
+
+    return F.when(lost.isNull(), text).otherwise(bound(F.split(text, "\n"), left))

@@ -103,3 +103,24 @@ def components(edges):
             changed |= least[a] != m or least[b] != m
             least[a] = least[b] = m
     return least
+
+
+def without_frequent_lines(rows):
+    """For each (text, host): its text without the lines that too many texts of the host hold, and whether enough is left."""
+
+    def key(line):
+        return " ".join(lower(w) for w in SPACED.findall(line))
+
+    texts = defaultdict(set)
+    for text, host in rows:
+        texts[host].add(text)
+    frequent = {}
+    for host, held in texts.items():
+        counts = Counter(k for t in held for k in {key(x) for x in (t or "").split("\n")} if k)
+        frequent[host] = {k for k, n in counts.items() if n >= 5 and (n > 50 or 2 * n > len(held))}
+    out = []
+    for text, host in rows:
+        left = [x for x in (text or "").split("\n") if key(x) not in frequent[host]]
+        words = len(SPACED.findall(text or ""))
+        out.append(("\n".join(left), sum(len(SPACED.findall(x)) for x in left) >= 0.3 * words))
+    return out

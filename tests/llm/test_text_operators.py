@@ -136,6 +136,16 @@ def test_line_frequency(spark):
     assert all(by_id[2000 + i]["kept"] and by_id[2000 + i]["clean_text"] == rows[0][1] for i in range(100))
 
 
+def test_lines_of_long_texts(spark):
+    """Texts of 40,000 lines, every second one in all of them, beside rows without a text, a host or a word."""
+    rows = [(i, "\n".join(f"common {j}\nown {i} {j}" for j in range(20_000)), "a", "x", "y") for i in range(6)]
+    rows += [(6, None, None, "x", "y"), (7, "", "a", "x", "y"), (8, "\n \n", None, "x", "y")]
+    judged = line_rules(spark.createDataFrame(rows, SCHEMA), "text", "source", ["doc_id"], with_text=True)
+    by_id = {r["doc_id"]: r for r in judged.collect()}
+    assert all(by_id[i]["clean_text"] == "\n".join(f"own {i} {j}" for j in range(20_000)) for i in range(6))
+    assert [by_id[i]["clean_text"] for i in (6, 7, 8)] == [None, "", "\n \n"]
+
+
 def test_a_lines_verdict_does_not_move_with_the_host(spark):
     """A line of 51 documents goes from a host of 60 as from one of 600, a line of half a small host too, one of 4 stays."""
     rng = random.Random(4)

@@ -17,7 +17,7 @@ often one occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -255,21 +255,26 @@ def same_document(a: str, b: str):
     return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.fp") == F.col(f"{b}.fp"))
 
 
-def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(doc, fp, spans): for each document the places that lie in a repeated window, as sorted spans (start, end).
+def extended(
+    candidates: DataFrame, docs: DataFrame, alphabet: Alphabet, release: Callable[[], None] = lambda: None
+) -> DataFrame:
+    """(doc, fp, spans): for each document the places that lie in a repeated window, as spans (start, end).
 
-    ``candidates`` are the anchors whose seed is not unique; they are read three times and should be a written table; when this returns,
-    they are of no more use.
+    ``candidates`` are the anchors whose seed is not unique; they are read twice and should be a written table, which
+    ``release`` drops as soon as it is of no more use.
     """
     length = alphabet.window
     written = Table(
         candidates.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "fp", "start", "more")).alias("one"))
     )
     classes = written.df
-    whole = (
+    # Written by document before the windows are compared, so that candidates and what their join has shuffled go first.
+    whole = Table(
         candidates.join(classes.filter("n > 1").select("seed", "reach"), ["seed", "reach"], "left_semi")
-        .select("doc", "fp", "start", (F.col("start") + F.col("more") + length).alias("end"))
+        .groupBy("doc", "fp")
+        .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("more") + length).alias("end"))).alias("spans"))
     )
+    release()
     several = Table(classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1"))
     open_classes = classes.join(several.df, "seed").select("one.*", "seed")
     count = open_classes.agg(F.sum(F.col("more").cast("long") + 1)).first()[0] or 0
@@ -285,11 +290,11 @@ def extended(candidates: DataFrame, docs: DataFrame, alphabet: Alphabet) -> Data
         f"bucket bigint, doc array<{kind}>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>",
     )
     near = packed.groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
-    spans = whole.union(near)
+    spans = whole.df.union(near.select("doc", "fp", F.array(F.struct("start", "end"))))
     # Written before it meets the texts again, so that what this job has shuffled goes first.
-    found = Table(spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    written.drop()
-    several.drop()
+    found = Table(spans.groupBy("doc", "fp").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    for t in (written, whole, several):
+        t.drop()
     return found.df
 
 

@@ -70,8 +70,7 @@ def without_repeats(
     candidates = Table(seeds.df.join(again.df, "seed", "left_semi"))
     seeds.drop()
     again.drop()
-    spans = extended(candidates.df, keyed, alphabet)
-    candidates.drop()
+    spans = extended(candidates.df, keyed, alphabet, candidates.drop)
     found = with_spans(docs, spans)
     fields = ", ".join(f"{n} {t}" for n, t in found.dtypes[: 1 + len(keep)])
     schema = f"{fields}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text

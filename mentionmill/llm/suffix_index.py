@@ -97,9 +97,7 @@ def repeated_bytes(docs: DataFrame, batches: int, alphabet: Alphabet = BYTES_200
         family.add(suffixes.df.filter(F.col("batch") == i).drop("batch"))
     suffixes.drop()
     matched = family.matched()
-    spans = extended(matched.df, docs, alphabet)
-    matched.drop()
-    return spans
+    return extended(matched.df, docs, alphabet, matched.drop)
 
 
 def without_repeated_bytes(df: DataFrame, doc: str, text: str, batches: int = 4) -> DataFrame:

@@ -19,14 +19,21 @@ from ..tables import Table
 PASSES = 3
 #: Scale of a word's pull to a topic and of a topic's share of an article.
 PULL, SHARE = 1000.0, 1e9
+#: Characters of text that a block of articles holds on average.
+BLOCK_CHARS = 1 << 23
 
 
 @dataclass(frozen=True)
 class Topics:
-    """Words per article, a list of scores by topic per article, and the topic of each article (null without words)."""
+    """Word lists of blocks of articles, a list of scores by topic per article, the topic of each (null without words).
+
+    ``words`` has one row per block and word: the numbers of the articles in the block that have the word, and how
+    often each has it. ``placed`` has each block's list of topics by article number.
+    """
 
     k: int
     words: DataFrame
+    placed: DataFrame
     scores: DataFrame
     assigned: DataFrame
 
@@ -36,37 +43,71 @@ def fit_topics(articles: DataFrame, text: str = "fulltext", key: str = "url", k:
 
     A word is a run of letters, in lower case. Rows that share a key are one article. An article without words keeps
     its row with a null topic; a null key is an article like any other.
+
+    Articles are dealt to blocks of a fixed size by a hash of their key. What moves in a pass is a row per block and
+    word; an article's rows never leave its block, so the work grows with the texts alone.
     """
-    letters = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), 1)
-    source = articles.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit(WHITESPACE)).alias("id"), letters.alias("w"))
-    words = Table(source.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))).df
-    keys = source.select("key", "id").distinct()
+    chars = articles.agg(F.sum(F.length(text))).head()[0] or 0
+    named = F.coalesce(F.col(key).cast("string"), F.lit(WHITESPACE))
+    block = F.pmod(F.xxhash64("id"), F.lit(chars // BLOCK_CHARS + 1))
+    source = articles.select(F.col(key).alias("key"), named.alias("id"), F.col(text).alias("text")).withColumn("block", block)
+    by_id = Window.partitionBy("block").orderBy("id")
+
     start = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(k))
-    assigned = Table(words.select("id").distinct().select("id", start.cast("int").alias("topic")))
+    number = (F.dense_rank().over(by_id) - 1).alias("number")
+    members = Table(source.select("block", "key", "id").distinct().select("block", "key", "id", number)).df
+    letters = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1)
+    spread = source.select("block", number, "text").select("block", "number", F.explode_outer(letters).alias("word"))
+    counted = spread.filter("word IS NOT NULL").groupBy("block", "word", "number").agg(F.count(F.lit(1)).alias("n"))
+    # the word first, as sorts compare the beginning of the first key
+    listed = counted.groupBy("word", "block").agg(F.collect_list(F.struct("number", "n")).alias("in"))
+    words = Table(listed.select("block", "word", F.col("in.number").alias("numbers"), F.col("in.n").alias("ns"))).df
+
+    assigned = Table(members.select("block", "number", start.cast("int").alias("topic")).distinct())
     scores = None
     for _ in range(passes):
-        scores = Table(_scores(words, assigned.df, k))
+        scores = Table(_scores(words, _placed(assigned.df), k))
         # without a word that another article has, an article stays where it is
         best = F.array_max("scores")
         first = (F.array_position("scores", best) - 1).cast("int")
-        chosen = scores.df.select("id", F.when(best > 0, first).alias("best"))
-        assigned = Table(assigned.df.join(chosen, "id", "left").select("id", F.coalesce("best", "topic").alias("topic")))
-    named = keys.join(assigned.df, "id", "left")
-    return Topics(k, words, scores.df, named)
+        chosen = scores.df.select("block", "number", F.when(best > 0, first).alias("best"))
+        assigned = Table(
+            assigned.df.join(chosen, ["block", "number"], "left").select("block", "number", F.coalesce("best", "topic").alias("topic"))
+        )
+    each = members.join(scores.df, ["block", "number"], "left").join(assigned.df, ["block", "number"])
+    found = Table(each.select("key", "id", F.when(F.col("scores").isNotNull(), F.col("topic")).alias("topic"), "scores")).df
+    return Topics(k, words, _placed(assigned.df), found.filter("scores IS NOT NULL").select("id", "scores").distinct(), found.select("key", "id", "topic"))
+
 
+def _placed(assigned: DataFrame) -> DataFrame:
+    """(block, topics): the topics of a block's articles in the order of their numbers, which begin at 0 without gaps."""
+    in_order = F.array_sort(F.collect_list(F.struct("number", "topic")))
+    return assigned.groupBy("block").agg(in_order["topic"].alias("topics"))
 
-def _scores(words: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
-    """(id, scores): how strongly each topic pulls each article, the sum of its words' pulls times their counts.
 
-    A word has one row with its uses in all topics, so an article's words meet one row each.
+def _uses(words: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(word, used, word_n): a word's uses in each topic, and in all."""
+    each = words.join(placed, "block").select("word", "topics", "ns", F.posexplode("numbers").alias("at", "number"))
+    each = each.select("word", F.get("topics", F.col("number")).alias("topic"), F.get("ns", F.col("at")).alias("n"))
+    uses = [F.coalesce(F.sum(F.when(F.col("topic") == t, F.col("n"))), F.lit(0)) for t in range(k)]
+    return each.groupBy("word").agg(F.array(*uses).alias("used"), F.sum("n").alias("word_n"))
+
+
+def _scores(words: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(block, number, scores): how strongly each topic pulls each article, the sum of its words' pulls times their counts.
+
+    A word has one row with its uses in all topics, which goes once to each block that has the word.
     """
-    placed = words.join(assigned, "id")
+    used = Table(_uses(words, placed, k)).df
     topics = range(k)
-    uses = [F.coalesce(F.sum(F.when(F.col("topic") == t, F.col("n"))), F.lit(0)) for t in topics]
-    used = placed.groupBy("word").agg(F.array(*uses).alias("used"), F.sum("n").alias("word_n"))
-    sizes = placed.agg(F.sum("n").alias("all"), *(use.alias(f"size{t}") for t, use in enumerate(uses)))
+    sizes = used.agg(F.sum("word_n").alias("all"), *(F.sum(F.get("used", F.lit(t))).alias(f"size{t}") for t in topics))
     shares = [F.when(F.col(f"size{t}") > 0, F.col("all") * F.lit(1.0) / F.col(f"size{t}")) for t in topics]
-    met = placed.join(used, "word").withColumn("rarity", sizes.select(F.array(*shares)).scalar())
+    # a block's rows come together, and its articles' sums need no further exchange
+    met = words.join(used, "word").repartition("block").join(placed, "block")
+    each = met.select("block", "topics", "used", "word_n", "ns", F.posexplode("numbers").alias("at", "number"))
+    each = each.withColumns({"topic": F.get("topics", F.col("number")), "n": F.get("ns", F.col("at"))}).withColumn(
+        "rarity", sizes.select(F.array(*shares)).scalar()
+    )
     elsewhere = F.col("word_n") - F.col("n")
 
     def pull(t: int) -> Column:
@@ -74,16 +115,16 @@ def _scores(words: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
         others = use - F.when(F.col("topic") == t, F.col("n")).otherwise(0)
         return F.when((use > 0) & (elsewhere > 0), F.floor(others * PULL / elsewhere * F.get("rarity", F.lit(t)))).otherwise(0)
 
-    return met.groupBy("id").agg(F.array(*(F.sum(F.col("n") * pull(t)) for t in topics)).alias("scores"))
+    sums = [F.sum(F.col("n") * pull(t)) for t in topics]
+    return each.groupBy("block", "number").agg(F.array(*sums).alias("scores"))
 
 
 def article_topics(topics: Topics, key: str = "url") -> DataFrame:
     """One row per article and topic with its weight; one with neither for an article without words."""
     sums = topics.scores.withColumn("total", F.aggregate("scores", F.lit(0).cast("long"), lambda a, b: a + b))
-    each = topics.assigned.withColumnRenamed("topic", "own").withColumn(
-        "topic", F.explode(F.when(F.col("own").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(topics.k - 1))))
-    )
-    met = each.join(sums, "id", "left").withColumn("score", F.get("scores", F.col("topic")))
+    places = F.when(F.col("own").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(topics.k - 1)))
+    each = topics.assigned.withColumnRenamed("topic", "own").join(sums, "id", "left").withColumn("topic", F.explode(places))
+    met = each.withColumn("score", F.get("scores", F.col("topic")))
     share = F.floor(F.coalesce("score", F.lit(0)) * SHARE / F.col("total")) / SHARE
     alone = F.when(F.col("own") == F.col("topic"), 1.0).otherwise(0.0)
     return met.select(
@@ -95,13 +136,12 @@ def article_topics(topics: Topics, key: str = "url") -> DataFrame:
 
 def topic_terms(topics: Topics, terms: int = 10) -> DataFrame:
     """The words each topic uses most above the average, in order; equal ones from the end of the alphabet."""
-    placed = topics.words.join(topics.assigned.select("id", "topic"), "id")
-    used = placed.groupBy("word", "topic").agg(F.sum("n").alias("used"))
+    uses = Table(_uses(topics.words, topics.placed, topics.k)).df
+    used = uses.select("word", "word_n", F.posexplode("used").alias("topic", "used")).filter("used > 0")
     sizes = used.groupBy("topic").agg(F.sum("used").alias("size"))
-    per_word = used.groupBy("word").agg(F.sum("used").alias("word_n"))
     everything = sizes.agg(F.sum("size").alias("all")).scalar()
     excess = F.col("used") - F.floor(F.col("word_n") * F.lit(1.0) * F.col("size") / everything)
-    ranked = used.join(per_word, "word").join(sizes, "topic").select("topic", "word", excess.alias("excess"))
+    ranked = used.join(sizes, "topic").select("topic", "word", excess.alias("excess"))
     # the optimizer turns the limit into one per task before the rows of a topic meet
     place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("excess"), F.desc("word")))
     best = ranked.withColumn("place", place).filter(F.col("place") <= terms)

@@ -38,11 +38,9 @@ def describe_emoji(texts: DataFrame, text: str, emoji: DataFrame) -> DataFrame:
     items = F.filter(words(F.col(text)), lambda w: w != "")
     digest = F.md5(text)
     spread = texts.select(digest.alias("_digest"), F.posexplode_outer(items).alias("_pos", "_item"))
-    found = spread.join(one_each, F.col("_item") == F.col("emoji")).groupBy("_digest", "_pos").agg(
-        F.any_value("_description").alias("_description")
-    )
-    # at most one row for each item of the text
-    listed = found.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("_pos", "_description"))).alias("_found"))
+    # at most one entry for each item of the text; copies of a text give the same ones
+    entries = F.collect_set(F.struct("_pos", "_description"))
+    listed = spread.join(one_each, F.col("_item") == F.col("emoji")).groupBy("_digest").agg(F.sort_array(entries).alias("_found"))
 
     def placed(known: Column) -> Column:
         """The descriptions at the places of their items, with nulls between them."""
@@ -59,8 +57,8 @@ def describe_emoji(texts: DataFrame, text: str, emoji: DataFrame) -> DataFrame:
 
 def caps_differential(tokens: Column) -> Column:
     """Some words are all capitals and some are not."""
-    upper = F.size(F.filter(tokens, is_upper))
-    return (upper > 0) & (upper < F.size(tokens))
+    # each search ends at its first find
+    return F.exists(tokens, is_upper) & F.exists(tokens, lambda w: ~is_upper(w))
 
 
 def _occurrences(text: Column, char: str) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from mentionmill.llm.tables import Table
 
+#: Edges to a file of the tables between rounds, at least.
+EDGES_PER_FILE = 20_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,11 +30,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _written(edges: DataFrame) -> tuple[Table, tuple]:
+def _written(edges: DataFrame, files: int | None = None) -> tuple[Table, tuple]:
     """The edges as a table, and their number and sum of hashes, seen in passing."""
     seen = Observation()
-    table = Table(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
-    return table, (seen.get["n"], seen.get["h"])
+    table = Table(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), files)
+    return table, (seen.get["n"] or 0, seen.get["h"])
 
 
 def components(edges: DataFrame) -> Table:
@@ -41,9 +44,10 @@ def components(edges: DataFrame) -> Table:
     chain. Hot nodes are pre-aggregated (least neighbour) and joined, never gathered. Edges to null and loops are
     passed over.
     """
-    now, before = Table(edges.select("u", "v")), None
+    now, found = _written(edges.select("u", "v"))
+    before = None
     while True:
-        after, found = _written(_small_star(_large_star(now.df)))
+        after, found = _written(_small_star(_large_star(now.df)), 1 + found[0] // EDGES_PER_FILE)
         now.drop()
         now = after
         if found == before or not found[0]:
@@ -51,6 +55,6 @@ def components(edges: DataFrame) -> Table:
         before = found
     out = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = out.select(F.col("component").alias("node"), "component").distinct()
-    result = Table(out.union(roots))
+    result = Table(out.union(roots), 1 + found[0] // EDGES_PER_FILE)
     now.drop()
     return result

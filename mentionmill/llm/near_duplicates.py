@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mentionmill.llm.arrays import LETTERED, LOWER, mix, ranges, run_hashes, span_hashes, text_slices, word_spans
@@ -42,6 +42,8 @@ WORDS = -(-REGISTERS // 8)
 SIZE_STEP = 1.1
 #: Nodes under one shingle and pair of size classes that one part of a join meets.
 LIST_ROWS = 500
+#: Documents to a file of the tables of nodes, their bands and texts, at least.
+DOCUMENTS_PER_FILE = 2000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MARK = {1: np.uint64(0xA0761D6478BD642F), 2: np.uint64(0xE7037ED1A0B428DB)}
@@ -198,8 +200,8 @@ def _overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Links:
     """Exact links between nodes, and which pairs are still worth a check."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame) -> None:
-        self.nodes, self.docs = nodes, docs
+    def __init__(self, nodes: DataFrame, docs: DataFrame, files: int) -> None:
+        self.nodes, self.docs, self.files = nodes, docs, files
         self.found: list[Table] = []
         self.component: Table | None = None
 
@@ -216,7 +218,8 @@ class Links:
         wanted = facts.join(ends, "node").select("node", "one.doc", "one.fp")
         bodies = Table(
             self.docs.alias("d").join(wanted.alias("w"), same_document("d", "w"))
-            .groupBy("w.node").agg(F.any_value("d.text").alias("text"))
+            .groupBy("w.node").agg(F.any_value("d.text").alias("text")),
+            self.files,
         )
         texts = (
             likely.df.join(bodies.df.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
@@ -348,22 +351,25 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     signed = docs.mapInArrow(
         _signed, f"doc {kind}, fp bigint, node string, size bigint, bands array<bigint>, octets binary"
     )
-    rows = Table(signed)
+    seen = Observation()
+    rows = Table(signed.observe(seen, F.count("*").alias("n")))
+    files = 1 + seen.get["n"] // DOCUMENTS_PER_FILE
     ids = rows.df.groupBy("node", "doc", "fp").agg(F.count("*").alias("copies"))
     first = F.struct(F.col("doc").isNull().alias("none"), "doc", "fp")
     nodes = Table(
         rows.df.groupBy("node").agg(
             F.min(first).alias("one"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"),
             F.any_value("octets").alias("octets"),
-        )
+        ),
+        files,
     ).df
     spread = nodes.select("node", "one", "size", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = Table(spread.join(shared, "band").select("band", "node", "one", "size", "n"))
+    members = Table(spread.join(shared, "band").select("band", "node", "one", "size", "n"), files)
     meets = members.df.groupBy("node").agg(F.sum("n").alias("meets"))
     fits = F.least("size", "s") >= SIMILARITY * F.greatest("size", "s")
-    links = Links(nodes, docs)
-    met = Table(members.df.drop("n").join(meets, "node"))
+    links = Links(nodes, docs, files)
+    met = Table(members.df.drop("n").join(meets, "node"), files)
     members.drop()
     centre = F.struct("node", "size")
     centres = met.df.groupBy("band").agg(
@@ -376,7 +382,7 @@ def near_duplicate_classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     )
     links.check(pairs)
     links.connect()
-    mixed = Table(links.with_component(met.df).select("band", "node", "component"))
+    mixed = Table(links.with_component(met.df).select("band", "node", "component"), files)
     if not mixed.df.isEmpty():
         links.check(_left_pairs(mixed.df, nodes, docs))
         links.connect()

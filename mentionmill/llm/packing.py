@@ -126,9 +126,10 @@ def pack(
     histogram = {r["length"]: r["n"] for r in pieces.df.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = [(x.length, x.first, x.need, x.copies, x.sequence, x.offset) for x in plan(histogram, window)]
     # At most 45 different lengths share a window of 1024 and each pattern uses up a length, so this stays small.
-    planned = df.sparkSession.createDataFrame(
-        places or [(0, 0, 0, 0, 0, 0)], "_l long, _first long, _need long, _copies long, _sequence long, _offset long"
-    )
+    # From Arrow, as rows would be read by Python workers of another kind, which stay beside those of the operators.
+    columns = ["_l", "_first", "_need", "_copies", "_sequence", "_offset"]
+    numbers = np.array(places, dtype=np.int64).reshape(-1, len(columns))
+    planned = df.sparkSession.createDataFrame(pa.table([pa.array(x) for x in numbers.T], names=columns))
     buckets = max(1, max(histogram.values(), default=0) // PIECES_PER_BUCKET)
     dealt = pieces.df.withColumn("_bucket", F.pmod(F.xxhash64(doc, "start", "ids_crc32"), F.lit(buckets)))
     # Ranks are counted per bucket of a length and shifted, so that a length with a third of all rows is no one task.

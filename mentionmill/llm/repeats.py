@@ -120,8 +120,8 @@ def anchors(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     return docs.mapInArrow(scan, f"{fields}, start bigint, more smallint, seed bigint, reach bigint")
 
 
-def _stretches(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(doc, fp, start, more, seed, body): the listed stretches with their own part of the text."""
+def _stretches(alphabet: Alphabet):
+    """Rows (doc, fp, start, seed, body) from (doc, fp, stretches, text): the stretches with their own part of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,16 +137,13 @@ def _stretches(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
                     [
                         batch.column(0).take(pa.array(owner + row)),
                         batch.column(1).take(pa.array(owner + row)),
-                        *(pa.array(x) for x in (start, more, seed)),
+                        *(pa.array(x) for x in (start, seed)),
                         pa.array([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
                     ],
-                    names=["doc", "fp", "start", "more", "seed", "body"],
+                    names=["doc", "fp", "start", "seed", "body"],
                 )
 
-    kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(
-        scan, f"doc {kind}, fp bigint, start bigint, more smallint, seed bigint, body binary"
-    )
+    return scan
 
 
 def _windows_of(bodies: pa.Array, alphabet: Alphabet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -283,10 +280,11 @@ def extended(
     )
     listed = docs.alias("d").join(open_stretches.alias("o"), same_document("d", "o")).select("d.doc", "d.fp", "o.stretches", "d.text")
     # A repeated row gives its stretches twice. That is right: its windows do occur again, in the repetition.
-    stretches = _stretches(listed, alphabet)
+    # One pass, as each step of its own would hold another Python worker for every core.
+    cut_out, pack = _stretches(alphabet), _packed(alphabet, 1 + count // BUCKET_WINDOWS)
     kind = dict(docs.dtypes)["doc"]
-    packed = stretches.select("doc", "fp", "start", "seed", "body").mapInArrow(
-        _packed(alphabet, 1 + count // BUCKET_WINDOWS),
+    packed = listed.mapInArrow(
+        lambda batches: pack(cut_out(batches)),
         f"bucket bigint, doc array<{kind}>, fp array<bigint>, start array<bigint>, end array<bigint>, seed array<bigint>, window array<bigint>",
     )
     near = packed.groupBy("bucket").applyInArrow(_met_in_bucket(alphabet), f"doc {kind}, fp bigint, start bigint, end bigint")
